@@ -20,15 +20,17 @@ import json
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
-from .common import Rolling
+from .common import Rolling, text_slices
 
 #: The classes of the pre-tokeniser's pattern: letters, numbers, white space, others.
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: The suffixes that the pre-tokeniser splits off after an apostrophe.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 NONE = np.int32(2**31 - 1)
-MEMO_PIECES = 400_000
+MEMO_PIECES = 1_200_000
 
 
 @lru_cache(1)
@@ -189,12 +191,25 @@ class Pieces:
 class Encoder:
     """Ids of whole texts; a piece's ids are computed once and kept in a bounded memo."""
 
-    def __init__(self, path: str, window: int | None = None):
+    def __init__(self, path: str, window: int | None = None, native: bool = False):
+        """native: pieces are encoded by a compiled library instead of the transducer; the ids are the same."""
         self.merges = Merges(path)
+        self._native = self._compiled() if native else None
         self.window = max(window or 0, 2 * self.merges.lookahead, 256)
         self._h = (Rolling(11), Rolling(12))
         self._reset()
 
+    def _compiled(self):
+        """tiktoken's merge routine over this vocabulary, whose ids rise with the merges' ranks."""
+        import tiktoken
+
+        made = [c for *_, c in self.merges.rules]
+        if made != sorted(made):
+            return None
+        ranks = {b: i for i, b in enumerate(self.merges.bytes_of) if i not in self.merges.special.values()}
+        core = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe
+        return core.encode_single_piece
+
     def _reset(self) -> None:
         self._known = np.zeros(0, np.uint64)
         self._check = np.zeros(0, np.uint64)
@@ -205,6 +220,11 @@ class Encoder:
     def pieces(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of many pieces, concatenated, and their counts; pieces longer than the window go through ``stream``."""
         m, size = self.merges, ends - starts
+        if self._native is not None:
+            raw, one = data.tobytes(), self._native
+            lists = [one(raw[i:j]) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+            count = np.fromiter(map(len, lists), np.int64, len(lists))
+            return np.fromiter((t for x in lists for t in x), np.int32, int(count.sum())), count
         count = np.zeros(len(starts), np.int64)
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # which, counts, ids in that order
         edges = [0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 64, 128, self.window]
@@ -397,12 +417,12 @@ class Encoder:
             ids, count = self.pieces(data, starts[f], ends[f])
             base = len(self._pool)
             self._pool = np.concatenate([self._pool, ids])
-            key = np.concatenate([self._known, uniq[new]])
-            order = np.argsort(key, kind="stable")
-            self._known = key[order]
-            self._check = np.concatenate([self._check, g[f]])[order]
-            self._at = np.concatenate([self._at, base + np.cumsum(count) - count])[order]
-            self._len = np.concatenate([self._len, count.astype(np.int32)])[order]
+            # both sides are sorted: inserting is linear
+            put = at[new]
+            self._known = np.insert(self._known, put, uniq[new])
+            self._check = np.insert(self._check, put, g[f])
+            self._at = np.insert(self._at, put, base + np.cumsum(count) - count)
+            self._len = np.insert(self._len, put, count.astype(np.int32))
             at = np.searchsorted(self._known, uniq)
         where = at[inv]
         count = self._len[where].astype(np.int64)
@@ -431,11 +451,56 @@ class Decoder:
         return self._machine.decode(b"", True)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, native: bool = False) -> Encoder:
     """One per Python worker and vocabulary file: later tasks find the memo warm."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, native) not in _ENCODERS:
+        _ENCODERS[path, native] = Encoder(path, native=native)
+    return _ENCODERS[path, native]
+
+
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """Encodes and decodes ``text`` of every row of (doc_id, text): (doc_id, n_tokens, ids array, decoded).
+
+    One pass of map tasks, no shuffle. Null and empty texts give no ids and an empty text;
+    repeated rows give repeated results; other columns are ignored.
+    """
+
+    def run(batches):
+        e = encoder(path)
+        for data, off, _, rows in text_slices(batches):
+            ids, count = e.encode(data, off)
+            end = np.cumsum(count)
+            texts = []
+            for i, j in zip((end - count).tolist(), end.tolist(), strict=True):
+                d = Decoder(e.merges.bytes_of)
+                # fed in stretches: the machine keeps at most an unfinished character
+                texts.append("".join([*(d.feed(ids[k : min(k + 4096, j)].tolist()) for k in range(i, j, 4096)), d.finish()]))
+            values = pa.ListArray.from_arrays(pa.array(np.r_[0, end].astype(np.int32)), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(count, pa.int64()), values, pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded string")
+
+
+def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): ``round_trip`` with its outputs digested where they are made."""
+    from hashlib import sha256
+
+    def run(batches):
+        e = encoder(path)
+        for data, off, _, rows in text_slices(batches):
+            ids, count = e.encode(data, off)
+            end = np.cumsum(count)
+            id_sha, text_sha = [], []
+            for i, j in zip((end - count).tolist(), end.tolist(), strict=True):
+                id_sha.append(sha256(ids[i:j].astype("<u4").tobytes()).hexdigest())
+                d, h = Decoder(e.merges.bytes_of), sha256()
+                for k in range(i, j, 4096):
+                    h.update(d.feed(ids[k : min(k + 4096, j)].tolist()).encode())
+                h.update(d.finish().encode())
+                text_sha.append(h.hexdigest())
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(count, pa.int64()), pa.array(id_sha), pa.array(text_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
