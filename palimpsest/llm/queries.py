@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, neardup, packing, topk, toxicity, windows
+from . import bpe, chat, langid, linedup, neardup, packing, topk, toxicity, windows
 from .common import table
 
 #: Where the public tokenizers' files are is a parameter of every operator; this is the queries' value.
@@ -17,6 +17,10 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.line_classes(table(spark, sf_dir, "documents"))
+
+
 def op3_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.removal_digests(table(spark, sf_dir, "documents"))
 
