@@ -3,7 +3,7 @@
 The kernel counts common subsequences of four characters, gaps allowed, each weighted
 by ``decay`` to the power of its span (``max_span`` at most), so a character put into
 an insult takes away only part of its weight; marks between letters and blanks between
-single letters are read over.
+single letters are read over, other marks count as blanks.
 
 Training sentences are windows of labelled documents: the strings that a document's
 label depends on are found by contrast between the classes and then, round by round,
@@ -40,8 +40,9 @@ LETTERS, FOREIGN, DIGIT, BLANK, MARK, VOID = 26, 26, 27, 28, 29, 31
 
 @dataclass(frozen=True)
 class Settings:
-    per_class: int = 2500
-    max_train_bytes: int = 12_000
+    per_class: int = 2000
+    max_train_bytes: int = 8_000
+    max_word: int = 20
     landmarks: int = 224
     decay: float = 0.8
     max_span: int = 6
@@ -98,6 +99,12 @@ def squeezed(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     # a letter alone: a blank or the text's end on either side
     alone = letter[1:-1] & (edge[:-2] | first[:-1]) & edge_after
     drop[1:-1] |= (between & (code == BLANK))[1:-1] & alone[:-2] & alone[2:]
+    code, off = code[~drop], off - np.concatenate([[0], np.cumsum(drop)])[off]
+    # what marks are left part words as blanks do; a run of blanks is one
+    code = np.where(code == MARK, np.uint8(BLANK), code)
+    drop = np.zeros(len(code), bool)
+    drop[1:] = (code[1:] == BLANK) & (code[:-1] == BLANK)
+    drop[off[off < len(code)]] = False
     return code[~drop], off - np.concatenate([[0], np.cumsum(drop)])[off]
 
 
@@ -132,6 +139,9 @@ class Machine:
         doc = np.repeat(np.arange(n), np.diff(off))
         to = np.arange(len(own)) + gap * (doc + 1)
         code[to] = own
+        # texts begin and end as words do
+        code[off[:-1] + gap * np.arange(1, n + 1) - 1] = BLANK
+        code[off[1:] + gap * np.arange(1, n + 1)] = BLANK
         begin = off + gap * np.arange(n + 1)
         total = np.concatenate([[0.0], np.cumsum(self.position_scores(code), dtype=np.float64)])
         sums = np.zeros(len(code))
@@ -238,8 +248,10 @@ def train(texts: list[bytes], toxic: np.ndarray, s: Settings = Settings()) -> Ma
         m.slope, m.shift = 0.0, (2.0 if len(texts) and toxic.all() else -2.0)
         return m
     rng = np.random.default_rng(s.seed)
-    words = [{w.strip(b".,;:!?\"'()[]|*$%&#") for w in re.split(rb"\s+", fold(np.frombuffer(t, np.uint8)).tobytes()) if w} for t in texts]
-    pos, neg = Counter(w for x, y in zip(words, toxic, strict=True) if y for w in x if len(w) > 2), Counter(w for x, y in zip(words, toxic, strict=True) if not y for w in x if len(w) > 2)
+    pos, neg = Counter(), Counter()
+    for t, y in zip(texts, toxic, strict=True):
+        words = {w.strip(b".,;:!?\"'()[]|*$%&#") for w in re.split(rb"\s+", fold(np.frombuffer(t, np.uint8)).tobytes())}
+        (pos if y else neg).update(w for w in words if 2 < len(w) <= s.max_word)
     n_pos, n_neg = int(toxic.sum()), int((~toxic).sum())
     odds = {w: np.log((c + 0.1) / (n_pos + 1)) - np.log((neg[w] + 0.5) / (n_neg + 1)) for w, c in pos.items() if c >= 4}
     ranked = sorted(((v * np.sqrt(pos[w]), w) for w, v in odds.items() if v > 1.6), reverse=True)
@@ -263,7 +275,7 @@ def train(texts: list[bytes], toxic: np.ndarray, s: Settings = Settings()) -> Ma
             # what a clean text's highest window holds is clean; a toxic text's counts once it is on the right side
             bad += [b for (v, b), t in zip(tops, toxic, strict=True) if not t]
             good += [b for (v, b), t in zip(tops, toxic, strict=True) if t and v + bias > 0]
-    best, _ = m.maxima(data, off)
+    best = np.concatenate([m.maxima(data[off[i] : off[j]], off[i : j + 1] - off[i])[0] for i in range(0, len(texts), 64) for j in [min(i + 64, len(texts))]])
     m.slope, m.shift = platt(best, toxic)
     return m
 
