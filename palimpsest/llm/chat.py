@@ -104,18 +104,19 @@ def paths(messages: DataFrame) -> DataFrame:
     links = messages.where("parent is not null").select("tree", "node", "parent").groupBy("tree", "node").agg(F.min("parent").alias("parent"))
     up = links.join(ids.select("tree", F.col("node").alias("parent")), ["tree", "parent"], "left_semi").select("tree", "node", "parent").checkpoint()
     leaves = ids.join(up.select("tree", F.col("parent").alias("node")).distinct(), ["tree", "node"], "left_anti")
-    found = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
+    # both tables are cut from their lineage in each round: plans would double otherwise
+    found = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")).checkpoint()
     jump, step = up, 1
     while not jump.isEmpty():
         j = jump.select("tree", "node", F.col("parent").alias("to"))
-        found = found.union(found.join(j, ["tree", "node"]).select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + step).alias("up")))
+        found = found.union(found.join(j, ["tree", "node"]).select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + step).alias("up"))).checkpoint()
         # nodes of a cycle jump for ever; a path is longer than its tree only if it holds one
         jump = jump.join(jump.select("tree", F.col("node").alias("parent"), F.col("parent").alias("to")), ["tree", "parent"]).select("tree", "node", F.col("to").alias("parent")).where("node <> parent").checkpoint()
         step *= 2
         if step > 1 << 40:
             break
     rooted = found.join(up.select("tree", "node"), ["tree", "node"], "left_anti").select("tree", "leaf").distinct()
-    return found.join(rooted, ["tree", "leaf"], "left_semi")
+    return found.join(rooted, ["tree", "leaf"], "left_semi").checkpoint()
 
 
 def rank_paths(path_rows: DataFrame, messages: DataFrame) -> DataFrame:
