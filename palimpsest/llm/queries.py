@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, linedup, neardup, packing, topk, toxicity, windows
-from .common import table
+from . import bpe, chat, chroma, langid, linedup, neardup, packing, topk, toxicity, windows
+from .common import ensure_checkpoint_dir, table
 
 #: Where the public tokenizers' files are is a parameter of every operator; this is the queries' value.
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -17,6 +17,14 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_chroma_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    s = chroma.Settings()
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding").where("vec_id is not null")
+    prints = chroma.fingerprints(rows, "embedding", s, chroma.decode_vectors(s)).checkpoint()
+    return chroma.match(prints, prints.where("id % 100 = 0"), s)
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.line_classes(table(spark, sf_dir, "documents"))
 

@@ -44,11 +44,11 @@ class Settings:
     max_train_bytes: int = 8_000
     max_word: int = 20
     landmarks: int = 224
-    decay: float = 0.8
-    max_span: int = 6
+    decay: float = 0.85
+    max_span: int = 7
     window: int = 11
-    rounds: int = 3
-    penalty: float = 1e-3
+    rounds: int = 4
+    penalty: float = 3e-4
     seed: int = 3
 
 
