@@ -5,8 +5,8 @@ classes, smoothed over time and normalised. Sixteen rectangular filters, evaluat
 the integral image of the resulting (time, class) picture, compare the energy of two
 areas; each comparison is quantised to two bits of Gray code, and the sixteen make one
 32-bit integer for each position. Two recordings are aligned by a histogram of the
-offsets at which halves of their integers agree; the best offset is then judged by the
-share of differing bits over the whole overlap, exactly.
+offsets at which quarters of their integers agree; every offset with enough votes is judged
+by the share of differing bits over the whole overlap, exactly, and the best one stays.
 
 The filters follow from a rule (``filters``), not from a table. Recordings that are null,
 unreadable, shorter than a fingerprint or silent have no integers and match nothing.
@@ -40,8 +40,8 @@ class Settings:
     #: quantiser steps, in logarithms of energy ratios
     step: float = 0.25
     least_overlap: int = 8
-    most_errors: float = 0.25
-    least_votes: int = 2
+    most_errors: float = 0.15
+    least_votes: int = 4
     block: int = 4096
     query_block: int = 128
 
@@ -208,12 +208,12 @@ def decode_vectors(s: Settings) -> Callable:
     return decode
 
 
-def aligned(q: np.ndarray, codes: np.ndarray, owner: np.ndarray, place: np.ndarray, first: np.ndarray, size: np.ndarray, halves: list, s: Settings):
+def aligned(q: np.ndarray, codes: np.ndarray, owner: np.ndarray, place: np.ndarray, first: np.ndarray, size: np.ndarray, parts: list, s: Settings):
     """Matches of one query in a block: (recording, offset, votes, errors, overlap)."""
     hits_o, hits_d = [], []
-    for shift, order, sorted_half in halves:
-        part = (q >> np.uint32(shift)) & np.uint32(0xFFFF)
-        lo, hi = np.searchsorted(sorted_half, part, "left"), np.searchsorted(sorted_half, part, "right")
+    for shift, order, ordered in parts:
+        part = (q >> np.uint32(shift)) & np.uint32(0xFF)
+        lo, hi = np.searchsorted(ordered, part, "left"), np.searchsorted(ordered, part, "right")
         n = hi - lo
         at = order[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
         hits_o.append(owner[at])
@@ -227,18 +227,20 @@ def aligned(q: np.ndarray, codes: np.ndarray, owner: np.ndarray, place: np.ndarr
     if not len(key):
         return np.zeros((0, 5))
     rec, off = key // span, key % span - span // 2
-    best = np.lexsort((off, np.abs(off), -votes, rec))
-    best = best[np.r_[True, rec[best][1:] != rec[best][:-1]]]
-    rec, off, votes = rec[best], off[best], votes[best]
-    i = np.arange(len(q))
-    at = i[None, :] + off[:, None]
-    inside = (at >= 0) & (at < size[rec][:, None])
-    code = codes[np.where(inside, first[rec][:, None] + at, 0)]
-    wrong = np.where(inside, np.bitwise_count(code ^ q[None, :]), 0).sum(1)
-    overlap = inside.sum(1)
-    errors = wrong / np.maximum(32 * overlap, 1)
-    ok = (overlap >= s.least_overlap) & (errors <= s.most_errors)
-    return np.c_[rec, off, votes, errors, overlap][ok]
+    i, out = np.arange(len(q)), []
+    for c in range(0, len(rec), 1 << 16):
+        r, d, v = rec[c : c + (1 << 16)], off[c : c + (1 << 16)], votes[c : c + (1 << 16)]
+        at = i[None, :] + d[:, None]
+        inside = (at >= 0) & (at < size[r][:, None])
+        code = codes[np.where(inside, first[r][:, None] + at, 0)]
+        wrong = np.where(inside, np.bitwise_count(code ^ q[None, :]), 0).sum(1)
+        overlap = inside.sum(1)
+        errors = wrong / np.maximum(32 * overlap, 1)
+        ok = (overlap >= s.least_overlap) & (errors <= s.most_errors)
+        out.append(np.c_[r, d, v, errors, overlap][ok])
+    m = np.concatenate(out)
+    m = m[np.lexsort((m[:, 1], np.abs(m[:, 1]), m[:, 3], m[:, 0]))]
+    return m[np.r_[True, m[1:, 0] != m[:-1, 0]]] if len(m) else m
 
 
 def match(prints: DataFrame, queries: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -266,12 +268,12 @@ def match(prints: DataFrame, queries: DataFrame, s: Settings = Settings()) -> Da
                     first = np.cumsum(size) - size
                     owner = np.repeat(np.arange(len(ids)), size)
                     place = np.arange(len(codes)) - first[owner]
-                    halves = []
-                    for shift in (0, 16):
-                        half = (codes >> np.uint32(shift)) & np.uint32(0xFFFF)
-                        order = np.argsort(half, kind="stable")
-                        halves.append((shift, order, half[order]))
-                    last, held = part, (codes, owner, place, first, size, halves, np.array(ids))
+                    quarters = []
+                    for shift in (0, 8, 16, 24):
+                        quarter = (codes >> np.uint32(shift)) & np.uint32(0xFF)
+                        order = np.argsort(quarter, kind="stable")
+                        quarters.append((shift, order, quarter[order]))
+                    last, held = part, (codes, owner, place, first, size, quarters, np.array(ids))
                 *index, own = held
                 rows = []
                 for qid, fp in zip(q_ids, q_fps, strict=True):
