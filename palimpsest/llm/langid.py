@@ -6,7 +6,8 @@ document's distribution is the mean over all positions of its whole text. The we
 are learned here, in numpy, by backpropagation through time with Adam.
 
 Learning takes a bounded sample: at most ``per_language`` stretches of ``train_bytes``
-bytes for each language, spread by a hash over all labelled documents.
+bytes for each language (``per_document`` of a document), spread by a hash over all
+labelled documents.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ class Settings:
     per_language: int = 1500
     train_bytes: int = 96
     epochs: int = 9
+    least_updates: int = 400
+    per_document: int = 3
     batch: int = 128
     rate: float = 0.02
     seed: int = 5
@@ -154,8 +157,10 @@ class Network:
         m1 = {k: np.zeros_like(v) for k, v in self.p.items()}
         m2 = {k: np.zeros_like(v) for k, v in self.p.items()}
         n, t = len(y), 0
-        total = max(1, s.epochs * -(-n // s.batch))
-        for _ in range(s.epochs):
+        # small samples are gone over more often
+        epochs = max(s.epochs, -(-s.least_updates // max(1, -(-n // s.batch))))
+        total = max(1, epochs * -(-n // s.batch))
+        for _ in range(epochs):
             order = rng.permutation(n)
             for i in range(0, n, s.batch):
                 some = order[i : i + s.batch]
@@ -219,9 +224,10 @@ def training_sample(docs: DataFrame, s: Settings) -> DataFrame:
             for doc, lang, i, j in zip(rows.column("doc_id").to_pylist(), rows.column("lang").to_pylist(), off[:-1].tolist(), off[1:].tolist(), strict=True):
                 if j - i < 8:
                     continue
-                h = zlib.crc32(f"{doc}:sample".encode())
-                at = i + h % max(1, j - i - s.train_bytes + 1)
-                best.setdefault(lang, []).append((h, data[at : min(at + s.train_bytes, j)].tobytes()))
+                for part in range(s.per_document):
+                    h = zlib.crc32(f"{doc}:sample:{part}".encode())
+                    at = i + h % max(1, j - i - s.train_bytes + 1)
+                    best.setdefault(lang, []).append((h, data[at : min(at + s.train_bytes, j)].tobytes()))
             for lang, x in best.items():
                 best[lang] = sorted(x)[: s.per_language]
         rows = [(lang, h, p) for lang, x in best.items() for h, p in x]
@@ -248,8 +254,8 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
     return Model(languages, net, settings)
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The ``keep`` columns (doc_id by default) with lang_pred and score.
+def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The ``keep`` columns (doc_id by default) with the language and its score under ``names``.
 
     ``und`` with score 0 where the text is null or has no letter. A map over the rows: nothing is shuffled.
     """
@@ -257,7 +263,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
     fields = [f for f in docs.schema.fields if f.name in keep]
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    out = StructType([*fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    out = StructType([*fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
 
     def run(batches):
         from .bpe import LETTER, char_classes
@@ -271,8 +277,8 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
             none = null | (np.diff(letters) == 0)
             if not model.languages:
                 none[:] = True
-            names = np.array([*model.languages, UNDETERMINED], object)
-            pred = names[np.where(none, len(names) - 1, best)]
+            every = np.array([*model.languages, UNDETERMINED], object)
+            pred = every[np.where(none, len(every) - 1, best)]
             score = np.where(none, 0.0, np.clip(pr[np.arange(len(best)), best], 0, 1))
             yield pa.RecordBatch.from_arrays([*(rows.column(f.name) for f in fields), pa.array(pred.tolist(), pa.string()), pa.array(score)], [f.name for f in out.fields])
 

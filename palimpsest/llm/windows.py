@@ -394,10 +394,11 @@ def spans_of(ranges: list, length: int, size: int) -> list[tuple[int, int]]:
 
 
 def with_ranges(docs: DataFrame, s: Settings) -> DataFrame:
-    """Every row of docs with its window ranges (null: none) in ``ranges``."""
+    """(row, ranges): every row of docs as a struct, with its window ranges (null: none). No column name can clash."""
     found = repeated(docs, s)
     per = found.groupBy("k").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
-    return docs.withColumn("k", F.coalesce("doc_id", F.lit(LOWEST))).join(per.hint("shuffle_hash"), "k", "left").drop("k")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("doc_id", F.lit(LOWEST)).alias("k"))
+    return rows.join(per.hint("shuffle_hash"), "k", "left").select("row", "ranges")
 
 
 def removal_digests(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -419,7 +420,7 @@ def removal_digests(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(),) * 4 + (pa.string(),), strict=True)], names)
 
-    return with_ranges(docs.select("doc_id", "text"), s).select("doc_id", "text", "ranges").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_ranges(docs.select("doc_id", "text"), s).select("row.doc_id", "row.text", "ranges").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def removed(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -441,4 +442,4 @@ def removed(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
         return pd.Series(out, dtype=object)
 
-    return with_ranges(docs, s).withColumn("text", cut("text", "ranges")).select(docs.columns)
+    return with_ranges(docs, s).select(*[cut("row.text", "ranges").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

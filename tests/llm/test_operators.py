@@ -296,7 +296,7 @@ def test_gradients_agree_with_differences():
 
 def test_language_held_out_accuracy_and_edges(spark):
     docs = common.table(spark, SF, "documents")
-    model = langid.fit(docs.where(~langid.held_out()), langid.Settings(epochs=14, per_language=200))
+    model = langid.fit(docs.where(~langid.held_out()), langid.Settings(per_language=400))
     rows = docs.join(langid.predict(docs, model), "doc_id").where(langid.held_out()).select("lang", "lang_pred", "score").collect()
     assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.9 and all(0 <= r.score <= 1 for r in rows)
     odd = clashing(docs_of(spark, [None, "", "123 !!", "the of and", "the of and", "the and of " * 20000]))
