@@ -78,7 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_top_k": OP4_SQL}
+    return {"op4_top_k": OP4_SQL, "op6_ngram_jaccard": OP6_SQL, "op10_reply_trees": OP10_SQL}
 
 
 OP4_SQL = """
@@ -91,3 +91,27 @@ WITH v AS (
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
 SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 20
 """
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x09-\x0d\x1c-\x20]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')))) END AS s FROM w),
+c AS (SELECT min(doc_id) AS rep, s, count(*) AS n_copies FROM g WHERE len(s) > 0 GROUP BY s),
+u AS (SELECT rep, len(s) AS n, unnest(s) AS x FROM c),
+p AS (SELECT a.rep AS a, b.rep AS b FROM u a JOIN u b ON a.x = b.x AND a.rep < b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING 5 * count(*) >= 4 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT rep AS node, rep AS reach FROM c UNION SELECT r.node, e.b FROM r JOIN e ON r.reach = e.a),
+k AS (SELECT node, min(reach) AS class_id FROM r GROUP BY node),
+l AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT g.doc_id, coalesce(k.class_id, g.doc_id) AS class_id, CAST(coalesce(l.n, 0) AS BIGINT) AS n_links, CAST(coalesce(c.n_copies, 1) AS BIGINT) AS n_copies
+FROM g LEFT JOIN c ON g.s = c.s LEFT JOIN k ON k.node = c.rep LEFT JOIN l ON l.a = c.rep
+"""
+
+OP10_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+f AS (SELECT *, length(role || text) + length(regexp_replace(role || text, '[^\\#:<]', '', 'g')) + 15 AS n FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id
+"""
