@@ -110,4 +110,4 @@ def element_id(stable: Column | str, local: Column | str, index: Column | str) -
 
 
 def number(value: Column | str, default: float = 0.0) -> Column:
-    return F.coalesce(F.try_cast(col(value), "double") if hasattr(F, "try_cast") else col(value).try_cast("double"), F.lit(default))
+    return F.coalesce(col(value).try_cast("double"), F.lit(default))

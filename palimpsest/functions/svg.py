@@ -117,3 +117,41 @@ def text_rows(text: Column | str, line: Column, state: Column) -> Column:
 def changed_mask(old: Column, new: Column, threshold: int) -> Column:
     """Pixels of two grey pictures that differ by more than the threshold."""
     return F.zip_with(old, new, lambda a, b: F.abs(F.coalesce(a, F.lit(0)) - F.coalesce(b, F.lit(0))) > threshold)
+
+
+def text_pages(states: DataFrame, keys: list[str]) -> DataFrame:
+    """Line states (keys, layer, row, line, state) as one drawing for each text."""
+    body = text_rows("line", F.col("row"), F.col("state"))
+    layers = states.groupBy(*keys, "layer").agg(F.array_sort(F.collect_list(F.struct("row", body.alias("s")))).alias("rows"))
+    one = lambda name: F.coalesce(F.max(F.when(F.col("layer") == name, F.array_join(F.transform("rows", lambda r: r["s"]), ""))), F.lit(""))
+    page = layers.groupBy(*keys).agg(*(one(name).alias(f"l{i}") for i, name in enumerate(LAYERS)), F.max(F.size("rows")).alias("n"))
+    head = F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 800 '), (F.lit(30) + F.col("n") * 14).cast("string"), F.lit(f'" data-diff-mode="{VECTOR}">'))
+    return page.select(*keys, F.concat(head, *(_group(name, F.col(f"l{i}")) for i, name in enumerate(LAYERS)), F.lit("</svg>")).alias("svg"))
+
+
+GLYPHS = "map<string,struct<path:string,advance:double>>"
+
+
+def run_width(text: Column | str, size: Column, glyphs: Column, units_per_em: float = 1000.0) -> Column:
+    """Width of a run from its glyphs' advances; characters without a glyph have none."""
+    chars = F.filter(F.split(col(text), ""), lambda c: c != "")
+    return F.aggregate(chars, F.lit(0.0), lambda w, c: w + F.coalesce(F.try_element_at(glyphs, c)["advance"], F.lit(0.0))) * size / units_per_em
+
+
+def outline(text: Column | str, size: Column, x: Column, y: Column, glyphs: Column, units_per_em: float = 1000.0) -> Column:
+    """A text run as placed glyph paths from a table of glyphs (column of type GLYPHS); null if one is missing.
+
+    A font's table is a few hundred glyphs: join it to the objects by family.
+    """
+    chars = F.filter(F.split(col(text), ""), lambda c: c != "")
+    step = F.aggregate(
+        chars,
+        F.struct(F.lit("").alias("d"), F.lit(0.0).alias("w"), F.lit(True).alias("ok")),
+        lambda a, c: F.struct(
+            F.concat(a["d"], F.lit('<path transform="translate('), short(a["w"]), F.lit(',0)" d="'), F.coalesce(F.try_element_at(glyphs, c)["path"], F.lit("")), F.lit('"/>')).alias("d"),
+            (a["w"] + F.coalesce(F.try_element_at(glyphs, c)["advance"], F.lit(0.0))).alias("w"),
+            (a["ok"] & F.try_element_at(glyphs, c).isNotNull()).alias("ok"),
+        ),
+    )
+    scale = F.format_string("%.5f", size / units_per_em)
+    return F.when(step["ok"], F.concat(F.lit('<g transform="translate('), short(x), F.lit(","), short(y), F.lit(") scale("), scale, F.lit(')">'), step["d"], F.lit("</g>")))

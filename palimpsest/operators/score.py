@@ -25,11 +25,9 @@ def trustworthy(value: Column) -> Column:
 
 def distinct_problems(*lists: Column) -> Column:
     """Number of different entries in the lists together."""
-    every = F.lit(None).cast("array<string>")
     out = F.array().cast("array<string>")
     for x in lists:
         out = F.array_union(out, F.coalesce(x, F.array().cast("array<string>")))
-    del every
     return F.size(out)
 
 

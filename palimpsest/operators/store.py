@@ -91,6 +91,13 @@ def pending(current: DataFrame, done: DataFrame, retry_failed: bool = False) ->
     return current.join(have.select("key"), "key", "left_anti")
 
 
+def swept(todo: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """The pairs of one sweep, at most so many, and whether that left some out: such a sweep is incomplete."""
+    some = todo.limit(most + 1)
+    cut = some.count() > most
+    return todo.limit(most), cut
+
+
 def outcome(state: dict[str, Column]) -> Column:
     """The first that holds: error, no_predecessor, unsupported, cached, too_large, failed; else computed."""
     out = F.when(F.lit(False), F.lit(""))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import keys, mime, svg
-from palimpsest.operators import access, keyed, registry, score, sequence, spatial, store, versions
+from palimpsest.operators import access, keyed, models, registry, score, sequence, spatial, store, versions
 from palimpsest.schemas import ELEMENT, EVENT, PAGE_OBJECT
 from palimpsest.sources import files, gltf
 from palimpsest.sources.kernels import parsed
@@ -297,3 +297,33 @@ def test_catalogue_against_duckdb(spark):
         df = catalogue.queries()[name](spark, SF)
         assert sorted(df.columns) == sorted(cols), name
         assert sorted(tuple(map(cell, x)) for x in df.select(*cols).collect()) == want, name
+
+
+def test_models_are_described_and_merged(spark):
+    f = lambda rows: spark.createDataFrame(rows, "model string, " + ELEMENT)
+    el = lambda i, dx, p: ("m", f"id{i}", f"n{i}", "", "Wall", shape(0, dx)[5], [0, 1, 2], p, i)
+    old, new = f([el(0, 0.0, {}), el(1, 0.0, {"a": "1"})]), f([el(1, 0.0, {"a": "2"}), el(2, 5.0, {})])
+    side = lambda d: d.select("model", "stable_id", keys.geometry_hash("verts", "faces").alias("shape"), "properties", "local_id", "name", "type_name", "verts", "faces", "idx")
+    d = keyed.keyed_diff(side(old), side(new), ["model", "stable_id"], "shape", "properties")
+    d = d.withColumns({s: F.when(F.col(s).isNotNull(), F.struct(F.col("stable_id"), F.col(f"{s}.local_id"), F.col(f"{s}.name"), F.col(f"{s}.type_name"), F.col(f"{s}.verts"), F.col(f"{s}.faces"), F.col(f"{s}.idx"))) for s in ("old", "new")})
+    d = keyed.in_order(d, ["model"], F.col("old.idx"), F.col("new.idx"))
+    sc = spark.createDataFrame([("m", "stable-id", 1.0)], "model string, tier string, confidence double")
+    body = json.loads(models.metamodels(d, ["model"], sc).first().body)
+    assert body["diffSummary"]["added"] == 1 and body["diffSummary"]["propertyChanges"] == 1
+    assert {o["id"] for o in body["metaObjects"]} == {"id1|old", "id1|new", "id0|old", "id0|difference", "id2|new", "id2|difference"}
+    doc, _ = gltf.container(models.merged_files(d, ["model"], z_up=True).first().glb)
+    assert {n["name"]: len(n.get("children", [])) for n in doc["nodes"] if n["name"] in models.GROUPS} == {"old": 2, "new": 2, "difference": 2}
+
+
+def test_text_pages_and_outlines(spark):
+    f = lambda s: spark.createDataFrame([("d", i, x) for i, x in enumerate(s)], "doc string, idx int, line string")
+    s = svg.text_pages(sequence.line_states(f(["a<", "b"]), f(["a<", "c"]), ["doc"]), ["doc"]).first().svg
+    assert "a&lt;" in s and s.count('state="modified"') == 2 and 'id="diff-changes"' in s
+    g = spark.createDataFrame([({"a": ("M0,0", 500.0)},)], f"g {svg.GLYPHS}")
+    r = g.select(svg.outline(F.lit("aa"), F.lit(10.0), F.lit(1.0), F.lit(2.0), F.col("g")).alias("o"), svg.run_width(F.lit("aa"), F.lit(10.0), F.col("g")).alias("w"), svg.outline(F.lit("ab"), F.lit(10.0), F.lit(1.0), F.lit(2.0), F.col("g")).alias("n")).first()
+    assert r.o.count("<path") == 2 and r.w == 10.0 and r.n is None
+
+
+def test_sweeps_say_when_they_are_cut(spark):
+    d = spark.range(5)
+    assert store.swept(d, 5)[1] is False and store.swept(d, 4)[1] is True
