@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one kernel call works on; bounds a worker's memory whatever the batch size.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,15 +68,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class Rolling:
     """Polynomial hashes modulo 2**64 of any substring of a buffer, from prefix sums.
 
-    Each byte has a random 64-bit value; two independent instances give 128 bits.
+    Each instance gives every byte a random 64-bit value of its own; two independent
+    instances give 128 bits. All share one base, and so one table of its powers.
     """
 
+    BASE = 0x5851F42D4C957F2D  # = 5 mod 8: of the largest order
+    INVERSE = pow(BASE, -1, 2**64)
+    _up = _down = np.ones(1, np.uint64)
+
     def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
         self.values = rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.base = int(rng.integers(0, 2**61)) * 8 + 5  # = 5 mod 8: of the largest order
-        self.inverse = pow(self.base, -1, 2**64)
-        self._up = self._down = np.ones(1, np.uint64)
 
     @staticmethod
     def _powers(x: int, n: int) -> np.ndarray:
@@ -89,11 +91,14 @@ class Rolling:
         return out
 
     def prefix(self, data: np.ndarray) -> np.ndarray:
-        if len(self._up) <= len(data):
-            n = max(1 << 16, 1 << int(len(data)).bit_length())
-            self._up, self._down = self._powers(self.base, n), self._powers(self.inverse, n)
-        out = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.values[data] * self._up[: len(data)], out=out[1:])
+        if len(Rolling._up) <= len(data):
+            n = (len(data) // (1 << 20) + 1) << 20
+            Rolling._up, Rolling._down = self._powers(self.BASE, n + 1), self._powers(self.INVERSE, n + 1)
+        out = np.empty(len(data) + 1, np.uint64)
+        out[0] = 0
+        np.take(self.values, data, out=out[1:])
+        out[1:] *= self._up[: len(data)]
+        np.cumsum(out[1:], out=out[1:])
         return out
 
     def of(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

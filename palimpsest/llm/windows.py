@@ -107,7 +107,7 @@ def _runs(key: np.ndarray) -> np.ndarray:
     return out
 
 
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 SAMPLE = np.dtype([("a", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("n", "<i4")])
 WINDOW = np.dtype([("a", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("n", "<i4")])
 #: A gram with more contexts than this is settled window by window, dealt by the windows' hashes.
@@ -426,20 +426,22 @@ def removal_digests(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 def removed(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """docs with the repeats cut out of ``text``; a character that loses a byte goes whole. Columns stay; null texts stay null."""
 
-    @F.pandas_udf("string")
-    def cut(text, ranges):
-        out = []
-        for t, r in zip(text, ranges, strict=True):
-            if r is None or t is None or not len(r):
-                out.append(t)
-                continue
-            raw, kept, at = t.encode(), [], 0
-            for i, j in spans_of(list(r), s.length, len(raw)):
-                kept.append(raw[at:i])
-                at = j
-            out.append(b"".join([*kept, raw[at:]]).decode("utf-8", "ignore"))
-        import pandas as pd
-
-        return pd.Series(out, dtype=object)
-
-    return with_ranges(docs, s).select(*[cut("row.text", "ranges").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
+    def cut(batches):
+        for b in batches:
+            # a few rows at a time: lists of structs are large in Python
+            for at in range(0, b.num_rows, 256):
+                part, out = b.slice(at, 256), []
+                rows = part.column("row")
+                text = rows.field("text")
+                for t, r in zip(text.to_pylist(), part.column("ranges").to_pylist(), strict=True):
+                    if t is not None and r:
+                        raw, kept, done = t.encode(), [], 0
+                        for i, j in spans_of(r, s.length, len(raw)):
+                            kept.append(raw[done:i])
+                            done = j
+                        t = b"".join([*kept, raw[done:]]).decode("utf-8", "ignore")
+                    out.append(t)
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else rows.field(c) for c in docs_columns], docs_columns)
+
+    docs_columns = docs.columns
+    return with_ranges(docs, s).mapInArrow(cut, docs.schema)
