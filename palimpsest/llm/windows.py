@@ -393,12 +393,15 @@ def spans_of(ranges: list, length: int, size: int) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
+def ranges_of(docs: DataFrame, s: Settings) -> DataFrame:
+    """(k, ranges) of the documents that have any."""
+    return repeated(docs, s).groupBy("k").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
+
+
 def with_ranges(docs: DataFrame, s: Settings) -> DataFrame:
     """(row, ranges): every row of docs as a struct, with its window ranges (null: none). No column name can clash."""
-    found = repeated(docs, s)
-    per = found.groupBy("k").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("doc_id", F.lit(LOWEST)).alias("k"))
-    return rows.join(per.hint("shuffle_hash"), "k", "left").select("row", "ranges")
+    return rows.join(ranges_of(docs, s).hint("shuffle_hash"), "k", "left").select("row", "ranges")
 
 
 def removal_digests(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -408,7 +411,7 @@ def removal_digests(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     def run(batches):
         for b in batches:
             rows = []
-            for doc, text, ranges in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "ranges")), strict=True):
+            for k, text, ranges in zip(*(b.column(c).to_pylist() for c in ("k", "text", "ranges")), strict=True):
                 raw = (text or "").encode()
                 spans = spans_of(ranges or [], s.length, len(raw))
                 h, at = sha256(), 0
@@ -416,11 +419,14 @@ def removal_digests(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
                     h.update(raw[at:i])
                     at = j
                 h.update(raw[at:])
-                rows.append((doc, len(raw), sum(j - i for i, j in spans), len(spans), h.hexdigest()))
+                rows.append((None if k == LOWEST else k, len(raw), sum(j - i for i, j in spans), len(spans), h.hexdigest()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(),) * 4 + (pa.string(),), strict=True)], names)
 
-    return with_ranges(docs.select("doc_id", "text"), s).select("row.doc_id", "row.text", "ranges").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    # the same projection as the join inside ``repeated``: the texts are dealt out once for both
+    texts = docs.select(F.coalesce("doc_id", F.lit(LOWEST)).alias("k"), "text")
+    joined = texts.join(ranges_of(docs, s).hint("shuffle_hash"), "k", "left").select("k", "text", "ranges")
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def removed(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
