@@ -353,9 +353,6 @@ def text_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- modes, scores, drawings --------------------------------------------------
 
-MODE = "CASE WHEN event_id % 5 = 0 THEN 'raster' WHEN event_id % 97 = 0 OR user_id % 9 = 0 THEN 'unavailable' ELSE 'vector' END"
-
-
 def event_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     k = F.col("event_id")
@@ -451,7 +448,7 @@ def plugin_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_files(spark, sf_dir).select("page_id", mime.operator_for(mime.detect("content", "name")).alias("plugin"))
 
 
-@query(f"SELECT page_id, coalesce(CASE page_id % 5 WHEN 1 THEN 'step' WHEN 4 THEN 'ifc' END, '') AS format FROM pages")
+@query("SELECT page_id, coalesce(CASE page_id % 5 WHEN 1 THEN 'step' WHEN 4 THEN 'ifc' END, '') AS format FROM pages")
 def format_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_files(spark, sf_dir).select("page_id", mime.format_for(F.lit("application/octet-stream"), "name").alias("format"))
 
@@ -551,14 +548,13 @@ def run_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", store.outcome(state).alias("outcome"))
 
 
-@query("""SELECT event_id, CAST(CASE WHEN event_id % 13 = 0 THEN 403 WHEN event_id % 7 = 0 THEN 200 WHEN event_id % 11 = 0 THEN 404 WHEN event_id % 5 = 0 THEN 200 WHEN event_id % 3 = 0 THEN 422 WHEN event_id % 2 = 0 THEN 200 ELSE 202 END AS INTEGER) AS code,
- CASE WHEN event_id % 13 = 0 THEN 'denied' WHEN event_id % 7 = 0 THEN 'none' WHEN event_id % 11 = 0 THEN 'not_found' WHEN event_id % 5 = 0 THEN 'unsupported' WHEN event_id % 3 = 0 THEN 'failed' WHEN event_id % 2 = 0 THEN 'ready' ELSE 'pending' END AS status FROM events""")
+@query("""SELECT event_id, CAST(CASE WHEN event_id % 13 = 0 THEN 403 WHEN event_id % 7 = 0 THEN 200 WHEN event_id % 11 = 0 THEN 404 WHEN event_id % 5 = 0 THEN 200 WHEN event_id % 3 = 0 THEN 422 WHEN event_id % 2 = 0 AND event_id % 17 <> 1 THEN 200 ELSE 202 END AS INTEGER) AS code,
+ CASE WHEN event_id % 13 = 0 THEN 'denied' WHEN event_id % 7 = 0 THEN 'none' WHEN event_id % 11 = 0 THEN 'not_found' WHEN event_id % 5 = 0 THEN 'unsupported' WHEN event_id % 3 = 0 THEN 'failed' WHEN event_id % 2 = 0 AND event_id % 17 <> 1 THEN 'ready' ELSE 'pending' END AS status FROM events""")
 def api_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
     verdict = F.when(k % 7 == 0, "no_predecessor").when(k % 11 == 0, "base_not_older").otherwise("ok")
     code, status = store.answer(k % 13 != 0, verdict, F.when(k % 5 != 0, "pdf"), F.when(k % 3 == 0, "failed").when(k % 17 != 1, "ready"), (k % 2 == 0) & (k % 17 != 1))
-    fixed = F.when((k % 17 == 1) & (status == "pending") & (k % 2 == 0), "ready").otherwise(status)
-    return table(spark, sf_dir, "events").select("event_id", F.when(fixed == "ready", 200).otherwise(code).cast("int").alias("code"), fixed.alias("status"))
+    return table(spark, sf_dir, "events").select("event_id", code.cast("int").alias("code"), status.alias("status"))
 
 
 # --- events and access ----------------------------------------------------------
