@@ -554,6 +554,52 @@ def test_deep_chain_takes_few_rounds(spark):
     assert chat.paths(chat.chain(d)).count() == 70
 
 
+def brute_reach(texts, near):
+    """As brute_lines, over every line that isn't blank, with any relation of nearness."""
+    occ = [(d, k, x) for d, t in enumerate(texts) for k, x in enumerate((t or "").encode().split(b"\n")) if t is not None and x.strip()]
+    lines = sorted({x for *_, x in occ})
+    up, links, copies, head = {x: x for x in lines}, Counter(), Counter(x for *_, x in occ), {}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(lines):
+        for b in lines[i + 1 :]:
+            if near(a, b):
+                links[a] += 1
+                links[b] += 1
+                up[root(a)] = root(b)
+    for d, k, x in sorted(occ):
+        head.setdefault(root(x), (d, k))
+    return {(d, k): (*head[root(x)], links[x], copies[x], head[root(x)] == (d, k)) for d, k, x in occ}
+
+
+def test_short_lines_take_part(spark):
+    rng = random.Random(19)
+    base = ["Les.", "ab", "x", "All rights reserved.", "twelve bytes", "eleven byte", "just under the floor 23", "right at the floor of 24", "a line that is well above the floor", " \t "]
+    texts = [None, "", "Les.\nAll rights reserved.\nown text of this document", "Les.\nAll rights reserved!\nother text of that one"]
+    for _ in range(25):
+        lines = []
+        for _ in range(4):
+            x = list(rng.choice(base))
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                k = rng.randint(0, len(x))
+                x[k : k + rng.randint(0, 1)] = rng.choices("abé", k=rng.randint(0, 1))
+            lines.append("".join(x))
+        texts.append("\n".join(lines))
+    got = {(r.doc_id, r.line_no): (r.class_doc, r.class_line, r.n_links, r.n_copies, r.kept) for r in linedup.line_classes(docs_of(spark, texts)).collect()}
+
+    def near(a, b):
+        n = min(len(a), len(b))
+        return edit(a, b) <= (2 if n >= 24 else 1 if n >= 12 else 0)
+
+    assert got == brute_reach(texts, near)
+    out = {r.doc_id: r.text for r in linedup.deduplicated(docs_of(spark, texts[:4])).collect()}
+    assert out[3] == "other text of that one"
+
+
 # --- pipeline ----------------------------------------------------------------------
 
 
