@@ -600,6 +600,51 @@ def test_short_lines_take_part(spark):
     assert out[3] == "other text of that one"
 
 
+def test_word_distance():
+    rng = random.Random(21)
+    for _ in range(1500):
+        a = rng.choices(range(5), k=rng.randint(0, 14))
+        b = list(a) if rng.random() < 0.5 else rng.choices(range(5), k=rng.randint(0, 14))
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randint(0, len(b))
+            b[k : k + rng.randint(0, 1)] = rng.choices(range(5), k=rng.randint(0, 1))
+        for most in (1, 3):
+            got = linedup.word_distance(np.array(a, np.uint64), np.array(b, np.uint64), most)
+            assert min(got, most + 1) == min(edit(a, b), most + 1)
+
+
+@pytest.mark.parametrize("block", [256, 5])
+def test_bound_grows_with_the_words(spark, block):
+    rng = random.Random(23)
+    made = []
+    for n in (9, 10, 11, 31, 32, 33, 47, 48, 49, 64, 80, 130):
+        base = [prose(rng, 1) + "é" for _ in range(n)]
+        made.append(" ".join(base))
+        for edits in (1, 1, 2, 3, 4, n // 16, n // 16, n // 16 + 1):
+            x = list(base)
+            for _ in range(edits):
+                k = rng.randint(0, len(x))
+                x[k : k + rng.randint(0, 1)] = [prose(rng, 2).replace(" ", "") for _ in range(rng.randint(0, 1))]
+            made.append(" ".join(x))
+    made += ["界" * 12 + c for c in "天地玄黄"]
+    rng.shuffle(made)
+    texts = ["\n".join(made[i : i + 5]) for i in range(0, len(made), 5)]
+
+    def words(x):
+        return re.findall(r"[\u3000-\uffff]|[^\s\u3000-\uffff]+", x.decode())
+
+    def near(a, b):
+        x, y, n = words(a), words(b), min(len(a), len(b))
+        m = min(len(x), len(y))
+        most, few = (max(1, m // 16) if m >= 10 else 0), 2 if n >= 24 else 1 if n >= 12 else 0
+        return (abs(len(a) - len(b)) <= few and edit(a, b) <= few) or (abs(len(x) - len(y)) <= most and edit(x, y) <= most)
+
+    s = linedup.Settings(block=block, least=1, full=24, share=16)
+    got = {(r.doc_id, r.line_no): (r.class_doc, r.class_line, r.n_links, r.n_copies, r.kept) for r in linedup.line_classes(docs_of(spark, texts), s).collect()}
+    assert got == brute_reach(texts, near)
+    assert sum(not r[-1] for r in got.values()) > 40
+
+
 # --- pipeline ----------------------------------------------------------------------
 
 
