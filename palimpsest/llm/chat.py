@@ -1,20 +1,24 @@
 """Reply trees to conversations: paths by iterative self-joins, ranked, then formatted.
 
-``paths`` enumerates every root-to-leaf path by pointer doubling: round k joins the path
-rows found so far to a table of 2**k-th ancestors, and that table to itself, so a chain
-of n replies takes log2(n) rounds. The ancestor table is written to the checkpoint
-folder each round. ``rank_paths`` orders a tree's branches by mean score, then length,
-then leaf. ``format_paths`` streams each chosen path's rows, in order, through a writer
+``paths`` enumerates root-to-leaf paths by pointer doubling. Round k joins the table of
+2**k-th ancestors, with the sum of the scores on the way, to itself, so a chain of n replies
+takes log2(n) rounds; each round's table has one row for a node and is written to the
+checkpoint folder. After them every node that has a root knows its path's mean score:
+``rank_paths`` orders a tree's branches by it, then by length, then by leaf, before any path
+is written out. The rows of the chosen paths alone are then found by joining them to the
+rounds' tables. ``format_paths`` streams each chosen path's rows, in order, through a writer
 of constant memory.
 
 The template marks a turn as ``### <role>: <text> </turn>`` and a line feed. In roles and
 texts a backslash is put before every backslash, hash sign, colon and
 opening angle bracket, so no text can be read as a mark and reading back gives it unchanged.
 
-Defined cases: null roles and texts are empty; a node whose parent is missing is a root;
-nodes that lead into a cycle have no root and form no path; repeated rows of one
-(tree, node) count once, the least by role and text; extra columns are ignored; an
-empty table gives no rows.
+Defined cases: null roles and texts are empty, null scores 0; a null tree (conversation) is
+a tree like any other; a node whose parent is missing is a root; nodes that lead into a
+cycle have no root and form no path, and what hangs on them neither; repeated rows of one
+(tree, node) count once, the least by role and text, with the least parent and the highest
+score; rows without a node are left out; extra columns are ignored; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -96,45 +100,78 @@ def chain(rows: DataFrame, tree: str = "conv_id", order: str = "turn") -> DataFr
     return m.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
-def paths(messages: DataFrame) -> DataFrame:
-    """(tree, leaf, node, up): for each leaf with a root, the nodes on its path, ``up`` steps above the leaf."""
-    spark = messages.sparkSession
-    ensure_checkpoint_dir(spark)
-    ids = messages.select("tree", "node").distinct()
-    links = messages.where("parent is not null").select("tree", "node", "parent").groupBy("tree", "node").agg(F.min("parent").alias("parent"))
-    up = links.join(ids.select("tree", F.col("node").alias("parent")), ["tree", "parent"], "left_semi").select("tree", "node", "parent").checkpoint()
-    leaves = ids.join(up.select("tree", F.col("parent").alias("node")).distinct(), ["tree", "node"], "left_anti")
-    # both tables are cut from their lineage in each round: plans would double otherwise
-    found = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")).checkpoint()
-    jump, step = up, 1
-    while not jump.isEmpty():
-        j = jump.select("tree", "node", F.col("parent").alias("to"))
-        found = found.union(found.join(j, ["tree", "node"]).select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + step).alias("up"))).checkpoint()
-        # nodes of a cycle jump for ever; a path is longer than its tree only if it holds one
-        jump = jump.join(jump.select("tree", F.col("node").alias("parent"), F.col("parent").alias("to")), ["tree", "parent"]).select("tree", "node", F.col("to").alias("parent")).where("node <> parent").checkpoint()
-        step *= 2
-        if step > 1 << 40:
+def _nodes(messages: DataFrame) -> DataFrame:
+    """(tree, node, parent, score, role, text), one row for each; ``tree`` in a struct, in which nulls are equal to each other."""
+    m = messages.where("node is not null").select(F.struct("tree").alias("tree"), "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"), F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("m"))
+    m = m.groupBy("tree", "node").agg(F.min("parent").alias("parent"), F.max("score").alias("score"), F.min("m").alias("m"))
+    return m.select("tree", "node", "parent", "score", "m.role", "m.text")
+
+
+def _doubled(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """The rounds' tables of ancestors (tree, node, to), and (tree, node, total, n) of every node that has a root."""
+    ensure_checkpoint_dir(nodes.sparkSession)
+    ids = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("there"))
+    state = nodes.select("tree", "node", "parent", "score").join(ids, ["tree", "parent"], "left")
+    # a node's way so far: up to ``to``, which isn't part of it; none: up to the root
+    state = state.select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("to"), F.col("score").alias("total"), F.lit(1).cast("long").alias("n")).checkpoint()
+    rounds, longest = [], None
+    while not (jump := state.where("to is not null")).isEmpty():
+        # no way is longer than its tree: what goes on beyond leads into a cycle
+        longest = longest or nodes.groupBy("tree").count().agg(F.max("count")).first()[0]
+        if 2 ** len(rounds) > longest:
             break
-    rooted = found.join(up.select("tree", "node"), ["tree", "node"], "left_anti").select("tree", "leaf").distinct()
-    return found.join(rooted, ["tree", "leaf"], "left_semi").checkpoint()
+        rounds.append(jump.select("tree", "node", "to"))
+        next_one = state.select("tree", F.col("node").alias("to"), F.col("to").alias("beyond"), F.col("total").alias("more"), F.col("n").alias("m"))
+        state = state.join(next_one, ["tree", "to"], "left")
+        state = state.select("tree", "node", F.col("beyond").alias("to"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("n") + F.coalesce("m", F.lit(0))).alias("n")).checkpoint()
+    return rounds, state.where("to is null").select("tree", "node", "total", "n")
 
 
-def rank_paths(path_rows: DataFrame, messages: DataFrame) -> DataFrame:
-    """(tree, leaf, score, n, rank): branches of each tree, best mean score first."""
-    scored = path_rows.join(messages.groupBy("tree", "node").agg(F.max(F.coalesce("score", F.lit(0.0))).alias("score")), ["tree", "node"])
-    per = scored.groupBy("tree", "leaf").agg(F.avg("score").alias("score"), F.count("*").alias("n"))
+def _leaves(nodes: DataFrame, rooted: DataFrame) -> DataFrame:
+    """(tree, leaf, total, n) of the nodes with a root that nobody replies to."""
+    parents = nodes.where("parent is not null").select("tree", F.col("parent").alias("node")).distinct()
+    return rooted.join(parents, ["tree", "node"], "left_anti").withColumnRenamed("node", "leaf")
+
+
+def _walked(leaves: DataFrame, rounds: list[DataFrame]) -> DataFrame:
+    """(tree, leaf, node, up): all nodes on the paths of the given leaves."""
+    found = leaves.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up"))
+    for k, jump in enumerate(rounds):
+        further = found.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + 2**k).alias("up"))
+        # cut from the lineage in each round: the plan would double otherwise
+        found = found.union(further).checkpoint()
+    return found
+
+
+def _ranked(leaves: DataFrame) -> DataFrame:
     w = Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("n"), "leaf")
+    per = leaves.select("tree", "leaf", (F.col("total") / F.col("n")).alias("score"), "n")
     return per.withColumn("rank", F.row_number().over(w))
 
 
+def paths(messages: DataFrame) -> DataFrame:
+    """(tree, leaf, node, up): for each leaf with a root, the nodes on its path, ``up`` steps above the leaf."""
+    nodes = _nodes(messages)
+    rounds, rooted = _doubled(nodes)
+    return _walked(_leaves(nodes, rooted), rounds).select("tree.tree", "leaf", "node", "up")
+
+
+def rank_paths(messages: DataFrame) -> DataFrame:
+    """(tree, leaf, score, n, rank): branches of each tree, best mean score first."""
+    nodes = _nodes(messages)
+    return _ranked(_leaves(nodes, _doubled(nodes)[1])).select("tree.tree", "leaf", "score", "n", "rank")
+
+
 def chosen_turns(messages: DataFrame, best: int | None = 1) -> DataFrame:
     """(tree, leaf, rank, up, role, text) of each tree's ``best`` branches (None: all)."""
-    p = paths(messages)
-    ranked = rank_paths(p, messages)
+    nodes = _nodes(messages)
+    rounds, rooted = _doubled(nodes)
+    ranked = _ranked(_leaves(nodes, rooted))
     if best is not None:
         ranked = ranked.where(F.col("rank") <= best)
-    body = messages.groupBy("tree", "node").agg(F.min(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))).alias("m"))
-    return p.join(ranked.select("tree", "leaf", "rank"), ["tree", "leaf"]).join(body, ["tree", "node"]).select("tree", "leaf", "rank", "up", "m.role", "m.text")
+    ranked = ranked.select("tree", "leaf", "rank").checkpoint()
+    p = _walked(ranked, rounds).join(ranked, ["tree", "leaf"])
+    return p.join(nodes.select("tree", "node", "role", "text"), ["tree", "node"]).select("tree.tree", "leaf", "rank", "up", "role", "text")
 
 
 def _by_path(turns: DataFrame) -> DataFrame:

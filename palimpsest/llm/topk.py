@@ -1,21 +1,29 @@
 """Exact top-k inner products by a score-at-a-time index ordered by impact.
 
-Vectors are quantised to integers. The index of a block of candidates holds, for each
-impact level (absolute value), the posting segments of that level: (dimension, value,
-rows). A block of queries takes the levels in descending order; a level's segments are
-laid out as a matrix of their values and added to all accumulators at once. What a
-candidate still has to come is bounded from its residual norm and the level reached, so
-after each band of levels the accumulators give a lower and an upper bound of every
-score. When the candidates whose upper bound reaches the k-th best lower bound are few
-enough to score directly, no other row can be a member - that is the proof on which
-processing stops - and the possible members are scored exactly.
-
-The stated query set meets all rows block by block: query blocks are copied to the
-candidate blocks' keys and joined there, never row by row. Each meeting returns k rows a
-query, merged by a window whose limit is applied before its shuffle.
-
-Rows whose vector is null, holds null or non-finite components, or has another length
-than most take no part. Ties go to the smaller id; repeated rows are candidates each.
+Vectors are quantised to integers. The index of a block of candidates orders its postings
+(row, dimension, value) by descending impact level (absolute value) and cuts them into
+bands of whole levels, each laid out as a matrix of its values. A block of queries takes
+the bands in turn and adds each to all accumulators at once. What a candidate still has to
+come is bounded from the norm of its postings in later bands and the level reached, so
+after each band the accumulators give a lower and an upper bound of every score. When the
+candidates whose upper bound reaches the k-th best lower bound are few enough to score
+directly, no other row can be a member - that is the proof on which processing stops - and
+the possible members are scored exactly.
+
+Sums are exact where the largest possible one is an exactly representable whole number
+(below 2**24 in single, 2**53 in double precision); beyond, the bounds are widened by the
+rounding error's own bound and members are scored in whole numbers of any size. A score
+beyond a long is held at its bounds, and such scores tie.
+
+The stated query set meets all rows block by block: packs of queries are dealt to every
+block's task, never row by row. Each meeting returns k rows a query, merged by a window
+whose limit is applied before its shuffle.
+
+Rows whose vector is null or holds null or non-finite components take no part, an empty
+vector scores 0 with all, and of vectors of different lengths the components that both have
+count. Ties go to the smaller id; repeated rows are candidates each and only rows with the
+query's own id are left out; rows without an id take no part; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -27,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import shuffle_parts
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -37,141 +47,173 @@ class Settings:
     #: levels are taken in bands that hold about this share of the impact mass
     bands: int = 6
     direct: int = 256
+    #: numbers in a pack of vectors; bounds a task's memory for long ones
+    cells: int = 1 << 22
+
+
+#: Whole numbers below these are exact in single and double precision.
+SINGLE, DOUBLE, LONG = 2.0**24, 2.0**53, 2**63 - 1
 
 
 class Index:
-    """Posting segments of one block, by descending level."""
+    """Bands of postings of one block of like long vectors, by descending level."""
 
-    def __init__(self, ids: np.ndarray, v: np.ndarray):
+    def __init__(self, ids: np.ndarray, v: np.ndarray, bands: int):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.v = ids[order], v[order]
+        self.ids, self.v = ids[order], v[order].astype(np.float64)
         size = np.abs(self.v)
+        self.top = float(size.max(initial=0))
         rows, dims = np.nonzero(size)
         level = size[rows, dims]
-        by = np.lexsort((rows, self.v[rows, dims], dims, -level))
-        self.rows, self.dims, self.level = rows[by], dims[by], level[by]
-        self.value = self.v[self.rows, self.dims].astype(np.float32)
-
-    def bands(self, n: int) -> list[tuple[int, int, int]]:
-        """(begin, end, level of what is left) of posting runs with about equal squared impact; whole levels only."""
-        if not len(self.level):
-            return []
-        mass = np.cumsum(self.level.astype(float) ** 2)
-        cuts = [0]
-        for i in range(1, n):
-            at = int(np.searchsorted(mass, mass[-1] * (1 - 0.5**i)))
-            end = int(np.searchsorted(-self.level, -self.level[min(at, len(self.level) - 1)], "right"))
-            if end > cuts[-1]:
-                cuts.append(end)
-        if cuts[-1] < len(self.level):
-            cuts.append(len(self.level))
-        return [(a, b, int(self.level[b]) if b < len(self.level) else 0) for a, b in zip(cuts, cuts[1:], strict=False)]
+        by = np.lexsort((rows, dims, -level))
+        rows, dims, level = rows[by], dims[by], level[by]
+        self.norm = np.sqrt((size * size).sum(1)) * (1 + 1e-9)
+        #: (values of the band, norms of the postings of later bands, level of the next)
+        self.bands: list[tuple[np.ndarray, np.ndarray, float]] = []
+        later = size.copy()
+        for a, b in _cuts(level, bands):
+            part = np.zeros_like(self.v)
+            part[rows[a:b], dims[a:b]] = self.v[rows[a:b], dims[a:b]]
+            later[rows[a:b], dims[a:b]] = 0
+            self.bands.append((part, np.sqrt((later * later).sum(1)) * (1 + 1e-9), float(level[b]) if b < len(level) else 0.0))
 
     def search(self, q_ids: np.ndarray, q: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query row, candidate id, score), k a query at most, own id left out."""
-        n, d = self.v.shape
-        q = q.astype(np.float32)
-        k = min(s.k + 1, n)  # the query's own row may be among them
-        acc = np.zeros((len(q), n), np.float32)
-        residual = (self.v.astype(np.float32) ** 2).sum(1)
-        q_norm, q_sum = np.sqrt((q * q).sum(1)), np.abs(q).sum(1)
-        done = np.zeros(len(q), bool)
+        width = min(q.shape[1], self.v.shape[1])
+        q, n = q[:, :width].astype(np.float64), len(self.v)
+        own = np.searchsorted(self.ids, q_ids, "right") - np.searchsorted(self.ids, q_ids)
+        q_norm, q_sum = np.sqrt((q * q).sum(1)) * (1 + 1e-9), np.abs(q).sum(1)
+        most = q_sum * self.top
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        whole = self.v.astype(np.float32)
-        for a, b, left in self.bands(s.bands):
-            live = np.flatnonzero(~done)
-            if not len(live):
-                break
-            segment = np.zeros((n, d), np.float32)
-            segment[self.rows[a:b], self.dims[a:b]] = self.value[a:b]
-            acc[live] += q[live] @ segment.T
-            residual -= (segment * segment).sum(1)
-            np.maximum(residual, 0, out=residual)
-            rest = np.minimum(q_norm[live, None] * np.sqrt(residual), (q_sum[live] * left)[:, None]) + (0.5 if left else 0)
-            low = acc[live] - rest
-            kth = np.partition(low, n - k, axis=1)[:, n - k]
-            possible = acc[live] + rest >= kth[:, None]
-            few = possible.sum(1) <= (s.direct if left else n)
-            for i in np.flatnonzero(few):
-                at = np.flatnonzero(possible[i])
-                row = live[i]
-                out.append(self._exact(row, q_ids[row], q[row], at, whole, s.k))
-            done[live[few]] = True
-        for row in np.flatnonzero(~done):  # no impact at all: every score is 0
-            out.append(self._exact(row, q_ids[row], q[row], np.arange(n), whole, s.k))
+        for rows, kind, slack in ((most < SINGLE, np.float32, 0.0), ((most >= SINGLE) & (most < DOUBLE), np.float64, 0.0), ((most >= DOUBLE) & (most < LONG), np.float64, (width + 8) * 2.0**-52)):
+            for live, possible in self._proved(np.flatnonzero(rows), q, q_norm, q_sum, own, kind, slack, width, s):
+                out.append(self._exact(live, q_ids[live], q[live], np.flatnonzero(possible), width, s.k))
+        for row in np.flatnonzero(~(most < LONG)):  # scores may be held at a long's bounds: all are looked at
+            out.append(self._exact(row, q_ids[row], q[row], np.arange(n), width, s.k))
         if not out:
             return (np.zeros(0, np.int64),) * 3
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
-    def _exact(self, row: int, own: int, q: np.ndarray, at: np.ndarray, whole: np.ndarray, k: int):
-        score = (whole[at].astype(np.float64) @ q.astype(np.float64)).astype(np.int64)
-        ok = self.ids[at] != own
-        at, score = at[ok], score[ok]
+    def _proved(self, live: np.ndarray, q: np.ndarray, q_norm: np.ndarray, q_sum: np.ndarray, own: np.ndarray, kind: type, slack: float, width: int, s: Settings):
+        """(query row, candidates that may be members), as soon as they are few or nothing is left to come."""
+        n = len(self.v)
+        acc = np.zeros((len(live), n), kind)
+        for part, later, left in self.bands:
+            if not len(live):
+                return
+            acc += q[live].astype(kind) @ part[:, :width].astype(kind).T
+            rest = np.minimum(q_norm[live, None] * later, (q_sum[live] * left)[:, None]) + slack * q_norm[live, None] * self.norm
+            low = acc - rest
+            possible = np.empty(acc.shape, bool)
+            # the query's own rows may be among the best
+            k = np.minimum(s.k + own[live], n)
+            for size in np.unique(k):
+                some = k == size
+                kth = np.partition(low[some], n - size, axis=1)[:, n - size]
+                possible[some] = acc[some] + rest[some] >= kth[:, None]
+            few = possible.sum(1) <= (s.direct if left else n)
+            yield from zip(live[few], possible[few], strict=True)
+            live, acc = live[~few], acc[~few]
+        for row in live:  # no impact at all: every score is 0
+            yield row, np.ones(n, bool)
+
+    def _exact(self, row: int, own: int, q: np.ndarray, at: np.ndarray, width: int, k: int):
+        at = at[self.ids[at] != own]
+        v = self.v[at, :width]
+        if np.abs(q).sum() * self.top < DOUBLE:
+            score = (v @ q).astype(np.int64)
+        else:
+            whole = [int(x) for x in q.tolist()]
+            score = np.array([max(-LONG, min(LONG, sum(int(a) * b for a, b in zip(x, whole, strict=True)))) for x in v.tolist()], np.int64)
         best = np.lexsort((self.ids[at], -score))[:k]
         return np.full(len(best), row), self.ids[at[best]], score[best]
 
 
+def _cuts(level: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Bands of whole levels, each with about half of the squared impact that is left."""
+    if not len(level):
+        return []
+    mass, cuts = np.cumsum(level**2), [0]
+    for i in range(1, n):
+        at = min(int(np.searchsorted(mass, mass[-1] * (1 - 0.5**i))), len(level) - 1)
+        end = int(np.searchsorted(-level, -level[at], "right"))
+        if end > cuts[-1]:
+            cuts.append(end)
+    if cuts[-1] < len(level):
+        cuts.append(len(level))
+    return [*zip(cuts, cuts[1:], strict=False)]
+
+
 def quantised(embedding: str | Column, scale: int) -> Column:
-    """floor(scale * x) as an array<int>; null where a component is null or not finite."""
+    """floor(scale * x) as whole numbers in an array<double>; null where a component is null or not finite.
+
+    A component whose product passes 2**53 is a whole number already, so none overflows.
+    """
     e = F.col(embedding) if isinstance(embedding, str) else embedding
     bad = F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(e.isNotNull() & ~bad, F.transform(e, lambda x: F.floor(scale * x.cast("double")).cast("int")))
+    scaled = lambda x: x.cast("double") * F.lit(float(scale))
+    return F.when(e.isNotNull() & ~bad, F.transform(e, lambda x: F.when(F.abs(scaled(x)) < F.lit(DOUBLE), F.floor(scaled(x)).cast("double")).otherwise(scaled(x))))
 
 
-def packed(rows: DataFrame, size: int) -> DataFrame:
-    """(id, v) rows to (part, n, ids binary, v binary) blocks of ``size`` rows at most, within their partitions."""
+PACK = "n int, width int, kind string, ids binary, v binary"
 
-    def run(batches):
-        from pyspark import TaskContext
 
-        n, held = 0, []
+def packed(rows: DataFrame, cells: int) -> DataFrame:
+    """(id, v) rows to packs of like long vectors, ``cells`` numbers at most, within their partitions."""
 
-        def block(some):
-            nonlocal n
-            ids = np.array([x for x, _ in some], "<i8")
-            v = np.array([x for _, x in some], "<i4").reshape(len(some), -1)
-            n += 1
-            return ((TaskContext.get().partitionId() << 24) + n, len(some), ids.tobytes(), v.tobytes())
+    def run(batches):
+        held: dict[int, list[tuple[int, list]]] = {}
 
-        def batch_of(x):
-            return pa.RecordBatch.from_arrays([pa.array([x[0]], pa.int64()), pa.array([x[1]], pa.int32()), pa.array([x[2]], pa.binary()), pa.array([x[3]], pa.binary())], ["part", "n", "ids", "v"])
+        def pack(width):
+            some = held.pop(width)
+            v = np.array([x for _, x in some], np.float64).reshape(len(some), width)
+            top = np.abs(v).max(initial=0)
+            kind = "<i2" if top < 2**15 else "<i4" if top < 2**31 else "<f8"
+            cols = ([len(some)], [width], [kind], [np.array([x for x, _ in some], "<i8").tobytes()], [v.astype(kind).tobytes()])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary()), strict=True)], ["n", "width", "kind", "ids", "v"])
 
         for b in batches:
-            held += zip(b.column("id").to_pylist(), b.column("v").to_pylist(), strict=True)
-            while len(held) >= size:
-                yield batch_of(block(held[:size]))
-                held = held[size:]
-        if held:
-            yield batch_of(block(held))
+            for i, v in zip(b.column("id").to_pylist(), b.column("v").to_pylist(), strict=True):
+                held.setdefault(len(v), []).append((i, v))
+                if len(held[len(v)]) * len(v) >= cells:
+                    yield pack(len(v))
+        for width in [*held]:
+            yield pack(width)
 
-    return rows.select("id", "v").mapInArrow(run, "part long, n int, ids binary, v binary")
+    return rows.select("id", "v").mapInArrow(run, PACK)
 
 
 def search(candidates: DataFrame, queries: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(id long, v array<int>) tables: (query_id, rank, vec_id, score), the k best candidates of each query."""
-    width = candidates.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    if width is None:
-        return candidates.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    ok = F.size("v") == width.w
-    # full blocks, however the rows were dealt out before
-    full = max(1, -(-width["count"] // s.block))
-    c = packed(candidates.where(ok).repartition(full), s.block)
-    q = packed(queries.where(ok).repartition(max(1, min(full, width["count"] // s.query_block))), s.query_block)
-    keys = [r.part for r in c.select("part").collect()]  # one number for each block of rows
-    spread = q.select(F.explode(F.array(*map(F.lit, keys))).alias("part"), F.col("ids").alias("q_ids"), F.col("v").alias("q_v"), F.col("n").alias("q_n"))
-    met = spread.join(c, "part")
-    met = met.repartition(max(len(keys), int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))), F.xxhash64("part", "q_ids"))
+    """(id long, v array<double>) tables: (query_id, rank, vec_id, score), the k best candidates of each query."""
+    spark = candidates.sparkSession
+    parts = shuffle_parts(spark)
+    total = candidates.count()
+    if not total:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    n_blocks = -(-total // s.block)
+    n_packs = max(1, -(-total // (20 * s.query_block)))
+    # by the row's own number, not its id: equal ids are dealt out too
+    dealt = lambda rows, n: rows.withColumn("to", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")).repartitionById(n, "to")
+    # a block holds vectors of the common length in one pack; longer ones come in more packs
+    c = packed(dealt(candidates, n_blocks), s.cells).select(F.spark_partition_id().alias("part"), F.lit(0).alias("asks"), "n", "width", "kind", "ids", "v")
+    q = packed(dealt(queries, n_packs), s.cells).select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("part"), F.lit(1).alias("asks"), "n", "width", "kind", "ids", "v")
+    met = c.union(q).repartitionById(max(n_blocks, parts), "part").sortWithinPartitions("part", "asks")
 
     def run(batches):
-        last, index = None, None
+        last, held = None, []
         for b in batches:
-            for part, q_ids, q_v, q_n, n, ids, v in zip(*(b.column(x).to_pylist() for x in ("part", "q_ids", "q_v", "q_n", "n", "ids", "v")), strict=True):
+            for part, asks, n, width, kind, ids, v in zip(*(b.column(x).to_pylist() for x in ("part", "asks", "n", "width", "kind", "ids", "v")), strict=True):
                 if part != last:
-                    last, index = part, Index(np.frombuffer(ids, "<i8"), np.frombuffer(v, "<i4").reshape(n, -1))
-                own = np.frombuffer(q_ids, "<i8")
-                row, vec, score = index.search(own, np.frombuffer(q_v, "<i4").reshape(q_n, -1), s)
-                yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(vec), pa.array(score)], ["query_id", "vec_id", "score"])
-
-    best = met.select("part", "q_ids", "q_v", "q_n", "n", "ids", "v").sortWithinPartitions("part").mapInArrow(run, "query_id long, vec_id long, score long")
+                    last, held = part, []
+                own, matrix = np.frombuffer(ids, "<i8"), np.frombuffer(v, kind).reshape(n, width)
+                if not asks:
+                    held.append(Index(own, matrix, s.bands))
+                    continue
+                for index in held:
+                    for i in range(0, n, s.query_block):
+                        row, vec, score = index.search(own[i : i + s.query_block], matrix[i : i + s.query_block], s)
+                        yield pa.RecordBatch.from_arrays([pa.array(own[i : i + s.query_block][row]), pa.array(vec), pa.array(score)], ["query_id", "vec_id", "score"])
+
+    best = met.mapInArrow(run, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= s.k).select("query_id", "rank", "vec_id", "score")
