@@ -4,17 +4,22 @@ A recording is cut into overlapping frames whose spectra are folded into twelve
 classes, smoothed over time and normalised. Sixteen rectangular filters, evaluated on
 the integral image of the resulting (time, class) picture, compare the energy of two
 areas; each comparison is quantised to two bits of Gray code, and the sixteen make one
-32-bit integer for each position. Two recordings are aligned by a histogram of the
-offsets at which quarters of their integers agree; every offset with enough votes is judged
-by the share of differing bits over the whole overlap, exactly, and the best one stays.
+32-bit integer for each position.
+
+The index of a block of recordings lists the places of every value of each 16-bit window
+of the integers (windows begin at every eighth bit and wrap around). A query looks its own
+values up and counts the hits by recording and offset: the offset histogram. Every offset
+in it is judged by the share of differing bits over the whole overlap, exactly, and the
+best one of each recording stays.
 
 The filters follow from a rule (``filters``), not from a table. Recordings that are null,
 unreadable, shorter than a fingerprint or silent have no integers and match nothing.
-Repeated rows are recordings of their own; ties between offsets go to the smaller shift;
-an empty table gives no rows; other columns are ignored.
+Repeated rows and rows without an id are recordings of their own (``common.numbered``); ties
+between offsets go to the smaller shift, between recordings to the smaller id; an empty
+table gives no rows; other columns are ignored.
 
-A stated set of queries meets all recordings block by block; a block returns matches only,
-and all of them.
+A stated set of queries is looked up in the index of every block; ``match`` returns all
+matches, ``lookups`` one row for each query with their number and the best one.
 """
 
 from __future__ import annotations
@@ -29,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import numbered, shuffle_parts
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -41,9 +48,11 @@ class Settings:
     step: float = 0.25
     least_overlap: int = 8
     most_errors: float = 0.15
-    least_votes: int = 4
+    least_votes: int = 1
     block: int = 4096
     query_block: int = 128
+    #: candidate offsets that are judged at a time, in positions; bounds a task's memory
+    judged: int = 1 << 21
 
 
 SMOOTH = np.array([0.25, 0.75, 1.0, 0.75, 0.25])
@@ -168,7 +177,7 @@ def played(vectors: np.ndarray, s: Settings, seconds: float = 4.0) -> np.ndarray
 
 
 def fingerprints(rows: DataFrame, column: str, s: Settings = Settings(), decode: Callable | None = None) -> DataFrame:
-    """(id, ``column``) rows to (id, fp binary): little-endian packed integers of each recording.
+    """(id, ``column``) rows to (k, id, fp binary): little-endian packed integers of each recording, ``k`` its row's own number.
 
     ``decode`` turns a list of the column's values into a list of sample arrays (or None); WAVE bytes by default.
     """
@@ -189,9 +198,10 @@ def fingerprints(rows: DataFrame, column: str, s: Settings = Settings(), decode:
                     silent = (picture == 0).all((1, 2)) if picture.shape[1] else np.ones(len(ks), bool)
                     for k, fp, no in zip(ks, integers(picture, s), silent, strict=True):
                         out[k] = b"" if no else fp.astype("<u4").tobytes()
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(out, pa.binary())], ["id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("k"), part.column("id"), pa.array(out, pa.binary())], ["k", "id", "fp"])
 
-    return rows.select("id", column).mapInArrow(run, "id long, fp binary")
+    keyed = numbered(rows.select("id", column), "id").select("k", F.col("row.id").cast("long").alias("id"), F.col("row")[column].alias(column))
+    return keyed.mapInArrow(run, "k long, id long, fp binary")
 
 
 def decode_vectors(s: Settings) -> Callable:
@@ -208,104 +218,118 @@ def decode_vectors(s: Settings) -> Callable:
     return decode
 
 
-def aligned(q: np.ndarray, codes: np.ndarray, owner: np.ndarray, place: np.ndarray, first: np.ndarray, size: np.ndarray, parts: list, s: Settings):
-    """Matches of one query in a block: (recording, offset, votes, errors, overlap)."""
-    hits_o, hits_d = [], []
-    for shift, order, ordered in parts:
-        part = (q >> np.uint32(shift)) & np.uint32(0xFF)
-        lo, hi = np.searchsorted(ordered, part, "left"), np.searchsorted(ordered, part, "right")
-        n = hi - lo
-        at = order[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-        hits_o.append(owner[at])
-        hits_d.append(place[at] - np.repeat(np.arange(len(q)), n))
-    o, d = np.concatenate(hits_o), np.concatenate(hits_d)
-    if not len(o):
-        return np.zeros((0, 5))
-    span = 1 << 20
-    key, votes = np.unique(o.astype(np.int64) * span + d + span // 2, return_counts=True)
-    key, votes = key[votes >= s.least_votes], votes[votes >= s.least_votes]
-    if not len(key):
-        return np.zeros((0, 5))
-    rec, off = key // span, key % span - span // 2
-    i, out = np.arange(len(q)), []
-    for c in range(0, len(rec), 1 << 16):
-        r, d, v = rec[c : c + (1 << 16)], off[c : c + (1 << 16)], votes[c : c + (1 << 16)]
-        at = i[None, :] + d[:, None]
-        inside = (at >= 0) & (at < size[r][:, None])
-        code = codes[np.where(inside, first[r][:, None] + at, 0)]
-        wrong = np.where(inside, np.bitwise_count(code ^ q[None, :]), 0).sum(1)
-        overlap = inside.sum(1)
-        errors = wrong / np.maximum(32 * overlap, 1)
-        ok = (overlap >= s.least_overlap) & (errors <= s.most_errors)
-        out.append(np.c_[r, d, v, errors, overlap][ok])
-    m = np.concatenate(out)
-    m = m[np.lexsort((m[:, 1], np.abs(m[:, 1]), m[:, 3], m[:, 0]))]
-    return m[np.r_[True, m[1:, 0] != m[:-1, 0]]] if len(m) else m
+#: First bits of the 16-bit windows under which an integer is listed.
+WINDOWS = (0, 8, 16, 24)
+
+
+def window_of(codes: np.ndarray, shift: int) -> np.ndarray:
+    turned = codes if not shift else (codes >> np.uint32(shift)) | (codes << np.uint32(32 - shift))
+    return (turned & np.uint32(0xFFFF)).astype(np.uint16)
+
+
+class Index:
+    """The recordings of a block, and for each window the places of its values in order."""
+
+    def __init__(self, fps: list[bytes]):
+        self.size = np.array([len(f) // 4 for f in fps])
+        self.codes = np.frombuffer(b"".join(fps), "<u4")
+        self.first = np.cumsum(self.size) - self.size
+        self.owner = np.repeat(np.arange(len(fps)), self.size)
+        self.place = np.arange(len(self.codes)) - self.first[self.owner]
+        self.listed = []
+        for shift in WINDOWS:
+            value = window_of(self.codes, shift)
+            order = np.argsort(value, kind="stable")
+            self.listed.append((shift, order, np.searchsorted(value[order], np.arange((1 << 16) + 1))))
+
+    def offsets(self, q: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(recording, offset, votes) of every offset with enough hits and overlap."""
+        m = len(q)
+        # a recording's offsets from 1 - m on are cells of one histogram
+        base = np.cumsum(self.size + m - 1) - (self.size + m - 1)
+        votes = np.zeros(int((self.size + m - 1).sum()), np.int32)
+        for shift, order, begin in self.listed:
+            value = window_of(q, shift)
+            n = begin[value + np.int64(1)] - begin[value]
+            at = order[np.repeat(begin[value] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            cell = base[self.owner[at]] + self.place[at] + (m - 1) - np.repeat(np.arange(m), n)
+            votes += np.bincount(cell, minlength=len(votes)).astype(np.int32)
+        hit = np.flatnonzero(votes >= s.least_votes)
+        rec = np.searchsorted(base, hit, "right") - 1
+        off = hit - base[rec] - (m - 1)
+        wide = np.minimum(m, self.size[rec] - off) - np.maximum(0, -off) >= s.least_overlap
+        return rec[wide], off[wide], votes[hit[wide]]
+
+    def aligned(self, q: np.ndarray, s: Settings) -> np.ndarray:
+        """Matches of one query: rows of recording, offset, votes, errors, overlap."""
+        rec, off, votes = self.offsets(q, s)
+        i, out = np.arange(len(q)), [np.zeros((0, 5))]
+        step = max(1, s.judged // max(1, len(q)))
+        for c in range(0, len(rec), step):
+            r, d, v = rec[c : c + step], off[c : c + step], votes[c : c + step]
+            at = i[None, :] + d[:, None]
+            inside = (at >= 0) & (at < self.size[r][:, None])
+            code = self.codes[np.where(inside, self.first[r][:, None] + at, 0)]
+            overlap = inside.sum(1)
+            errors = (np.bitwise_count(code ^ q[None, :]) * inside).sum(1) / (32 * overlap)
+            ok = errors <= s.most_errors
+            out.append(np.c_[r, d, v, errors, overlap][ok])
+        m = np.concatenate(out)
+        m = m[np.lexsort((m[:, 1], np.abs(m[:, 1]), m[:, 3], m[:, 0]))]
+        return m[np.r_[True, m[1:, 0] != m[:-1, 0]]] if len(m) else m
+
+
+MATCH = "query_k long, query_id long, match_id long, offset int, votes int, bit_errors double, overlap int"
 
 
 def match(prints: DataFrame, queries: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(id, fp) tables: (query_id, match_id, offset, votes, bit_errors, overlap) of every match but a row's own."""
+    """(k, id, fp) tables: (query_k, query_id, match_id, offset, votes, bit_errors, overlap) of every match but a row's own."""
     spark = prints.sparkSession
     some = prints.where("octet_length(fp) > 0")
     total = some.count()
     if not total:
-        return spark.createDataFrame([], "query_id long, match_id long, offset int, votes int, bit_errors double, overlap int")
-    full = max(1, -(-total // s.block))
-    c = _blocks(some.repartition(full), s.block)
-    q = _blocks(queries.where("octet_length(fp) > 0").repartition(max(1, min(full, total // 5000))), s.query_block)
-    parts = [r.part for r in c.select("part").collect()]
-    spread = q.select(F.explode(F.array(*map(F.lit, parts))).alias("part"), F.col("ids").alias("q_ids"), F.col("fps").alias("q_fps"))
-    met = spread.join(c, "part").repartition(max(len(parts), int(spark.conf.get("spark.sql.shuffle.partitions"))), F.xxhash64("part", "q_ids"))
-    names = ["query_id", "match_id", "offset", "votes", "bit_errors", "overlap"]
+        return spark.createDataFrame([], MATCH)
+    n_blocks = -(-total // s.block)
+    rows = some.select(F.pmod(F.xxhash64("k"), F.lit(n_blocks)).cast("int").alias("block"), F.lit(0).alias("asks"), F.array(F.struct("k", "id", "fp")).alias("rows"))
+    asks = queries.where("octet_length(fp) > 0")
+    # queries travel a few at a time, to every block
+    packs = asks.groupBy(F.pmod(F.xxhash64("k"), F.lit(max(1, total // (100 * s.query_block)))).alias("pack")).agg(F.collect_list(F.struct("k", "id", "fp")).alias("rows"))
+    packs = packs.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.lit(1).alias("asks"), "rows")
+    met = rows.union(packs).repartitionById(max(n_blocks, shuffle_parts(spark)), "block").sortWithinPartitions("block", "asks")
+    names = [x.split()[0] for x in MATCH.split(", ")]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32())
 
     def run(batches):
-        last, held = None, None
-        for b in batches:
-            for part, q_ids, q_fps, ids, fps in zip(*(b.column(x).to_pylist() for x in ("part", "q_ids", "q_fps", "ids", "fps")), strict=True):
-                if part != last:
-                    size = np.array([len(f) // 4 for f in fps])
-                    codes = np.frombuffer(b"".join(fps), "<u4")
-                    first = np.cumsum(size) - size
-                    owner = np.repeat(np.arange(len(ids)), size)
-                    place = np.arange(len(codes)) - first[owner]
-                    quarters = []
-                    for shift in (0, 8, 16, 24):
-                        quarter = (codes >> np.uint32(shift)) & np.uint32(0xFF)
-                        order = np.argsort(quarter, kind="stable")
-                        quarters.append((shift, order, quarter[order]))
-                    last, held = part, (codes, owner, place, first, size, quarters, np.array(ids))
-                *index, own = held
-                rows = []
-                for qid, fp in zip(q_ids, q_fps, strict=True):
-                    m = aligned(np.frombuffer(fp, "<u4"), *index, s)
-                    who = own[m[:, 0].astype(int)] if len(m) else np.zeros(0, np.int64)
-                    for w, x in zip(who, m, strict=True):
-                        if w != qid:
-                            rows.append((qid, int(w), int(x[1]), int(x[2]), float(x[3]), int(x[4])))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32()), strict=True)], names)
-
-    return met.sortWithinPartitions("part").mapInArrow(run, "query_id long, match_id long, offset int, votes int, bit_errors double, overlap int")
-
-
-def _blocks(prints: DataFrame, size: int) -> DataFrame:
-    def run(batches):
-        from pyspark import TaskContext
-
-        n, ids, fps = 0, [], []
-
-        def out(i, f):
-            nonlocal n
-            n += 1
-            return pa.RecordBatch.from_arrays([pa.array([(TaskContext.get().partitionId() << 24) + n], pa.int64()), pa.array([i], pa.list_(pa.int64())), pa.array([f], pa.list_(pa.binary()))], ["part", "ids", "fps"])
-
+        block, held, index, out = None, [], None, []
         for b in batches:
-            ids += b.column("id").to_pylist()
-            fps += b.column("fp").to_pylist()
-            while len(ids) >= size:
-                yield out(ids[:size], fps[:size])
-                ids, fps = ids[size:], fps[size:]
-        if ids:
-            yield out(ids, fps)
-
-    return prints.select("id", "fp").mapInArrow(run, "part long, ids array<long>, fps array<binary>")
+            for here, asks, rows in zip(*(b.column(x).to_pylist() for x in ("block", "asks", "rows")), strict=True):
+                if here != block:
+                    block, held, index = here, [], None
+                if not asks:
+                    held += rows
+                    continue
+                if not held:
+                    continue
+                index = index or Index([x["fp"] for x in held])
+                for q in rows:
+                    for r, d, v, errors, overlap in index.aligned(np.frombuffer(q["fp"], "<u4"), s).tolist():
+                        if held[int(r)]["k"] != q["k"]:
+                            out.append((q["k"], q["id"], held[int(r)]["id"], int(d), int(v), errors, int(overlap)))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                    out = []
+
+    return met.mapInArrow(run, MATCH)
+
+
+def lookups(prints: DataFrame, queries: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """One row for each query with a fingerprint.
+
+    (query_id, n_links, best_id, offset, votes, bit_errors, overlap): the number of recordings within
+    reach and, of those, the one with the fewest differing bits (none: null).
+    """
+    best = F.min(F.struct("bit_errors", "match_id", "offset", "votes", "overlap"))
+    found = match(prints, queries, s).groupBy("query_k").agg(F.count("*").alias("n_links"), best.alias("best"))
+    asked = queries.where("octet_length(fp) > 0").select(F.col("k").alias("query_k"), F.col("id").alias("query_id"))
+    out = asked.join(found, "query_k", "left")
+    return out.select("query_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("best.match_id").alias("best_id"), "best.offset", "best.votes", "best.bit_errors", "best.overlap")

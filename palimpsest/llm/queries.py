@@ -20,9 +20,9 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 def op1_chroma_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     s = chroma.Settings()
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding").where("vec_id is not null")
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     prints = chroma.fingerprints(rows, "embedding", s, chroma.decode_vectors(s)).checkpoint()
-    return chroma.match(prints, prints.where("id % 100 = 0"), s)
+    return chroma.lookups(prints, prints.where("id % 100 = 0"), s)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
