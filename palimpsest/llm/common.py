@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,16 +18,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; set one only where none is set, as in tests."""
+    """Checkpoints go to the folder that the cluster names in spark.checkpoint.dir; without one there is no shared place."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         own = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(own or os.path.join(tempfile.gettempdir(), "palimpsest-checkpoints"))
+        if not own:
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+        sc.setCheckpointDir(own)
 
 
-def buckets_for(spark: SparkSession, factor: int = 4) -> int:
-    """Hash buckets for packed shuffles, in proportion to the session's shuffle partitions."""
-    return factor * int(spark.conf.get("spark.sql.shuffle.partitions"))
+def shuffle_parts(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def numbered(docs: DataFrame, order: str = "doc_id") -> DataFrame:
+    """(k, row): every row as a struct, with a long that is its own and follows ``order``, nulls first.
+
+    Where ``order`` is never null and never repeats it is the number itself; finding that
+    out shuffles that column's counts only. Else the rows are sorted by it across the
+    cluster, rows of one value by their text and then by where they were read, and written
+    to the shared folder, so that the numbers stay: no two rows fall together, and a value
+    that a third of all rows have is spread over many tasks.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    odd = docs.groupBy(F.col(order).alias("x")).agg(F.count("*").alias("n")).where("n > 1 or x is null")
+    if odd.isEmpty():
+        # never null, and said to be so: no filter parts the plans that share it
+        return rows.select(F.coalesce(F.col("row")[order].cast("long"), F.lit(0)).alias("k"), "row")
+    spark = docs.sparkSession
+    ensure_checkpoint_dir(spark)
+    text = F.col("row.text").cast("string") if "text" in docs.columns else F.lit("")
+    keys = [F.col("row")[order].asc_nulls_first(), F.xxhash64(text), F.col("read")]
+    spread = rows.withColumn("read", F.monotonically_increasing_id()).repartitionByRange(max(2, shuffle_parts(spark)), *keys).sortWithinPartitions(*keys)
+    return spread.select(F.monotonically_increasing_id().alias("k"), "row").checkpoint()
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.RecordBatch]]:
@@ -111,6 +132,10 @@ class Rolling:
         return mix64((prefix[q:] - prefix[:-q]) * self._down[:n] + np.uint64(q)) if n > 0 else np.zeros(0, np.uint64)
 
 
+#: Rounds after which components() gives up with an error; it needs about the logarithm of the longest path, squared at worst.
+MOST_ROUNDS = 60
+
+
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); root is the smallest node of its component.
 
@@ -121,7 +146,7 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(spark)
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
     before = None
-    for _ in range(60):
+    for _ in range(MOST_ROUNDS):
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # large star: every larger neighbour is linked to the smallest of the neighbourhood
@@ -129,8 +154,10 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         # small star: every node and its smaller neighbours are linked to the smallest of them
         low = e.groupBy("a").agg(F.min("b").alias("m"))
         e = e.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct().checkpoint()
-        now = e.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38)")), F.sum(F.hash("a", "b").cast("long"))).first()
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))

@@ -12,10 +12,13 @@ as the posterior probability that its similarity reaches the threshold (uniform
 matches are binomial) falls below ``tolerance``. What is left is verified exactly on the
 sets. A block emits a count of links for each member and a spanning forest, never its pairs.
 
-Results: one row for each document with its class (the smallest doc_id of its component)
+Results: one row for each row with its class (the doc_id of the first row of its component)
 and its number of links (other representatives at or above the threshold). Null and
 empty texts have no n-gram: each is a class of its own without links. Repeated rows are
-copies. Null doc_ids are left out; extra columns are ignored.
+copies of each other. Rows are told apart and ordered by ``common.numbered``: those whose
+doc_id is null or stands in other rows take part like any other, and come first or follow
+their texts' hash; a class whose first row has a null doc_id has a null ``class_id``
+(``classed`` has row numbers). An empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, components, ensure_checkpoint_dir, mix64, text_slices
+from .common import Rolling, components, ensure_checkpoint_dir, mix64, numbered, shuffle_parts, text_slices
 
 
 @dataclass(frozen=True)
@@ -116,11 +119,11 @@ def least_matches(s: Settings) -> list[tuple[int, int]]:
     return out
 
 
-SIGNED = "doc_id long, c1 long, c2 long, n int, sig binary"
+SIGNED = "k long, doc_id long, c1 long, c2 long, n int, sig binary"
 
 
-def signed(docs: DataFrame, s: Settings) -> DataFrame:
-    """(doc_id, c1, c2, n, sig) of every document with words: a digest of its set, its size, its MinHash values."""
+def signed(keyed: DataFrame, s: Settings) -> DataFrame:
+    """(k, doc_id, c1, c2, n, sig) of every row with words: a digest of its set, its size, its MinHash values."""
 
     def run(batches):
         for data, off, _, rows in text_slices(batches):
@@ -131,9 +134,9 @@ def signed(docs: DataFrame, s: Settings) -> DataFrame:
             c1, c2 = np.add.reduceat(mix64(h), first), np.add.reduceat(mix64(h ^ np.uint64(0x5851F42D4C957F2D)), first)
             sig = signatures(h, first, s)
             raw = pa.Array.from_buffers(pa.binary(), len(sig), [None, pa.py_buffer((np.arange(len(sig) + 1) * sig.shape[1] * 4).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(sig))])
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(which)), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.array(n.astype(np.int32)), raw], ["doc_id", "c1", "c2", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([*(rows.column(c).take(pa.array(which)) for c in ("k", "doc_id")), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.array(n.astype(np.int32)), raw], ["k", "doc_id", "c1", "c2", "n", "sig"])
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, SIGNED)
+    return keyed.select("k", "doc_id", "text").mapInArrow(run, SIGNED)
 
 
 def band_keys(reps: DataFrame, s: Settings) -> DataFrame:
@@ -207,7 +210,7 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def linked(docs: DataFrame, clusters: DataFrame, s: Settings) -> DataFrame:
+def linked(keyed: DataFrame, clusters: DataFrame, s: Settings) -> DataFrame:
     """(a, b, links): each member's number of links within a pair of blocks (b null), and forest edges (links 0)."""
 
     def sets(batches):
@@ -216,16 +219,25 @@ def linked(docs: DataFrame, clusters: DataFrame, s: Settings) -> DataFrame:
             which, first = np.unique(d, return_index=True)
             sig = signatures(h, first, s)
             ends = np.r_[first[1:], len(h)]
-            get = rows.select(["doc_id", "root", "size"]).to_pydict()
-            out = []
+            get = rows.select(["k", "root", "size"]).to_pydict()
+            out, held = [], 0
             for x, (t, i, j) in enumerate(zip(which.tolist(), first.tolist(), ends.tolist(), strict=True)):
-                k, n_blocks = get["doc_id"][t], -(-get["size"][t] // s.block)
+                k, n_blocks = get["k"][t], -(-get["size"][t] // s.block)
                 mine = int(mix64(np.array([k], np.int64).view(np.uint64))[0] % np.uint64(n_blocks))
+                raw, own = h[i:j].tobytes(), sig[x].tobytes()
                 for other in range(n_blocks):
                     lo, hi = min(mine, other), max(mine, other)
-                    out.append((get["root"][t], lo, hi, k, mine == lo, sig[x].tobytes(), h[i:j].tobytes()))
-            for c in range(0, len(out), 512):
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out[c : c + 512], strict=True), KINDS, strict=True)], NAMES)
+                    out.append((get["root"][t], lo, hi, k, mine == lo, own, raw))
+                    held += len(raw)
+                    # a few copies at a time: a large cluster asks for many of each member
+                    if len(out) >= 512 or held > 4 << 20:
+                        yield packed(out)
+                        out, held = [], 0
+            if out:
+                yield packed(out)
+
+    def packed(out):
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), KINDS, strict=True)], NAMES)
 
     def blocks(batches):
         bounds, key, members = least_matches(s), None, []
@@ -269,38 +281,50 @@ def linked(docs: DataFrame, clusters: DataFrame, s: Settings) -> DataFrame:
         rows += edges
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["a", "b", "links"])
 
-    members = docs.select("doc_id", "text").join(clusters.select(F.col("node").alias("doc_id"), "root", "size"), "doc_id")
-    dealt = members.select("doc_id", "text", "root", "size").mapInArrow(sets, "root long, lo int, hi int, k long, low_side boolean, sig binary, h binary")
-    return dealt.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(blocks, "a long, b long, links long")
+    members = keyed.select("k", "text").join(clusters.select(F.col("node").alias("k"), "root", "size"), "k")
+    dealt = members.select("k", "text", "root", "size").mapInArrow(sets, "root long, lo int, hi int, k long, low_side boolean, sig binary, h binary")
+    return dealt.repartition(shuffle_parts(keyed.sparkSession), "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(blocks, "a long, b long, links long")
 
 
 NAMES = ["root", "lo", "hi", "k", "low_side", "sig", "h"]
 KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
 
 
-def classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(doc_id, class_id, n_links, n_copies) for every document with an id."""
+def classed(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """The rows as ``common.numbered`` has them, and (k, doc_id, class_k, class_id, n_links, n_copies) for each."""
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
+    rows = numbered(docs)
+    keyed = rows.select("k", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").alias("text"))
     # computed once: a few hundred bytes for each document
-    table = signed(docs, s).checkpoint()
-    reps = table.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("sig").alias("sig"))
+    table = signed(keyed, s).checkpoint()
+    reps = table.groupBy("c1", "c2").agg(F.min(F.struct("k", "doc_id")).alias("of"), F.count("*").alias("n_copies"), F.first("sig").alias("sig"))
+    reps = reps.select("c1", "c2", F.col("of.k").alias("rep"), F.col("of.doc_id").alias("rep_id"), "n_copies", "sig")
     keys = band_keys(reps, s)
     hubs = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1")
     stars = keys.join(hubs, "key").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
     clusters = components(spark, stars)
     sizes = clusters.groupBy("root").agg(F.count("*").alias("size"))
-    found = linked(docs.where("doc_id is not null"), clusters.join(sizes, "root"), s).checkpoint()
+    found = linked(keyed, clusters.join(sizes, "root"), s).checkpoint()
     links = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("n_links"))
-    roots = components(spark, found.where("b is not null").select("a", "b")).select(F.col("node").alias("rep"), F.col("root").alias("class_id"))
-    each = reps.select("c1", "c2", "rep", "n_copies").join(links, "rep", "left").join(roots, "rep", "left")
-    each = each.select("c1", "c2", "n_copies", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    with_words = table.select("doc_id", "c1", "c2").join(each, ["c1", "c2"]).select("doc_id", "class_id", "n_links", "n_copies")
-    rest = docs.where("doc_id is not null").where(F.col("text").isNull() | ~F.col("text").rlike(r"[^\x09-\x0d\x1c-\x20]"))
-    return with_words.union(rest.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies")))
+    roots = components(spark, found.where("b is not null").select("a", "b")).select(F.col("node").alias("rep"), F.col("root").alias("class_k"))
+    roots = roots.join(reps.select(F.col("rep").alias("class_k"), F.col("rep_id").alias("class_id")), "class_k")
+    each = reps.select("c1", "c2", "rep", "rep_id", "n_copies").join(links, "rep", "left").join(roots, "rep", "left")
+    class_id = F.when(F.col("class_k").isNull(), F.col("rep_id")).otherwise(F.col("class_id"))
+    each = each.select("c1", "c2", "n_copies", F.coalesce("class_k", "rep").alias("class_k"), class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = ["k", "doc_id", "class_k", "class_id", "n_links", "n_copies"]
+    with_words = table.select("k", "doc_id", "c1", "c2").join(each, ["c1", "c2"]).select(out)
+    rest = keyed.where(F.col("text").isNull() | ~F.col("text").rlike(r"[^\x09-\x0d\x1c-\x20]"))
+    return rows, with_words.union(rest.select("k", "doc_id", F.col("k").alias("class_k"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies")))
+
+
+def classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """(doc_id, class_id, n_links, n_copies) for every row."""
+    return classed(docs, s)[1].select("doc_id", "class_id", "n_links", "n_copies")
 
 
 def deduplicated(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """docs without the documents whose class has a smaller doc_id; rows without an id stay."""
-    drop = classes(docs, s).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+    """docs with the first row of each class only."""
+    rows, found = classed(docs, s)
+    drop = found.where("k <> class_k").select("k")
+    return rows.join(drop, "k", "left_anti").select("row.*")

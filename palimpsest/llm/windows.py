@@ -11,18 +11,23 @@ nothing is lost. The sort then goes most significant digit first, and stops at d
 1. the first digit is the gram itself; suffixes alone in their group drop out;
 2. the second digit is everything that the suffix's windows cover (its context). Equal
    contexts are equal runs of windows: all but the earliest are repeats;
-3. where one gram has several contexts, the windows themselves are the last digit, and
-   equal groups of windows are exactly the repeated ones.
+3. where one gram has several contexts, their suffixes are ordered by their bytes, four at
+   a time and most significant first (``radix_groups``), alone ones dropping out after
+   each pass; after ``length`` bytes equal groups are exactly the repeated windows.
 
-Digits are compared by 64-bit hashes of independent families, 128 bits together.
+The first two digits are compared by 64-bit hashes of independent families, 128 bits
+together; a gram with more than ``MANY`` contexts is settled by hashes of its windows, dealt
+out by them, so that no gram is one task's work.
 
 Every task first sorts what it has read itself, so a passage that any number of
 documents share reaches a reducer once for each task; no group is larger than that.
-Groups travel as packed arrays, one binary row for a task and bucket.
+Groups travel as packed arrays, one binary row for a task and reducer.
 
 Order is (doc_id, start). Null texts are empty; texts shorter than a window have no
-repeats; rows that share a doc_id should share the text (a repeat found in one is
-removed at the same place of all); null doc_ids come first; other columns are ignored.
+repeats. A row is a document of its own also if its doc_id is null or stands in other rows
+(``common.numbered``): null doc_ids come first, rows of one doc_id follow their texts' hash,
+so of two equal rows one keeps the passage. An empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -35,9 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, buckets_for, text_slices
+from .common import Rolling, ensure_checkpoint_dir, numbered, shuffle_parts, text_slices
 
-LOWEST = -(2**63)
 #: Records that a task sorts at a time; bounds its memory.
 CHUNK = 1_500_000
 _ROLLING: dict[int, Rolling] = {}
@@ -114,7 +118,11 @@ WINDOW = np.dtype([("a", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("start", "<i4"),
 MANY = 512
 FOUND = "k long, start long, n long, a long, kind int"
 SPAN, SMALL_GROUP, LARGE_GROUP = 0, 1, 2
-PACKED = "bucket int, k long, start long, n long, blob binary"
+PACKED = "part int, blob binary"
+#: First byte of a packed row: records, contexts with their bytes, or settled spans.
+RECORDS, CONTEXTS, SPANS = b"\0", b"\1", b"\2"
+#: Windows whose bytes are ordered at a time; bounds a reducer's memory.
+ORDERED = 1_000_000
 
 
 def blocks(data: np.ndarray, off: np.ndarray, overlap: int):
@@ -151,17 +159,19 @@ def merged(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarra
     return doc[at], start[at], reach[last] - start[at]
 
 
-def _packed_batches(r: np.ndarray, n_buckets: int):
-    """One binary row for each bucket: a group's records always share a bucket."""
-    bucket = ((r["a"] >> np.uint64(20)) % np.uint64(n_buckets)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    r, bucket = r[order], bucket[order]
-    at = np.flatnonzero(_runs(bucket)) if len(r) else np.zeros(0, np.int64)
-    ends = np.r_[at[1:], len(r)]
+def _packed(part: np.ndarray, blobs: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
+
+
+def _dealt(r: np.ndarray, parts: int) -> pa.RecordBatch:
+    """One binary row of records for each reducer: a group's records always share one."""
+    part = ((r["a"] >> np.uint64(20)) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    r, part = r[order], part[order]
+    at = np.flatnonzero(_runs(part)) if len(r) else np.zeros(0, np.int64)
     # fields apart: like bytes lie together, so the shuffle's compression finds them
-    blobs = [b"".join(np.ascontiguousarray(r[i:j][f]).tobytes() for f in r.dtype.names) for i, j in zip(at.tolist(), ends.tolist(), strict=True)]
-    m = len(blobs)
-    yield pa.RecordBatch.from_arrays([pa.array(bucket[at], pa.int32()), *(pa.nulls(m, pa.int64()) for _ in range(3)), pa.array(blobs, pa.binary())], ["bucket", "k", "start", "n", "blob"])
+    blobs = [RECORDS + b"".join(np.ascontiguousarray(r[i:j][f]).tobytes() for f in r.dtype.names) for i, j in zip(at.tolist(), np.r_[at[1:], len(r)].tolist(), strict=True)]
+    return _packed(part[at], blobs)
 
 
 def _unpacked(blobs: list[bytes], kind: np.dtype) -> np.ndarray:
@@ -177,9 +187,18 @@ def _unpacked(blobs: list[bytes], kind: np.dtype) -> np.ndarray:
     return out
 
 
-def _span_batch(doc, start, n, n_buckets):
-    bucket = (doc.astype(np.int64) % n_buckets).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(doc, pa.int64()), pa.array(start.astype(np.int64)), pa.array(n.astype(np.int64)), pa.nulls(len(doc), pa.binary())], ["bucket", "k", "start", "n", "blob"])
+def _spans(r: np.ndarray, parts: int):
+    """What a task has settled itself, joined and in one row, to any reducer."""
+    if len(r):
+        doc, start, n = merged(r["doc"], r["start"], r["n"])
+        yield _packed(np.array([int(doc[0]) % parts], np.int32), [SPANS + b"".join(x.astype("<i8").tobytes() for x in (doc, start, n))])
+
+
+def _settled(records: list[np.ndarray], parts: int):
+    """Of records read by one task: the earliest of each kind to its reducer, the others as spans."""
+    r, first = first_of_each(np.concatenate(records))
+    yield _dealt(r[first], parts)
+    yield from _spans(r[~first], parts)
 
 
 def _found(doc, start, n, a, kind):
@@ -188,51 +207,32 @@ def _found(doc, start, n, a, kind):
     return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(a.view(np.int64) if len(a) else np.zeros(0, np.int64)), pa.array(kind)], ["k", "start", "n", "a", "kind"])
 
 
-def _by_bucket(batches):
-    """(spans as three arrays, blobs) for each bucket of a partition sorted by bucket."""
-    now, spans, blobs = None, [], []
+def _found_spans(doc, start, n):
+    return _found(doc, start, n, np.zeros(len(doc), np.uint64), SPAN)
 
-    def out():
-        s = [np.concatenate(x) for x in zip(*spans, strict=True)] if spans else [np.zeros(0, np.int64)] * 3
-        return s, blobs
 
+def _received(batches) -> tuple[dict[bytes, list[bytes]], list[pa.RecordBatch]]:
+    """A reducer's rows by their first byte, and the spans among them."""
+    by: dict[bytes, list[bytes]] = {RECORDS: [], CONTEXTS: []}
+    spans = []
     for b in batches:
-        bucket = b.column("bucket").to_numpy()
-        for i, j in zip(e := np.flatnonzero(_runs(bucket)), np.r_[e[1:], len(bucket)], strict=True):
-            if now is not None and bucket[i] != now:
-                yield out()
-                spans, blobs = [], []
-            now = bucket[i]
-            part = b.slice(i, j - i)
-            blob = part.column("blob")
-            is_blob = np.asarray(blob.is_valid().to_numpy(zero_copy_only=False), bool)
-            blobs += [x for x in blob.to_pylist() if x is not None]
-            if not is_blob.all():
-                rest = part.filter(pa.array(~is_blob))
-                spans.append([rest.column(c).to_numpy() for c in ("k", "start", "n")])
-    if now is not None:
-        yield out()
-
-
-def repeated(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(k, start, n): windows start .. start + n - 1 of document k occur earlier. Ranges of a document may overlap."""
-    spark = docs.sparkSession
-    nb, parts = buckets_for(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.select(F.coalesce("doc_id", F.lit(LOWEST)).alias("doc_id"), "text")
+        for blob in b.column("blob").to_pylist():
+            if blob[:1] == SPANS:
+                spans.append(_found_spans(*np.frombuffer(blob, "<i8", offset=1).reshape(3, -1)))
+            else:
+                by[blob[:1]].append(blob[1:])
+    return by, spans
 
-    def sample(batches):
-        held, size = [], 0
 
-        def flush():
-            r, first = first_of_each(np.concatenate(held))
-            held.clear()
-            yield from _packed_batches(r[first], nb)
-            again = r[~first]
-            if len(again):
-                yield _span_batch(*merged(again["doc"], again["start"], again["n"]), nb)
+def repeated(keyed: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """(k, text, ...) with unique k to (k, start, n): windows start .. start + n - 1 of row k occur earlier. Ranges may overlap."""
+    spark = keyed.sparkSession
+    parts = shuffle_parts(spark)
 
+    def sample(batches):
+        held, size = [], 0
         for data, off, _, rows in text_slices(batches, BLOCK):
-            ids = rows.column("doc_id").to_numpy()
+            ids = rows.column("k").to_numpy()
             for part, part_off, t, base in blocks(data, off, s.length - 1):
                 doc, start, n, a, c = sampled(part, part_off, s)
                 r = np.zeros(len(doc), SAMPLE)
@@ -240,101 +240,76 @@ def repeated(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
                 held.append(r)
                 size += len(r)
                 if size >= CHUNK:
-                    yield from flush()
-                    size = 0
+                    yield from _settled(held, parts)
+                    held, size = [], 0
         if size:
-            yield from flush()
+            yield from _settled(held, parts)
 
     def by_context(batches):
-        for (doc, start, n), blobs in _by_bucket(batches):
-            if len(doc):
-                yield _found(doc, start, n, np.zeros(len(doc), np.uint64), SPAN)
-            if not blobs:
-                continue
-            r, first = first_of_each(_unpacked(blobs, SAMPLE))
-            again = r[~first]
-            if len(again):
-                yield _found(again["doc"], again["start"], again["n"], again["a"], SPAN)
-            r = r[first]
-            at = np.flatnonzero(_runs(r["a"]))
-            size = np.diff(np.r_[at, len(r)])
-            contexts = np.repeat(size, size)
-            r, contexts = r[contexts > 1], contexts[contexts > 1]
-            if len(r):
-                yield _found(r["doc"], r["start"], r["n"], r["a"], np.where(contexts > MANY, LARGE_GROUP, SMALL_GROUP))
-
-    passed = keyed.mapInArrow(sample, PACKED).repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(by_context, FOUND)
+        by, spans = _received(batches)
+        yield from spans
+        if not by[RECORDS]:
+            return
+        r, first = first_of_each(_unpacked(by[RECORDS], SAMPLE))
+        again = r[~first]
+        if len(again):
+            yield _found(again["doc"], again["start"], again["n"], again["a"], SPAN)
+        r = r[first]
+        at = np.flatnonzero(_runs(r["a"]))
+        size = np.diff(np.r_[at, len(r)])
+        contexts = np.repeat(size, size)
+        r, contexts = r[contexts > 1], contexts[contexts > 1]
+        if len(r):
+            yield _found(r["doc"], r["start"], r["n"], r["a"], np.where(contexts > MANY, LARGE_GROUP, SMALL_GROUP))
+
+    passed = keyed.select("k", "text").mapInArrow(sample, PACKED).repartitionById(parts, "part").mapInArrow(by_context, FOUND)
     # read twice below: written once to the shared folder, a few bytes for each group that is not settled
-    from .common import ensure_checkpoint_dir
-
     ensure_checkpoint_dir(spark)
     passed = passed.checkpoint()
     open_groups = passed.where(f"kind <> {SPAN}").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("start", "n", "a", "kind"))).alias("open"))
-    texts = keyed.select(F.col("doc_id").alias("k"), "text")
 
     def contexts(batches):
         held, size = [], 0
-
-        def flush():
-            r, first = first_of_each(np.concatenate(held))
-            held.clear()
-            yield from _packed_batches(r[first], nb)
-            again = r[~first]
-            if len(again):
-                yield _span_batch(*merged(again["doc"], again["start"], again["n"]), nb)
-
         for b in batches:
             small: list[tuple] = []
             for k, text, todo in zip(*(b.column(c).to_pylist() for c in ("k", "text", "open")), strict=True):
                 raw = (text or "").encode()
                 data = np.frombuffer(raw, np.uint8)
-                large = []
                 for x in todo:
-                    i, j = x["start"], x["start"] + x["n"] + s.length - 1
+                    i, n = x["start"], x["n"]
                     if x["kind"] == LARGE_GROUP:
-                        large.append((i, x["n"]))
+                        r = window_records(data[i : i + n + s.length - 1], k, i, s)
+                        held.append(r)
+                        size += len(r)
                     else:
-                        small.append((x["a"] % (1 << 64), k, i, x["n"], raw[i:j]))
-                for i, n in large:
-                    r = window_records(data[i : i + n + s.length - 1], k, i, s)
-                    held.append(r)
-                    size += len(r)
+                        small.append((x["a"] % (1 << 64), k, i, n, raw[i : i + n + s.length - 1]))
                 if size >= CHUNK:
-                    yield from flush()
-                    size = 0
+                    yield from _settled(held, parts)
+                    held, size = [], 0
             if small:
-                yield _context_batch(small, nb)
+                yield _context_batch(small, parts)
         if size:
-            yield from flush()
+            yield from _settled(held, parts)
 
     def by_window(batches):
-        for (doc, start, n), blobs in _by_bucket(batches):
+        by, spans = _received(batches)
+        yield from spans
+        found = []
+        if by[RECORDS]:
+            r, first = first_of_each(_unpacked(by[RECORDS], WINDOW))
+            found.append([r[~first][c] for c in ("doc", "start", "n")])
+        for doc, start in repeated_in_contexts(by[CONTEXTS], s):
+            found.append([doc, start, np.ones(len(doc), np.int64)])
+        if found:
+            doc, start, n = (np.concatenate([np.asarray(f[c], np.int64) for f in found]) for c in range(3))
             if len(doc):
-                yield _found(doc, start, n, np.zeros(len(doc), np.uint64), SPAN)
-            for r in (_unpacked([b[1:] for b in blobs if b[0] == 0], WINDOW), _from_contexts([b[1:] for b in blobs if b[0] == 1], s)):
-                if len(r):
-                    r, first = first_of_each(r)
-                    again = r[~first]
-                    if len(again):
-                        d, st, m = merged(again["doc"], again["start"], again["n"])
-                        yield _found(d, st, m, np.zeros(len(d), np.uint64), SPAN)
-
-    def tagged(batches):
-        for b in contexts(batches):
-            blob = b.column("blob")
-            if b.schema.metadata and b.schema.metadata.get(b"contexts"):
-                new = pa.array([b"\x01" + x for x in blob.to_pylist()], pa.binary())
-            else:
-                new = pa.array([None if x is None else b"\x00" + x for x in blob.to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], new], PACKED_NAMES)
+                yield _found_spans(*merged(doc, start, n))
 
-    more = texts.join(open_groups.hint("shuffle_hash"), "k").select("k", "text", "open").mapInArrow(tagged, PACKED).repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(by_window, FOUND)
+    # all columns stay, though two are read, so that the same exchange serves the join that cuts the texts
+    more = keyed.join(open_groups.hint("shuffle_hash"), "k").mapInArrow(contexts, PACKED).repartitionById(parts, "part").mapInArrow(by_window, FOUND)
     return passed.where(f"kind = {SPAN}").union(more).select("k", "start", "n")
 
 
-PACKED_NAMES = ["bucket", "k", "start", "n", "blob"]
-
-
 def window_records(part: np.ndarray, k: int, start: int, s: Settings) -> np.ndarray:
     """One record for each window of a stretch; the window's own hash takes the gram's place."""
     one, two = rolling(103), rolling(104)
@@ -345,40 +320,69 @@ def window_records(part: np.ndarray, k: int, start: int, s: Settings) -> np.ndar
     return r
 
 
-def _context_batch(small: list[tuple], nb: int) -> pa.RecordBatch:
-    """Contexts of small groups, packed by the bucket of their gram: bounds first, then the bytes."""
+def _context_batch(small: list[tuple], parts: int) -> pa.RecordBatch:
+    """Contexts of small groups, packed by the reducer of their gram: bounds first, then the bytes."""
     by: dict[int, list[tuple]] = {}
     for x in small:
-        by.setdefault((x[0] >> 20) % nb, []).append(x)
+        by.setdefault((x[0] >> 20) % parts, []).append(x)
     blobs = []
     for rows in by.values():
-        head = np.array([(k, i, n, len(raw)) for _, k, i, n, raw in rows], "<i8")
-        blobs.append(np.int64(len(rows)).tobytes() + head.tobytes() + b"".join(x[4] for x in rows))
-    m = len(by)
-    schema = pa.schema([("bucket", pa.int32()), ("k", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("blob", pa.binary())], metadata={"contexts": "1"})
-    return pa.RecordBatch.from_arrays([pa.array([*by], pa.int32()), *(pa.nulls(m, pa.int64()) for _ in range(3)), pa.array(blobs, pa.binary())], schema=schema)
+        head = np.array([(a - (1 << 64) if a >> 63 else a, k, i, n, len(raw)) for a, k, i, n, raw in rows], "<i8")
+        blobs.append(CONTEXTS + np.int64(len(rows)).tobytes() + head.tobytes() + b"".join(x[4] for x in rows))
+    return _packed(np.array([*by], np.int32), blobs)
+
 
+def radix_groups(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the suffix, group): suffixes data[at:] ordered through ``length`` bytes, four in each pass.
 
-def _from_contexts(blobs: list[bytes], s: Settings) -> np.ndarray:
-    """Window records of all contexts of a bucket; hashed together, windows across two contexts left out."""
+    Passes go from the most significant digit on; a suffix alone in its group drops out.
+    Those that are left share all of the ``length`` bytes with their group.
+    """
+    which, group = np.arange(len(at)), np.zeros(len(at), np.uint64)
+    for depth in range(0, length, 4):
+        digit = np.zeros(len(which), np.uint64)
+        for i in range(depth, min(depth + 4, length)):
+            digit = digit << np.uint64(8) | data[at[which] + i]
+        key = group << np.uint64(32) | digit
+        order = np.argsort(key)
+        which, key = which[order], key[order]
+        new = _runs(key)
+        begin = np.flatnonzero(new)
+        keep = np.repeat(np.diff(np.r_[begin, len(key)]), np.diff(np.r_[begin, len(key)])) > 1
+        which, group = which[keep], np.cumsum(new)[keep].astype(np.uint64)
+        if not len(which):
+            break
+    return which, group
+
+
+def repeated_in_contexts(blobs: list[bytes], s: Settings):
+    """(row, start) of the windows that another window of a context of their gram equals and precedes, some grams at a time."""
     heads, bodies = [], []
     for b in blobs:
         m = int(np.frombuffer(b[:8], "<i8")[0])
-        heads.append(np.frombuffer(b[8 : 8 + 32 * m], "<i8").reshape(m, 4))
-        bodies.append(b[8 + 32 * m :])
+        heads.append(np.frombuffer(b[8 : 8 + 40 * m], "<i8").reshape(m, 5))
+        bodies.append(b[8 + 40 * m :])
     if not heads:
-        return np.zeros(0, WINDOW)
+        return
     head, data = np.concatenate(heads), np.frombuffer(b"".join(bodies), np.uint8)
-    begin = np.cumsum(head[:, 3]) - head[:, 3]
-    count = np.maximum(head[:, 3] - s.length + 1, 0)
-    which = np.repeat(np.arange(len(head)), count)
-    j = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    at = begin[which] + j
-    one, two = rolling(103), rolling(104)
-    r = np.zeros(len(at), WINDOW)
-    r["a"], r["c"] = one.of(one.prefix(data), at, at + s.length), two.of(two.prefix(data), at, at + s.length)
-    r["doc"], r["start"], r["n"] = head[which, 0], head[which, 1] + j, 1
-    return r
+    begin = np.cumsum(head[:, 4]) - head[:, 4]
+    order = np.argsort(head[:, 0], kind="stable")
+    head, begin = head[order], begin[order]
+    count = np.maximum(head[:, 4] - s.length + 1, 0)
+    # a gram's contexts stay together; they are few, and none is much longer than two windows
+    cut = np.cumsum(count) // ORDERED
+    edge = np.flatnonzero(_runs(head[:, 0]))
+    edge = edge[np.r_[True, cut[edge[1:]] != cut[edge[:-1]]]]
+    for i, j in zip(edge.tolist(), np.r_[edge[1:], len(head)].tolist(), strict=True):
+        some, n = head[i:j], count[i:j]
+        context = np.repeat(np.arange(len(some)), n)
+        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        which, group = radix_groups(data, begin[i:j][context] + place, s.length)
+        if len(which):
+            doc, start = some[context[which], 1], some[context[which], 2] + place[which]
+            by = np.lexsort((start, doc, group))
+            again = ~_runs(group[by])
+            yield doc[by][again], start[by][again]
 
 
 def spans_of(ranges: list, length: int, size: int) -> list[tuple[int, int]]:
@@ -393,15 +397,13 @@ def spans_of(ranges: list, length: int, size: int) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def ranges_of(docs: DataFrame, s: Settings) -> DataFrame:
-    """(k, ranges) of the documents that have any."""
-    return repeated(docs, s).groupBy("k").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
-
-
-def with_ranges(docs: DataFrame, s: Settings) -> DataFrame:
-    """(row, ranges): every row of docs as a struct, with its window ranges (null: none). No column name can clash."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("doc_id", F.lit(LOWEST)).alias("k"))
-    return rows.join(ranges_of(docs, s).hint("shuffle_hash"), "k", "left").select("row", "ranges")
+def with_ranges(docs: DataFrame, s: Settings, columns: list[str]) -> DataFrame:
+    """(k, text, row, ranges): every row with its window ranges (null: none); ``row`` holds ``columns``. No column name can clash."""
+    rows = numbered(docs)
+    # one projection for both joins: the texts are dealt out once
+    keyed = rows.select("k", F.col("row.text").alias("text"), F.struct(*[F.col("row")[c].alias(c) for c in columns]).alias("row"))
+    ranges = repeated(keyed, s).groupBy("k").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
+    return keyed.join(ranges.hint("shuffle_hash"), "k", "left").select("text", "row", "ranges")
 
 
 def removal_digests(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -411,7 +413,7 @@ def removal_digests(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     def run(batches):
         for b in batches:
             rows = []
-            for k, text, ranges in zip(*(b.column(c).to_pylist() for c in ("k", "text", "ranges")), strict=True):
+            for k, text, ranges in zip(b.column("row").field("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("ranges").to_pylist(), strict=True):
                 raw = (text or "").encode()
                 spans = spans_of(ranges or [], s.length, len(raw))
                 h, at = sha256(), 0
@@ -419,18 +421,16 @@ def removal_digests(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
                     h.update(raw[at:i])
                     at = j
                 h.update(raw[at:])
-                rows.append((None if k == LOWEST else k, len(raw), sum(j - i for i, j in spans), len(spans), h.hexdigest()))
+                rows.append((k, len(raw), sum(j - i for i, j in spans), len(spans), h.hexdigest()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(),) * 4 + (pa.string(),), strict=True)], names)
 
-    # the same projection as the join inside ``repeated``: the texts are dealt out once for both
-    texts = docs.select(F.coalesce("doc_id", F.lit(LOWEST)).alias("k"), "text")
-    joined = texts.join(ranges_of(docs, s).hint("shuffle_hash"), "k", "left").select("k", "text", "ranges")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_ranges(docs, s, ["doc_id"]).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def removed(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """docs with the repeats cut out of ``text``; a character that loses a byte goes whole. Columns stay; null texts stay null."""
+    others = [c for c in docs.columns if c != "text"]
 
     def cut(batches):
         for b in batches:
@@ -438,8 +438,7 @@ def removed(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
             for at in range(0, b.num_rows, 256):
                 part, out = b.slice(at, 256), []
                 rows = part.column("row")
-                text = rows.field("text")
-                for t, r in zip(text.to_pylist(), part.column("ranges").to_pylist(), strict=True):
+                for t, r in zip(part.column("text").to_pylist(), part.column("ranges").to_pylist(), strict=True):
                     if t is not None and r:
                         raw, kept, done = t.encode(), [], 0
                         for i, j in spans_of(r, s.length, len(raw)):
@@ -450,4 +449,4 @@ def removed(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else rows.field(c) for c in docs_columns], docs_columns)
 
     docs_columns = docs.columns
-    return with_ranges(docs, s).mapInArrow(cut, docs.schema)
+    return with_ranges(docs, s, others).mapInArrow(cut, docs.schema)
