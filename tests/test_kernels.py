@@ -114,3 +114,88 @@ def test_settings(tmp_path):
 def test_metrics_text_escapes():
     t = metrics_text([("a", "h", "gauge", 2.0, {"l": 'x"\n'}), ("a", "h", "gauge", 0.5, {})])
     assert t == '# HELP a h\n# TYPE a gauge\na{l="x\\"\\n"} 2\na 0.5\n'
+
+
+def objects_in_a_stream(body: bytes = b"72 600 100 50 re S", flate=True, extra=b"") -> bytes:
+    """A file whose pages are in an object stream, as most since version 1.5 are."""
+    inner = [(1, b"<</Type/Catalog/Pages 2 0 R>>"), (2, b"<</Type/Pages/Kids[3 0 R]/Count 1/MediaBox[0 0 300 400]>>"), (3, b"<</Type/Page/Parent 2 0 R/Contents 4 0 R>>")]
+    heads, at = [], 0
+    for n, x in inner:
+        heads.append(b"%d %d" % (n, at))
+        at += len(x) + 1
+    head = b" ".join(heads) + b" "
+    packed = zlib.compress(head + b" ".join(x for _, x in inner))
+    out = b"%PDF-1.5\n5 0 obj<</Type/ObjStm/N 3/First " + b"%d/Length %d/Filter/FlateDecode>>stream\n" % (len(head), len(packed)) + packed + b"\nendstream endobj\n"
+    return out + b"4 0 obj<</Length %d>>stream\n" % len(body) + body + b"\nendstream endobj\n6 0 obj<</Type/XRef/Root 1 0 R" + extra + b"/Length 0>>stream\n\nendstream endobj"
+
+
+def test_pdf_object_streams_and_inherited_boxes():
+    (r,) = pdf.parse(objects_in_a_stream())
+    assert (r["kind"], r["x"], r["width"], r["height"]) == ("path", 72.0, 300.0, 400.0)
+
+
+def test_unreadable_pdfs_are_problems():
+    assert pdf.parse(objects_in_a_stream(extra=b"/Encrypt 9 0 R")) == [{"problem": "open-failed:encrypted"}]
+    assert pdf.parse(b"%PDF-1.5\n1 0 obj<</Type/Catalog>>endobj") == [{"problem": "no-pages"}]
+
+
+def lzw_codes(codes):
+    bits, width, held, out, known = 0, 9, 0, bytearray(), 258
+    for c in codes:
+        held, bits = held << width | c, bits + width
+        while bits >= 8:
+            bits -= 8
+            out.append(held >> bits & 255)
+    if bits:
+        out.append(held << (8 - bits) & 255)
+    return bytes(out)
+
+
+@pytest.mark.parametrize("name, packed", [(b"/ASCIIHexDecode", b"6D 20>"), (b"/RunLengthDecode", b"\x01m \x80"), (b"/ASCII85Decode", b"D#Z~>"), (b"/LZWDecode", lzw_codes([256, 109, 32, 257]))])
+def test_pdf_filters(name, packed):
+    import base64
+
+    from palimpsest.sources.pdf_file import File, Stream
+
+    want = b"m "
+    packed = base64.a85encode(want) + b"~>" if name == b"/ASCII85Decode" else packed
+    f = File(b"%PDF-1.4\n1 0 obj<</Filter" + name + b"/Length %d>>stream\n" % len(packed) + packed + b"\nendstream endobj")
+    assert isinstance(f.objects[1], Stream) and f.decoded(f.objects[1]) == want
+
+
+def test_png_predictor():
+    from palimpsest.sources.pdf_file import unpredicted
+
+    rows = [[0, 5, 6, 7], [2, 1, 1, 1], [1, 1, 1, 1], [3, 2, 2, 2], [4, 1, 0, 0]]
+    out = unpredicted(bytes(x for r in rows for x in r), {"/Predictor": 15.0, "/Columns": 3.0})
+    assert [*out[:12]] == [5, 6, 7, 6, 7, 8, 1, 2, 3, 2, 4, 5] and len(out) == 15
+
+
+def test_gltf_leaves_out_only_what_makes_no_sense():
+    doc = {"asset": {"version": "2.0"}, "nodes": [{"mesh": 0}], "meshes": [{"primitives": [{"attributes": {"POSITION": 7}}, {"attributes": {"POSITION": 0}, "indices": 9}, {"attributes": {"POSITION": 0}}]}], "accessors": [{"componentType": 5126, "type": "VEC3", "count": 2}]}
+    (e,) = gltf.parse(json.dumps(doc).encode())
+    assert len(e["verts"]) == 12 and e["faces"] == [2, 3]
+
+
+def test_gltf_nodes_come_last_child_first_and_once():
+    point = {"primitives": [{"attributes": {"POSITION": 0}}]}
+    doc = {"asset": {"version": "2.0"}, "nodes": [{"children": [1, 2]}, {"mesh": 0, "translation": [1, 0, 0]}, {"mesh": 0, "children": [1, 0]}, {"mesh": 0}], "scenes": [{"nodes": [0, 3]}], "meshes": [point], "accessors": [{"componentType": 5126, "type": "VEC3", "count": 1}]}
+    assert [(e["local_id"], e["verts"]) for e in gltf.parse(json.dumps(doc).encode())] == [("node-3", [0, 0, 0]), ("node-2", [0, 0, 0]), ("node-1", [1, 0, 0])]
+
+
+def test_zip_containers():
+    import io
+    import zipfile
+
+    from palimpsest.functions.mime import container_kind
+
+    def made(**files):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for n, x in files.items():
+                z.writestr(n.replace("__", "/"), x)
+        return out.getvalue()
+
+    assert container_kind(made(mimetype="application/epub+zip ", word__document="")) == "application/epub+zip"
+    assert container_kind(made(xl__workbook="", a="")).endswith("spreadsheetml.sheet") and container_kind(made(a="x")) == "application/zip"
+    assert container_kind(b"PK\3\4 cut") == "application/zip" and container_kind(made(a="x")[:-8]) == "application/zip"
