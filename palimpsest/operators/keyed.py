@@ -15,8 +15,12 @@ def last_of_each(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     """
     rest = [c for c in rows.columns if c not in keys]
     ok = rows.where(F.coalesce(F.col(keys[-1]).cast("string"), F.lit("")) != "")
-    top = ok.groupBy(*keys).agg(F.max(F.struct(*order, *[F.col(c).alias(f"_{c}") for c in rest])).alias("m")) if order else ok.dropDuplicates(keys)
-    return top.select(*keys, *[F.col(f"m._{c}").alias(c) for c in rest]) if order else top
+    if not order:
+        return ok.dropDuplicates(keys)
+    # what can be ordered settles ties; maps can't
+    by = F.struct(*order, *[F.col(c).alias(f"_{c}") for c in rest if "map<" not in ok.schema[c].dataType.simpleString()])
+    top = ok.groupBy(*keys).agg(F.max_by(F.struct(*rest), by).alias("m"))
+    return top.select(*keys, *[F.col("m")[c].alias(c) for c in rest])
 
 
 def changed_keys(old: Column, new: Column) -> Column:

@@ -12,6 +12,8 @@ from .groups import by_group
 from .keyed import has_visual_delta
 
 GROUPS = ("old", "new", "difference")
+#: What follows an element's id in each group, in the description as in the file.
+SUFFIX = {"old": "old", "new": "new", "difference": "diff"}
 
 
 def metamodels(deltas: DataFrame, keys: list[str], scores: DataFrame, project: str = "diff") -> DataFrame:
@@ -25,7 +27,7 @@ def metamodels(deltas: DataFrame, keys: list[str], scores: DataFrame, project: s
 
     def entry(group: str):
         return F.struct(
-            F.coalesce("changed_properties", F.array().cast("array<string>")).alias("changedProperties"), F.coalesce("change", F.lit("")).alias("change"), F.concat(eid, F.lit(f"|{group}")).alias("id"),
+            F.coalesce("changed_properties", F.array().cast("array<string>")).alias("changedProperties"), F.coalesce("change", F.lit("")).alias("change"), F.concat(eid, F.lit(f"|{SUFFIX[group]}")).alias("id"),
             F.coalesce(F.nullif(shown["name"], F.lit("")), eid).alias("name"), F.lit(group).alias("parent"), F.col("state"), F.coalesce(F.nullif(shown["type_name"], F.lit("")), F.lit("Mesh")).alias("type"),
         )
 
@@ -34,22 +36,29 @@ def metamodels(deltas: DataFrame, keys: list[str], scores: DataFrame, project: s
     totals = [F.count_if(F.col("state") == s).alias(s) for s in STATES] + [F.count_if(F.col("change") == c).alias(f"{c}Changes") for c in ("geometry", "property")]
     m = rows.groupBy(*keys).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", "o"))), lambda x: x["o"])).alias("objects"), *totals).join(scores, keys)
     summary = F.struct("tier", "confidence", *STATES, "geometryChanges", "propertyChanges")
-    layers = F.array(*(F.struct(F.lit(g).alias("id"), F.lit(g).alias("name"), F.lit(project).alias("parent"), F.lit("Layer").alias("type")) for g in GROUPS))
-    return m.select(*keys, F.to_json(F.struct(F.lit(project).alias("id"), F.lit(project).alias("projectId"), layers.alias("layers"), F.col("objects").alias("metaObjects"), summary.alias("diffSummary"))).alias("body"))
+    # the project and the groups are objects too, above those of the elements
+    typed = lambda i, parent, kind, name=None: F.struct(F.array().cast("array<string>").alias("changedProperties"), F.lit("").alias("change"), F.lit(i).alias("id"), F.lit(name or i).alias("name"), F.lit(parent).cast("string").alias("parent"), F.lit(None).cast("string").alias("state"), F.lit(kind).alias("type"))
+    above = F.array(typed(project, None, "Project", "Difference"), *(typed(g, project, "Layer") for g in GROUPS))
+    return m.select(*keys, F.to_json(F.struct(F.lit(project).alias("id"), F.lit(project).alias("projectId"), F.concat(above, F.col("objects")).alias("metaObjects"), summary.alias("diffSummary"))).alias("body"))
 
 
 def merged_files(deltas: DataFrame, keys: list[str], z_up: bool = False) -> DataFrame:
-    """(keys, glb): the old side, the new side and what differs to the eye, as groups of one GLB for each pair."""
-    flat = deltas.select(*keys, "seq", has_visual_delta(F.col("state"), F.col("change")).alias("visual"), *[F.col(side)[c].alias(f"{side}_{c}") for side in ("old", "new") for c in ("local_id", "verts", "faces")])
+    """(keys, glb): the old side, the new side and what differs to the eye, as groups of one GLB for each pair.
+
+    A node bears the id that its object has in ``metamodels``: the element's, with its group.
+    """
+    shown = F.coalesce("new", "old")
+    eid = element_id(shown["stable_id"], shown["local_id"], F.col("seq"))
+    flat = deltas.select(*keys, "seq", eid.alias("eid"), has_visual_delta(F.col("state"), F.col("change")).alias("visual"), *[F.col(side)[c].alias(f"{side}_{c}") for side in ("old", "new") for c in ("verts", "faces")])
 
     def kernel(key: tuple, g: dict[str, list]) -> list[tuple]:
         groups: dict[str, list] = {name: [] for name in GROUPS}
-        for i in range(len(g["seq"])):
-            sides = {s: (f"{g[f'{s}_local_id'][i]}|{s}", g[f"{s}_verts"][i], g[f"{s}_faces"][i] or []) for s in ("old", "new") if g[f"{s}_verts"][i]}
-            for s, mesh in sides.items():
-                groups[s].append(mesh)
+        for i, eid in enumerate(g["eid"]):
+            sides = {s: (g[f"{s}_verts"][i], g[f"{s}_faces"][i] or []) for s in ("old", "new") if g[f"{s}_verts"][i]}
             if g["visual"][i] and sides:
-                groups["difference"].append(sides.get("new") or sides["old"])
+                sides["difference"] = sides.get("new") or sides["old"]
+            for name, mesh in sides.items():
+                groups[name].append((f"{eid}|{SUFFIX[name]}", *mesh))
         return [(*key, write_glb(groups, z_up) if any(groups.values()) else None)]
 
     return by_group(flat, keys, ["seq"], kernel, "glb binary")

@@ -12,10 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.mime import bare, operator_for
+from . import comparisons
+from .comparisons import CHILD
 
 
 class DiffOperator(Protocol):
-    """A comparison of pairs: rows (key, base_content, target_content, mime, name) to children rows."""
+    """A comparison of pairs: rows (key, base_content, target_content, mime, base_name, target_name) to children rows.
+
+    ``Entry`` is the implementation that the registry holds.
+    """
 
     name: str
     version: int
@@ -61,18 +66,19 @@ class Registry:
         return out
 
     def compare(self, pairs: DataFrame) -> DataFrame:
-        """Each operator on its own pairs, as separate branches: costly ones run only where needed."""
+        """Each operator on its own pairs, as separate branches: costly ones run only where needed. Children rows (CHILD)."""
         parts = [e.compare(pairs.where(F.col("plugin") == e.name)) for e in self.entries if e.compare]
-        return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        none = pairs.sparkSession.createDataFrame([], CHILD)
+        return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts, none)
 
 
-def default_registry(text: bool = False, enabled: tuple[str, ...] = ()) -> Registry:
-    """PDF and 3D; plain text only where asked for."""
+def default_registry(text: bool = False, enabled: tuple[str, ...] = (), tools: comparisons.Tools = comparisons.Tools()) -> Registry:
+    """PDF and 3D; plain text only where asked for. ``tools`` are the adapters of what a Python worker can't do by itself."""
     r = Registry(enabled)
-    r.register(Entry("pdf", 1, lambda m: bare(m) == "application/pdf"))
-    r.register(Entry("3d", 1, lambda m: operator_for(m) == "3d"))
+    r.register(Entry("pdf", 1, lambda m: bare(m) == "application/pdf", lambda p: comparisons.compare_pdf(p, tools)))
+    r.register(Entry("3d", 1, lambda m: operator_for(m) == "3d", lambda p: comparisons.compare_models(p, tools)))
     if text:
-        r.register(Entry("passthrough-text", 1, lambda m: F.startswith(bare(m), F.lit("text/plain"))))
+        r.register(Entry("passthrough-text", 1, lambda m: F.startswith(bare(m), F.lit("text/plain")), comparisons.compare_text))
     return r
 
 

@@ -2,7 +2,10 @@
 
 A longest common subsequence depends on order all through, so it runs in a kernel over
 Arrow batches, one unit at a time; the table of lengths is filled a row at a time with array
-operations. A unit beyond the cell limit is refused and says so.
+operations. Where the reference of the comparison refuses a unit by its number of cells,
+``align`` says so; without a limit, rows of a table that would be too large are computed
+again from kept ones when the walk reaches them, so memory grows with the sides' lengths times
+the root of one of them.
 """
 
 from __future__ import annotations
@@ -17,27 +20,51 @@ from ..schemas import ADDED, DELETED, MODIFIED, MOST_LCS_CELLS, UNCHANGED
 from .groups import by_group
 
 
-def lcs(a: list, b: list, most_cells: int = MOST_LCS_CELLS) -> tuple[list[tuple[int, int]], bool]:
-    """(index pairs, refused). Equal heads match at once; on ties the old side advances."""
+def lcs(a: list, b: list, most_cells: int | None = MOST_LCS_CELLS) -> tuple[list[tuple[int, int]], bool]:
+    """(index pairs, refused). Equal heads match at once; on ties the old side advances. No limit: None."""
     n, m = len(a), len(b)
-    if n * m > most_cells:
+    if most_cells is not None and n * m > most_cells:
         return [], True
     if not n or not m:
         return [], False
     code: dict = {}
     x = np.array([code.setdefault(s, len(code)) for s in a])
     y = np.array([code.setdefault(s, len(code)) for s in b])
-    length = np.zeros((n + 1, m + 1), np.int32)
-    for i in range(n - 1, -1, -1):
-        below = length[i + 1]
+
+    def row_above(i: int, below: np.ndarray) -> np.ndarray:
         # a row never falls towards the left, so a running maximum from the right fills it
-        length[i, :m] = np.maximum.accumulate(np.where(y == x[i], below[1:] + 1, below[:-1])[::-1])[::-1]
+        out = np.zeros(m + 1, np.int32)
+        out[:m] = np.maximum.accumulate(np.where(y == x[i], below[1:] + 1, below[:-1])[::-1])[::-1]
+        return out
+
+    # every step-th row is kept; the rows between two of them exist only while the walk is there
+    step = n if n * m <= MOST_LCS_CELLS else max(1, int(n**0.5))
+    kept = {n: np.zeros(m + 1, np.int32)}
+    row = kept[n]
+    for i in range(n - 1, -1, -1):
+        row = row_above(i, row)
+        if i % step == 0:
+            kept[i] = row
+    band: dict[int, np.ndarray] = {}
+
+    def rows_at(i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows i and i + 1 of the table, of the stretch between two kept ones."""
+        if i not in band or i + 1 not in band:
+            top = min(n, (i // step + 1) * step)
+            band.clear()
+            band[top] = kept[top]
+            for k in range(top - 1, i // step * step - 1, -1):
+                band[k] = row_above(k, band[k + 1])
+        return band[i], band[i + 1]
+
     out, i, j = [], 0, 0
     while i < n and j < m:
         if x[i] == y[j]:
             out.append((i, j))
             i, j = i + 1, j + 1
-        elif length[i + 1, j] >= length[i, j + 1]:
+            continue
+        here, below = rows_at(i)
+        if below[j] >= here[j + 1]:
             i += 1
         else:
             j += 1
@@ -50,7 +77,7 @@ def sides(old: DataFrame, new: DataFrame, keys: list[str], idx: str, *values: st
     return pick(old, 0).unionByName(pick(new, 1))
 
 
-def align(old: DataFrame, new: DataFrame, keys: list[str], idx: str = "idx", signature: str = "signature", most_cells: int = MOST_LCS_CELLS) -> DataFrame:
+def align(old: DataFrame, new: DataFrame, keys: list[str], idx: str = "idx", signature: str = "signature", most_cells: int | None = MOST_LCS_CELLS) -> DataFrame:
     """(keys, old_idx, new_idx, lcs_refused); a refused unit gives one row without indices."""
     both = sides(old, new, keys, idx, F.col(signature).alias("signature"))
 
@@ -83,8 +110,7 @@ def fingerprints(objects: DataFrame, keys: list[str], page: str = "page") -> Dat
 
 def pair_pages(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, idx, signature) pages to (keys, old_idx, new_idx, seq): same content first, leftovers in order, the rest one-sided."""
-    same = align(old, new, keys).where(~F.col("lcs_refused"))
-    same = same.select(*keys, "old_idx", "new_idx")
+    same = align(old, new, keys, most_cells=None).select(*keys, "old_idx", "new_idx")
     rest = zipped(unmatched(old, same, keys, "idx", "old_idx"), unmatched(new, same, keys, "idx", "new_idx"), keys)
     w = Window.partitionBy(*keys).orderBy(F.col("new_idx").asc_nulls_last(), F.col("old_idx").asc_nulls_last())
     return same.unionByName(rest).withColumn("seq", (F.row_number().over(w) - 1).cast("int"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -92,13 +93,16 @@ def compare_pages(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def page_pairs(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, old_idx, new_idx, dx, dy): drawing order first, then leftovers by place, in one pass over each unit."""
+    """(keys, old_idx, new_idx, dx, dy): drawing order first, then leftovers by place, in one pass over each unit.
+
+    The alignment in drawing order needs no table of all cells, so no unit is refused.
+    """
     shift = dominant_offset(old, new, keys)
     both = sides(old, new, keys, "idx", "signature", "x", "y").join(shift, keys)
 
     def kernel(key: tuple, g: dict[str, list]) -> list[tuple]:
         n, sig, idx, dx, dy = g["side"].count(0), g["signature"], g["idx"], g["dx"][0], g["dy"][0]
-        pairs, _ = lcs(sig[:n], sig[n:])
+        pairs, _ = lcs(sig[:n], sig[n:], None)
         used_o, used_n = {i for i, _ in pairs}, {j for _, j in pairs}
         free: dict[str, list[int]] = {}
         for j in range(len(sig) - n):
@@ -133,6 +137,80 @@ def shaped(elements: DataFrame) -> DataFrame:
     return elements.withColumn("center", centroid("verts")).withColumn("shape", shape_signature("verts", "faces", F.col("center")))
 
 
+def closest_pairs(p: np.ndarray, q: np.ndarray, leaf: int = 64) -> list[tuple[int, int, float]]:
+    """One-to-one pairs (i, j, distance) of points, accepted by (distance, i, j).
+
+    Each point of p asks a tree over q for its closest free partner and waits in a heap under the
+    answer; if the partner is gone when its turn comes it asks again. Memory grows with the points, not with the pairs.
+    """
+    if not len(p) or not len(q):
+        return []
+    order, nodes = np.arange(len(q)), []
+
+    def grow(a: int, b: int) -> int:
+        """A box tree over q[order[a:b]]: (low, high, begin, end, children or None, free points)."""
+        some = q[order[a:b]]
+        low, high = some.min(0), some.max(0)
+        at = len(nodes)
+        nodes.append([low, high, a, b, None, b - a, -1])
+        if b - a > leaf and (high > low).any():
+            by = np.argsort(some[:, int((high - low).argmax())], kind="stable")
+            order[a:b] = order[a:b][by]
+            half = (a + b) // 2
+            nodes[at][4] = (grow(a, half), grow(half, b))
+            for c in nodes[at][4]:
+                nodes[c][6] = at
+        return at
+
+    grow(0, len(q))
+    home = np.zeros(len(q), int)
+    for k, node in enumerate(nodes):
+        if node[4] is None:
+            # of equal distances the smaller number counts
+            order[node[2] : node[3]].sort()
+            home[order[node[2] : node[3]]] = k
+    free = np.ones(len(q), bool)
+
+    def ask(x: np.ndarray) -> tuple[float, int]:
+        best, todo = (np.inf, -1), [(0.0, 0)]
+        while todo:
+            least, k = heapq.heappop(todo)
+            if least > best[0]:
+                break
+            low, high, a, b, children, left, _ = nodes[k]
+            if not left:
+                continue
+            if children is None:
+                here = order[a:b][free[order[a:b]]]
+                d = np.sqrt(((q[here] - x) ** 2).sum(1))
+                j = int(d.argmin())
+                best = min(best, (float(d[j]), int(here[j])))
+                continue
+            for c in children:
+                gap = np.maximum(0, np.maximum(nodes[c][0] - x, x - nodes[c][1]))
+                bound = float(np.sqrt((gap * gap).sum())) * (1 - 1e-12)
+                if nodes[c][5] and bound <= best[0]:
+                    heapq.heappush(todo, (bound, c))
+        return best
+
+    heap = [(d, i, j) for i, (d, j) in enumerate(map(ask, p))]
+    heapq.heapify(heap)
+    out: list[tuple[int, int, float]] = []
+    while heap and len(out) < min(len(p), len(q)):
+        d, i, j = heapq.heappop(heap)
+        if not free[j]:
+            d, j = ask(p[i])
+            heapq.heappush(heap, (d, i, j))
+            continue
+        free[j] = False
+        k = home[j]
+        while k >= 0:
+            nodes[k][5] -= 1
+            k = nodes[k][6]
+        out.append((i, j, d))
+    return out
+
+
 def nearest_first(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Elements with (keys, shape, idx, center) paired one to one, closest pairs first: (keys, old_idx, new_idx, distance).
 
@@ -145,22 +223,8 @@ def nearest_first(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     def kernel(key: tuple, g: dict[str, list]) -> list[tuple]:
         n = g["side"].count(0)
         place = np.array([g["x"], g["y"], g["z"]], float).T
-        p, q, idx = place[:n], place[n:], g["idx"]
-        if not len(p) or not len(q):
-            return []
-        d = np.sqrt(((p[:, None] - q[None]) ** 2).sum(2))
-        taken: tuple[set, set] = (set(), set())
-        out = []
-        # a stable sort of the flattened table breaks ties by old, then new place
-        for k in np.argsort(d, axis=None, kind="stable"):
-            i, j = divmod(int(k), len(q))
-            if i not in taken[0] and j not in taken[1]:
-                taken[0].add(i)
-                taken[1].add(j)
-                out.append((*key[:-1], idx[i], idx[n + j], float(d[i, j])))
-                if len(out) == min(len(p), len(q)):
-                    break
-        return out
+        idx = g["idx"]
+        return [(*key[:-1], idx[i], idx[n + j], d) for i, j, d in closest_pairs(place[:n], place[n:])]
 
     return by_group(both, [*keys, "shape"], ["side", "idx"], kernel, "old_idx int, new_idx int, distance double", keep=keys)
 

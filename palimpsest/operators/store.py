@@ -51,12 +51,18 @@ def from_json(text: Column | str) -> Column:
 
 def incomplete(m: DataFrame, present: DataFrame) -> DataFrame:
     """Keys of manifests of which an expected name is missing; nothing expected: complete."""
-    want = m.select("file_uid", "key", F.explode("expected").alias("name"))
-    return want.join(present.select("file_uid", "name"), ["file_uid", "name"], "left_anti").select("key").distinct()
+    return _counted(m, present).where(~F.col("_whole")).select("key").distinct()
 
 
 def complete(m: DataFrame, present: DataFrame) -> DataFrame:
-    return m.join(incomplete(m, present), "key", "left_anti")
+    return _counted(m, present).where("_whole").select(*m.columns)
+
+
+def _counted(m: DataFrame, present: DataFrame) -> DataFrame:
+    """Manifests with whether all they expect is there: the names there are gathered by key and met once."""
+    there = present.select("file_uid", key_of("name").alias("key"), "name").where("key is not null").groupBy("file_uid", "key").agg(F.collect_set("name").alias("_there"))
+    whole = F.size(F.array_except("expected", F.coalesce("_there", F.array().cast("array<string>")))) == 0
+    return m.join(there, ["file_uid", "key"], "left").withColumn("_whole", whole)
 
 
 def stale(m: DataFrame, plugin: Column, version: Column) -> DataFrame:
@@ -92,10 +98,9 @@ def pending(current: DataFrame, done: DataFrame, retry_failed: bool = False) ->
 
 
 def swept(todo: DataFrame, most: int) -> tuple[DataFrame, bool]:
-    """The pairs of one sweep, at most so many, and whether that left some out: such a sweep is incomplete."""
-    some = todo.limit(most + 1)
-    cut = some.count() > most
-    return todo.limit(most), cut
+    """The pairs of one sweep, the first by key and at most so many, and whether that left some out: such a sweep is incomplete."""
+    cut = todo.orderBy("key").limit(most + 1).count() > most
+    return todo.orderBy("key").limit(most), cut
 
 
 def outcome(state: dict[str, Column]) -> Column:
@@ -132,43 +137,73 @@ def child_references(m: DataFrame, present: DataFrame) -> DataFrame:
 
 
 class ResultStore:
-    """Children and manifests as Parquet folders of one place; the manifest is written last."""
+    """Children and manifests as Parquet folders of one place, only ever appended to; the manifest is written last.
+
+    What is written again replaces what was there under the same name, and what is dropped is
+    named in a third folder with the time of it: no step rewrites a table, so a crash leaves
+    the state before or after it. ``compacted`` gives what is left, for a copy to a new place.
+    """
+
+    CHILDREN = "file_uid string, key string, kind string, idx int, ext string, mime string, mode string, name string, data binary"
+    AT, DROPPED = "at timestamp", "file_uid string, name string"
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
     def _read(self, name: str, schema: str) -> DataFrame:
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+            return self.spark.read.schema(f"{schema}, {self.AT}").parquet(f"{self.path}/{name}")
         except Exception as e:  # noqa: BLE001  an empty place is an empty table
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            return self.spark.createDataFrame([], schema)
+            return self.spark.createDataFrame([], f"{schema}, {self.AT}")
 
-    CHILDREN = "file_uid string, key string, kind string, idx int, ext string, mime string, mode string, name string, data binary"
+    def _append(self, rows: DataFrame, name: str) -> None:
+        # when a row counts from is settled as it is written, children before their manifests
+        rows.withColumn("at", F.current_timestamp()).write.mode("append").parquet(f"{self.path}/{name}")
 
-    def manifests(self) -> DataFrame:
-        return self._read("manifests", MANIFEST)
+    def _standing(self, rows: DataFrame, name: Column, keys: DataFrame | None) -> DataFrame:
+        """The last row of each (file_uid, name) that wasn't dropped since, of the given keys only if there are any."""
+        rows = rows.withColumn("_name", name)
+        gone = self._read("dropped", self.DROPPED).groupBy("file_uid", F.col("name").alias("_name")).agg(F.max("at").alias("_gone"))
+        if keys is not None:
+            rows = rows.join(keys.select("key").distinct(), "key", "left_semi")
+        last = rows.groupBy("file_uid", "_name").agg(F.max("at").alias("at"))
+        last = last.join(gone, ["file_uid", "_name"], "left").where(F.col("_gone").isNull() | (F.col("_gone") < F.col("at")))
+        return rows.join(last.select("file_uid", "_name", "at"), ["file_uid", "_name", "at"], "left_semi").dropDuplicates(["file_uid", "_name"]).drop("_name", "at")
 
-    def children(self) -> DataFrame:
-        return self._read("children", self.CHILDREN)
+    def manifests(self, keys: DataFrame | None = None) -> DataFrame:
+        return self._standing(self._read("manifests", MANIFEST), F.concat(F.lit("diff."), "key", F.lit(".manifest.json")), keys)
+
+    def children(self, keys: DataFrame | None = None) -> DataFrame:
+        return self._standing(self._read("children", self.CHILDREN), F.col("name"), keys)
 
     def commit(self, results: DataFrame, children: DataFrame) -> None:
         named = children.withColumn("name", child_name("key", "kind", "idx", "ext"))
         names = [f.split()[0] for f in self.CHILDREN.split(", ")]
-        named.select(*names).write.mode("append").parquet(f"{self.path}/children")
-        manifests(results, children).write.mode("append").parquet(f"{self.path}/manifests")
-
-    def served(self) -> DataFrame:
-        """Complete manifests; a key written twice is served once."""
-        m = self.manifests().dropDuplicates(["key"])
-        return complete(m, self.children().select("file_uid", "name"))
-
-    def rewrite_without(self, doomed: DataFrame) -> None:
-        """Drops (file_uid, name) children and the manifests of their keys, by a rewrite that is swapped in."""
-        keep = self.children().join(doomed, ["file_uid", "name"], "left_anti")
-        keys = doomed.select(key_of("name").alias("key")).distinct()
-        m = self.manifests().join(keys, "key", "left_anti")
-        for name, df in (("manifests", m), ("children", keep)):
-            df.write.mode("overwrite").parquet(f"{self.path}/{name}.next")
-            self.spark.read.parquet(f"{self.path}/{name}.next").write.mode("overwrite").parquet(f"{self.path}/{name}")
+        self._append(named.select(*names), "children")
+        self._append(manifests(results, children), "manifests")
+
+    def served(self, keys: DataFrame | None = None) -> DataFrame:
+        """Complete manifests; with ``keys``, of those only, so that a batch reads its own part of the store."""
+        return complete(self.manifests(keys), self.children(keys).select("file_uid", "name"))
+
+    def names(self) -> DataFrame:
+        """(file_uid, name) of all children and manifests."""
+        m = self.manifests().select("file_uid", F.concat(F.lit("diff."), "key", F.lit(".manifest.json")).alias("name"))
+        return self.children().select("file_uid", "name").union(m)
+
+    def drop(self, doomed: DataFrame) -> None:
+        """From now on (file_uid, name) rows aren't there."""
+        self._append(doomed.select("file_uid", "name").distinct(), "dropped")
+
+    def drop_keys(self, doomed: DataFrame) -> None:
+        """Drops all that stands under the given (file_uid, key)s."""
+        self.drop(prune_dropping(self.names(), doomed))
+
+    def drop_files(self, files: DataFrame) -> None:
+        """Drops all results of the given files."""
+        self.drop(self.names().where(is_own("name")).join(files.select("file_uid").distinct(), "file_uid", "left_semi"))
+
+    def compacted(self) -> tuple[DataFrame, DataFrame]:
+        return self.children(), self.manifests()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import SNIFF_BYTES
@@ -36,12 +36,18 @@ def resolve(requests: DataFrame, versions: DataFrame) -> DataFrame:
     v = versions.select("file_uid", "version", F.col("ord").cast("int").alias("ord"))
     r = requests.select("file_uid", F.nullif("target", F.lit("")).alias("want"), F.nullif("base", F.lit("")).alias("from"))
     known = v.groupBy("file_uid").agg(F.min("ord").alias("newest"))
-    t = v.select(F.col("file_uid").alias("t_uid"), F.col("version").alias("target"), F.col("ord").alias("target_back"))
-    b = v.select(F.col("file_uid").alias("b_uid"), F.col("version").alias("base"), F.col("ord").alias("base_back"))
     r = r.join(known, "file_uid", "left")
-    # equality of the file is the join key; which version is meant is a residual condition
-    r = r.join(t, (F.col("file_uid") == F.col("t_uid")) & F.when(F.col("want").isNull(), F.col("target_back") == F.col("newest")).otherwise(F.col("target") == F.col("want")), "left")
-    r = r.join(b, (F.col("file_uid") == F.col("b_uid")) & F.when(F.col("from").isNull(), F.col("base_back") == F.col("target_back") + 1).otherwise(F.col("base") == F.col("from")), "left")
+    # a version is asked for by its name or by its place: one equi-join for each, of which a request uses one
+    by_name = lambda at, name, place: v.select("file_uid", F.col("version").alias(at), F.col("version").alias(f"n_{name}"), F.col("ord").alias(f"n_{place}"))
+    by_place = lambda at, name, place: v.select("file_uid", F.col("ord").alias(at), F.col("version").alias(f"p_{name}"), F.col("ord").alias(f"p_{place}"))
+
+    def found(r: DataFrame, asked: str, at: Column, name: str, place: str) -> DataFrame:
+        r = r.withColumns({"_name": F.col(asked), "_place": F.when(F.col(asked).isNull(), at)})
+        r = r.join(by_name("_name", name, place), ["file_uid", "_name"], "left").join(by_place("_place", name, place), ["file_uid", "_place"], "left")
+        return r.withColumns({name: F.coalesce(f"n_{name}", f"p_{name}"), place: F.coalesce(f"n_{place}", f"p_{place}")}).drop("_name", "_place", f"n_{name}", f"p_{name}", f"n_{place}", f"p_{place}")
+
+    r = found(r, "want", F.col("newest"), "target", "target_back")
+    r = found(r, "from", F.col("target_back") + 1, "base", "base_back")
     verdict = (
         F.when(F.col("newest").isNull(), "no_versions")
         .when(F.col("target").isNull(), "target_not_found")

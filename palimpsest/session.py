@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -48,7 +47,10 @@ def session(name: str = "palimpsest", **conf: str) -> SparkSession:
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """The cluster's own checkpoint folder; one of this machine only where none is set, as in tests."""
+    """The cluster's own checkpoint folder; there is no other place that driver and executors share."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "palimpsest-checkpoints"))
+        own = spark.conf.get("spark.checkpoint.dir", None)
+        if not own:
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+        sc.setCheckpointDir(own)

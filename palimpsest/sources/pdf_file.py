@@ -17,12 +17,12 @@ from typing import NamedTuple
 import numpy as np
 
 _TOKEN = re.compile(
-    rb"(?:[\0\t\n\f\r ]|%[^\r\n]*)*(?:"
+    rb"(?:[\0\t\n\f\r ]|%[^\r\n]*+)*+(?:"
     rb"(?P<num>[+-]?(?:\d+\.?\d*|\.\d+))(?=[\0\t\n\f\r ()<>\[\]{}/%]|$)"
     rb"|/(?P<name>[^\0\t\n\f\r ()<>\[\]{}/%]*)"
     rb"|(?P<open><<|\[)|(?P<close>>>|\])|(?P<str>\()"
     rb"|<(?P<hex>[0-9A-Fa-f\0\t\n\f\r ]*)>"
-    rb"|(?P<word>[^\0\t\n\f\r ()<>\[\]{}/%]+)|(?P<odd>[\s\S]))"
+    rb"|(?P<word>[^\0\t\n\f\r ()<>\[\]{}/%]+)|(?P<odd>[{})>]))"
 )
 _PARENS = re.compile(rb"\\[\s\S]|[()]")
 _ESCAPE = re.compile(rb"\\([0-7]{1,3}|\r\n|[\s\S])")

@@ -11,6 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import store
+from ..operators.registry import Registry
+from ..operators.run import run
 from ..schemas import EVENT, GOVERNANCE_EVENTS, HANDLED_EVENTS, MOST_PENDING, PERMISSION_SECONDS
 
 
@@ -50,11 +52,15 @@ def deduplicated(stream: DataFrame, ts: str = "ts", delay: str = "10 minutes") -
 
 
 def admitted(jobs: DataFrame, keys: list[str], running: DataFrame | None = None, most: int = MOST_PENDING) -> DataFrame:
-    """One job a key, none that is running, the queue's room at most."""
+    """One job a key, none that is running, the queue's room at most: ``accepted`` says which; the others are to be told so and come again.
+
+    The first by key are taken, so that asking twice gives the same answer.
+    """
     one = jobs.dropDuplicates(keys)
     if running is not None:
         one = one.join(running.select(*keys), keys, "left_anti")
-    return one.limit(most)
+    taken = one.select(*keys).orderBy(*keys).limit(most).withColumn("accepted", F.lit(True))
+    return one.join(taken, keys, "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
 
 
 def by_batch(work: Callable[[DataFrame], DataFrame], results: store.ResultStore, retry_path: str | None = None) -> Callable[[DataFrame, int], None]:
@@ -65,7 +71,8 @@ def by_batch(work: Callable[[DataFrame], DataFrame], results: store.ResultStore,
     """
 
     def run(batch: DataFrame, _: int) -> None:
-        todo = store.pending(store.keyed(batch), results.served())
+        keyed = store.keyed(batch)
+        todo = store.pending(keyed, results.served(keyed))
         children = work(todo).persist()
         try:
             bad = children.where("error is not null").select("key").distinct()
@@ -81,6 +88,34 @@ def by_batch(work: Callable[[DataFrame], DataFrame], results: store.ResultStore,
     return run
 
 
+def consumer(all_versions: Callable[[], DataFrame], results: store.ResultStore, registry: Registry, voids: str | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function for routed events: comparisons run, results of deleted files go, governance events are written to ``voids``.
+
+    Every step can be repeated: what is committed is cached, what is dropped stays so.
+    """
+
+    def act(batch: DataFrame, _: int) -> None:
+        batch.persist()
+        try:
+            files = batch.where("action = 'delete'").select("file_uid")
+            if not files.isEmpty():
+                results.drop_files(files)
+            wanted = batch.where("action = 'compare'").select("file_uid", F.coalesce("version", F.lit("")).alias("target"), F.lit("").alias("base")).distinct()
+            if not wanted.isEmpty():
+                run(wanted, all_versions(), results, registry)
+            if voids:
+                batch.where("action = 'invalidate'").select("type", "tenant", "file_uid", "member", F.current_timestamp().alias("at")).write.mode("append").parquet(voids)
+        finally:
+            batch.unpersist()
+
+    return act
+
+
+def retried(spark: SparkSession, path: str) -> DataFrame:
+    """The pairs that batches have put aside, each once, for the sweep."""
+    return spark.read.parquet(path).dropDuplicates(["key"])
+
+
 def start(stream: DataFrame, run: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True) -> StreamingQuery:
     """A query of its own with its own checkpoint for each independent consumer; commits are its acknowledgements."""
     w = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
@@ -99,6 +134,9 @@ def decision_cache(stream: DataFrame, ttl_seconds: int = PERMISSION_SECONDS) ->
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         allowed, expires = state.get if state.exists else (False, 0.0)
         out = []
         for row in pd.concat(list(frames)).sort_values("at", kind="stable").itertuples():
@@ -111,10 +149,16 @@ def decision_cache(stream: DataFrame, ttl_seconds: int = PERMISSION_SECONDS) ->
             else:
                 fresh = row.at < expires
                 out.append((*key, allowed if fresh else None, expires))
-        state.update((allowed, float(expires)))
+        if expires:
+            state.update((allowed, float(expires)))
+            state.setTimeoutTimestamp(max(int(expires * 1000) + 1000, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["tenant", "user", "file_uid", "allowed", "expires_at"])
 
-    return stream.groupBy("tenant", "user", "file_uid").applyInPandasWithState(step, CACHE, "allowed boolean, expires_at double", "append", GroupStateTimeout.NoTimeout)
+    # a second later than the rows say: a watermark of zero, where it begins, drops nothing from zero on
+    timed = stream.withColumn("_time", F.timestamp_seconds(F.col("at") + 1)).withWatermark("_time", f"{max(1, ttl_seconds)} seconds")
+    return timed.groupBy("tenant", "user", "file_uid").applyInPandasWithState(step, CACHE, "allowed boolean, expires_at double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def metrics_text(samples: list[tuple[str, str, str, float, dict[str, str]]]) -> str:

@@ -184,8 +184,13 @@ def test_store_commits_last_and_serves_complete_only(spark, tmp_path):
     m = s.served().first()
     assert m.expected == [f"diff.{key}.page.000.svg", f"diff.{key}.page.001.svg"] and [u["index"] for u in m.units] == [0, 1]
     assert store.pending(pairs, s.served()).count() == 0
-    s.rewrite_without(spark.createDataFrame([("f", f"diff.{key}.page.001.svg")], "file_uid string, name string"))
+    s.drop(spark.createDataFrame([("f", f"diff.{key}.page.001.svg")], "file_uid string, name string"))
     assert s.served().count() == 0 and s.children().count() == 1
+    # written again after it was dropped, it stands
+    s.commit(r, c)
+    assert s.served().count() == 1 and s.children().count() == 2 and s.served(pairs).count() == 1
+    s.drop_keys(pairs.select("file_uid", "key"))
+    assert s.names().count() == 0
 
 
 def test_manifest_json_is_canonical_and_lenient(spark):
@@ -310,9 +315,12 @@ def test_models_are_described_and_merged(spark):
     sc = spark.createDataFrame([("m", "stable-id", 1.0)], "model string, tier string, confidence double")
     body = json.loads(models.metamodels(d, ["model"], sc).first().body)
     assert body["diffSummary"]["added"] == 1 and body["diffSummary"]["propertyChanges"] == 1
-    assert {o["id"] for o in body["metaObjects"]} == {"id1|old", "id1|new", "id0|old", "id0|difference", "id2|new", "id2|difference"}
+    assert {o["id"] for o in body["metaObjects"]} == {"diff", "old", "new", "difference", "id1|old", "id1|new", "id0|old", "id0|diff", "id2|new", "id2|diff"}
     doc, _ = gltf.container(models.merged_files(d, ["model"], z_up=True).first().glb)
     assert {n["name"]: len(n.get("children", [])) for n in doc["nodes"] if n["name"] in models.GROUPS} == {"old": 2, "new": 2, "difference": 2}
+    # every mesh of the file is an object of the description, under the same id
+    meshes = {n["name"] for n in doc["nodes"] if "mesh" in n}
+    assert meshes == {o["id"] for o in body["metaObjects"] if o["type"] not in ("Project", "Layer")}
 
 
 def test_text_pages_and_outlines(spark):
@@ -325,5 +333,5 @@ def test_text_pages_and_outlines(spark):
 
 
 def test_sweeps_say_when_they_are_cut(spark):
-    d = spark.range(5)
+    d = spark.range(5).withColumnRenamed("id", "key")
     assert store.swept(d, 5)[1] is False and store.swept(d, 4)[1] is True

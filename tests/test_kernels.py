@@ -134,6 +134,12 @@ def test_pdf_object_streams_and_inherited_boxes():
     assert (r["kind"], r["x"], r["width"], r["height"]) == ("path", 72.0, 300.0, 400.0)
 
 
+@pytest.mark.parametrize("tail", [b"", b" ", b" % note", b"\n\n", b" ) > }"])
+def test_what_ends_a_content_is_no_operator(tail):
+    objects, unknown, _ = pdf.page_objects(b"% head\n1 2 3 4 re S" + tail)
+    assert len(objects) == 1 and all(x in ")>}" for x in unknown)
+
+
 def test_unreadable_pdfs_are_problems():
     assert pdf.parse(objects_in_a_stream(extra=b"/Encrypt 9 0 R")) == [{"problem": "open-failed:encrypted"}]
     assert pdf.parse(b"%PDF-1.5\n1 0 obj<</Type/Catalog>>endobj") == [{"problem": "no-pages"}]
