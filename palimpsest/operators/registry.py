@@ -67,7 +67,9 @@ class Registry:
 
     def compare(self, pairs: DataFrame) -> DataFrame:
         """Each operator on its own pairs, as separate branches: costly ones run only where needed. Children rows (CHILD)."""
-        parts = [e.compare(pairs.where(F.col("plugin") == e.name)) for e in self.entries if e.compare]
+        # as many names as operators at most: what no pair asks for isn't planned
+        asked = {r.plugin for r in pairs.select("plugin").distinct().collect()}
+        parts = [e.compare(pairs.where(F.col("plugin") == e.name)) for e in self.entries if e.compare and e.name in asked]
         none = pairs.sparkSession.createDataFrame([], CHILD)
         return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts, none)
 

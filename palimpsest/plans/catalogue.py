@@ -3,7 +3,8 @@
 The tables hold no versions of anything, so two sides are derived from one table by a rule
 that both engines apply: the base lacks rows whose key is divisible by 17, the target those
 by 19; a measure grows by 1 where 11 divides the key and an attribute becomes X where 13 does.
-Order-dependent alignments have no SQL here and are tested against brute force.
+Order-dependent alignments are recursive queries there (``alignment_sql``); the recursive
+matching of text lines alone has no SQL and is tested against brute force.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from ..operators import access, keyed, score, sequence, spatial, store, versions
 from ..schemas import ADDED, DELETED, MODIFIED, UNCHANGED
 from ..sources.files import lines_of
 from ..streaming import events as ev
+from . import alignment_sql as align
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -216,7 +218,7 @@ def bbox_diagonal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.bbox_diagonal(shapes(spark, sf_dir), ["label"]).select("label", F.round("diagonal", 9).alias("diagonal"))
 
 
-@query()
+@query(align.SHAPE_SIGNATURE)
 def shape_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.shaped(shapes(spark, sf_dir)).select("vec_id", "shape")
 
@@ -284,12 +286,12 @@ def page_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return old, side(p.where(k % 19 != 0), x + F.when(k % 11 == 0, 40.0).when(k % 23 == 0, 400.0).otherwise(5.0), F.when(k % 13 == 0, "w=2.0").otherwise("w=1.0"))
 
 
-@query()
+@query(align.PAGE_COMPARISON)
 def page_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.compare_pages(*page_sides(spark, sf_dir), ["page"]).select("page", "state", "reason", F.col("old.idx").alias("old_idx"), F.col("new.idx").alias("new_idx"), "matched")
 
 
-@query()
+@query(align.PAGE_CONFIDENCE)
 def page_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = page_sides(spark, sf_dir)
     d = spatial.compare_pages(old, new, ["page"])
@@ -298,19 +300,19 @@ def page_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(m, "page").select("page", score.confidence(F.col("matched"), F.col("n_old"), F.col("n_new"), F.lit(0)).alias("confidence"))
 
 
-@query()
+@query(align.RESIDUAL_NEAREST)
 def residual_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = page_sides(spark, sf_dir)
     return spatial.residual_nearest(old, new, ["page"])
 
 
-@query()
+@query(align.NEAREST_FIRST)
 def nearest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = shapes(spark, sf_dir).select(F.lit("m").alias("model"), F.concat(F.lit("s"), "label").alias("shape"), F.col("vec_id").cast("int").alias("idx"), keys.centroid("verts").alias("center"))
     return spatial.nearest_first(s.where("idx % 17 <> 0"), s.where("idx % 19 <> 0"), ["model"]).select("old_idx", "new_idx", F.round("distance", 9).alias("distance"))
 
 
-@query()
+@query(align.SHAPE_COMPARISON)
 def shape_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Models by label; where 11 divides the id the element is moved away, where 13 does it is moved a little."""
     s = shapes(spark, sf_dir).select(F.col("label").alias("model"), F.col("vec_id").cast("int").alias("idx"), "verts", "faces")
@@ -327,7 +329,7 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return l, edited.select("doc_id", (F.col("idx") * 2 + F.col("c")).alias("idx"), "line")
 
 
-@query()
+@query(align.LCS_PAIRS)
 def lcs_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.align(*doc_lines(spark, sf_dir), ["doc_id"], signature="line")
 
@@ -337,7 +339,7 @@ def text_line_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.line_states(*doc_lines(spark, sf_dir), ["doc_id"]).groupBy("doc_id", "layer", "state").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(align.PAGE_PAIRING)
 def page_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as documents, turns as pages."""
     c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("int").alias("idx"), F.md5("text").alias("signature"))
@@ -404,7 +406,7 @@ def stroke_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", svg.stroke_width(style).alias("w"))
 
 
-@query()
+@query(align.PAGE_DRAWINGS)
 def page_drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page comparison drawn in three layers."""
     shape = F.array(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), F.struct(F.lit(1.0).alias("x"), F.lit(1.0).alias("y")))
@@ -613,11 +615,18 @@ def child_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.where("c_mktsegment <> 'BUILDING'").join(n, c["c_nationkey"] == n["n_nationkey"]).select("c_custkey", F.concat_ws("/", "n_name", "c_mktsegment").alias("place"))
 
 
+def _filled() -> None:
+    """The second half of the catalogue adds itself to the first as it is imported."""
+    from . import reading  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _filled()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _filled()
     return dict(_SQL)
 
 
