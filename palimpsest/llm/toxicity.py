@@ -15,14 +15,18 @@ kernel, so all landmarks collapse into one weight for each subsequence, and scor
 text costs one look-up for each start and gap pattern, whatever the number of landmarks.
 A document's score is its highest window's, through a logistic fitted on training rows.
 
-Learning takes a bounded sample of labelled rows (``per_class`` of each class, whole
-texts up to ``max_train_bytes``). Scoring covers all bytes of every text.
+Learning takes a bounded sample of labelled rows (``Settings``). Scoring covers all bytes of
+every text.
+
+Defined cases: null and empty texts score as a text without any evidence; equal texts score
+alike; a doc_id that labels hold more than once is toxic if one of them says so; null ids and
+null labels teach nothing; without labels of both classes every score is the one class's; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 from itertools import product
@@ -50,6 +54,12 @@ class Settings:
     rounds: int = 4
     penalty: float = 3e-4
     seed: int = 3
+    #: changed copies of each toxic training text's window that the logistic is fitted with
+    put_in: int = 0
+    #: changed copies of each seed word that the machine learns from
+    varied: int = 4
+    long_per_class: int = 100
+    max_long_bytes: int = 64_000
 
 
 def classes() -> np.ndarray:
@@ -161,6 +171,13 @@ class Machine:
             out.append((float(sums[k]), code[k : k + s.window + s.max_span].tobytes()))
         return out
 
+    def window_score(self, code: bytes) -> float:
+        """Highest window sum of one coded string."""
+        s = self.settings
+        x = np.concatenate([np.frombuffer(code, np.uint8), np.full(s.window, VOID, np.uint8)])
+        p = np.concatenate([[0.0], np.cumsum(self.position_scores(x), dtype=np.float64)])
+        return float((p[s.window :] - p[: -s.window]).max())
+
     def probability(self, best: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * best + self.shift, -40, 40)))
 
@@ -241,6 +258,16 @@ def varied(x: bytes, rng: np.random.Generator) -> bytes:
     return bytes([BLANK, *body, BLANK])
 
 
+def put_in(code: bytes, rng: np.random.Generator) -> bytes:
+    """The window with one letter or digit put in between two letters; unchanged if there are none."""
+    x = np.frombuffer(code, np.uint8)
+    between = np.flatnonzero((x[:-1] <= FOREIGN) & (x[1:] <= FOREIGN)) + 1
+    if not len(between):
+        return code
+    k = int(rng.choice(between))
+    return code[:k] + bytes([int(rng.integers(28))]) + code[k:]
+
+
 def train(texts: list[bytes], toxic: np.ndarray, s: Settings = Settings()) -> Machine:
     """Fits the machine on whole labelled texts; with one class only, every score is that class's."""
     m = Machine(s)
@@ -262,7 +289,7 @@ def train(texts: list[bytes], toxic: np.ndarray, s: Settings = Settings()) -> Ma
     chosen = [padded(w) for w in seeds] + [padded(w) for w in clean_words[: max(16, s.landmarks - len(seeds))]]
     marks = Landmarks([x for x in dict.fromkeys(chosen) if len(x) > 3][: s.landmarks], s)
     good = [padded(w) for w in seeds for _ in range(min(6, 1 + pos[w] // 12))]
-    gapped = [varied(padded(w), rng) for w in seeds for _ in range(4)]
+    gapped = [varied(padded(w), rng) for w in seeds for _ in range(s.varied)]
     bad = [padded(w) for w in clean_words]
     for r in range(s.rounds):
         x = marks.inner(good + gapped + bad)
@@ -276,7 +303,9 @@ def train(texts: list[bytes], toxic: np.ndarray, s: Settings = Settings()) -> Ma
             bad += [b for (v, b), t in zip(tops, toxic, strict=True) if not t]
             good += [b for (v, b), t in zip(tops, toxic, strict=True) if t and v + bias > 0]
     best = np.concatenate([m.maxima(data[off[i] : off[j]], off[i : j + 1] - off[i])[0] for i in range(0, len(texts), 64) for j in [min(i + 64, len(texts))]])
-    m.slope, m.shift = platt(best, toxic)
+    # the same windows with a character put in count as positive too: the mark of 0.5 stands below both
+    changed = [m.window_score(put_in(w, rng)) for (_, w), t in zip(m.best_windows(data, off), toxic, strict=True) if t for _ in range(s.put_in)]
+    m.slope, m.shift = platt(np.r_[best, changed], np.r_[toxic, np.ones(len(changed), bool)])
     return m
 
 
@@ -295,20 +324,32 @@ def platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
-    """A bounded sample of each class, lowest hash first: (text, toxic).
+    """A bounded sample of each class, lowest hash first: (doc_id, text, toxic, long).
 
-    The ids of the sample are bounded by 2 x per_class, so their join is a broadcast of known size.
+    ``per_class`` texts of up to ``max_train_bytes`` and ``long_per_class`` longer ones, these
+    with their first ``max_long_bytes``. Ids and lengths are joined first; the texts of the
+    sample's ids, whose number is bounded, by a broadcast.
     """
-    one = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    one = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic"))
+    sized = docs.where("text is not null").groupBy("doc_id").agg((F.max(F.octet_length("text")) > s.max_train_bytes).alias("long"))
+    known = one.join(sized, "doc_id")
     order = [F.xxhash64("doc_id"), "doc_id"]
-    ids = one.where("toxic = 1").orderBy(*order).limit(s.per_class).union(one.where("toxic <> 1").orderBy(*order).limit(s.per_class))
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= s.max_train_bytes))
-    return texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic")
+    parts = [known.where((F.col("toxic") == y) & (F.col("long") == far)).orderBy(*order).limit(s.long_per_class if far else s.per_class) for y in (1, 0) for far in (False, True)]
+    ids = parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id")
+    return texts.select("doc_id", F.when(F.col("long"), F.substring("text", 1, s.max_long_bytes)).otherwise(F.col("text")).alias("text"), "toxic", "long")
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Machine:
-    rows = sorted((r.doc_id, r.text, r.toxic == 1) for r in training_rows(docs, labels, settings).collect())
-    return train([r[1].encode() for r in rows], np.array([r[2] for r in rows], bool), settings)
+    """Longer texts say less about where their label comes from: they fill a class up to ``long_per_class`` texts only."""
+    got = sorted((r.long, r.doc_id, r.text, r.toxic == 1) for r in training_rows(docs, labels, settings).collect())
+    rows: list[tuple] = []
+    for y in (True, False):
+        mine = [r for r in got if r[3] == y]
+        short = sum(not r[0] for r in mine)
+        rows += mine[: max(short, min(len(mine), settings.long_per_class))]
+    rows.sort(key=lambda r: r[1])
+    return train([r[2].encode() for r in rows], np.array([r[3] for r in rows], bool), settings)
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
@@ -321,6 +362,3 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
-
-def learnable(doc_id: int) -> bool:
-    return zlib.crc32(str(doc_id).encode()) % 5 != 0
