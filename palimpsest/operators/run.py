@@ -37,6 +37,7 @@ def dispatched(requests: DataFrame, all_versions: DataFrame, registry: Registry)
 def computed(todo: DataFrame, all_versions: DataFrame, registry: Registry) -> tuple[DataFrame, DataFrame]:
     """(results, children) of pairs (key, file_uid, base, target, plugin, plugin_version, mime)."""
     ensure_checkpoints(todo.sparkSession)
+    todo = todo.checkpoint()  # a few columns, met four times below
     pairs = versions.contents(todo, all_versions)
     # written once: the comparison is the costly part, and is read for the results and for the children
     rows = registry.compare(pairs).checkpoint()
