@@ -121,9 +121,10 @@ def _doubled(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
         if 2 ** len(rounds) > longest:
             break
         rounds.append(jump.select("tree", "node", "to"))
+        # only ways that go on are joined; every node that is gone to is in the table
         next_one = state.select("tree", F.col("node").alias("to"), F.col("to").alias("beyond"), F.col("total").alias("more"), F.col("n").alias("m"))
-        state = state.join(next_one, ["tree", "to"], "left")
-        state = state.select("tree", "node", F.col("beyond").alias("to"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("n") + F.coalesce("m", F.lit(0))).alias("n")).checkpoint()
+        longer = jump.join(next_one, ["tree", "to"]).select("tree", "node", F.col("beyond").alias("to"), (F.col("total") + F.col("more")).alias("total"), (F.col("n") + F.col("m")).alias("n"))
+        state = state.where("to is null").union(longer).checkpoint()
     return rounds, state.where("to is null").select("tree", "node", "total", "n")
 
 
