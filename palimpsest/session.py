@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -47,10 +49,10 @@ def session(name: str = "palimpsest", **conf: str) -> SparkSession:
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """The cluster's own checkpoint folder; there is no other place that driver and executors share."""
+    """The cluster's own checkpoint folder. Unset: a folder of this machine if all of Spark runs in this process, else an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         own = spark.conf.get("spark.checkpoint.dir", None)
-        if not own:
+        if not own and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
-        sc.setCheckpointDir(own)
+        sc.setCheckpointDir(own or os.path.join(tempfile.gettempdir(), "palimpsest-checkpoints"))
