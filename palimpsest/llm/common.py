@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoints
+
 #: Bytes of text that one kernel call works on; bounds a worker's memory whatever the batch size.
 SLICE_BYTES = 2 << 20
 
@@ -18,13 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Checkpoints go to the folder that the cluster names in spark.checkpoint.dir; without one there is no shared place."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        own = spark.conf.get("spark.checkpoint.dir", None)
-        if not own:
-            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
-        sc.setCheckpointDir(own)
+    """Checkpoints go to the folder that the cluster names in spark.checkpoint.dir; see ``session.ensure_checkpoints``."""
+    ensure_checkpoints(spark)
 
 
 def shuffle_parts(spark: SparkSession) -> int:
