@@ -114,7 +114,8 @@ class Rolling:
             Rolling._up, Rolling._down = self._powers(self.BASE, n + 1), self._powers(self.INVERSE, n + 1)
         out = np.empty(len(data) + 1, np.uint64)
         out[0] = 0
-        np.take(self.values, data, out=out[1:])
+        # a byte is never out of the table: "clip" writes in place, where "raise" goes through a buffer
+        np.take(self.values, data, out=out[1:], mode="clip")
         out[1:] *= self._up[: len(data)]
         np.cumsum(out[1:], out=out[1:])
         return out
