@@ -698,6 +698,30 @@ def test_short_lines_take_part(spark):
     assert out[3] == "other text of that one"
 
 
+def test_pairs_left_out_by_their_bags_are_out_of_reach():
+    rng, s = random.Random(23), linedup.WHOLE
+    words = [bytes(rng.choices(b"abcdefgh", k=rng.randint(1, 6))) for _ in range(40)]
+    a, b = [], []
+    for _ in range(400):
+        x = rng.choices(words, k=rng.choice([1, 3, 9, 10, 30, 70, 110]))
+        y = list(x)
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(y))
+            y[at : at + rng.randint(0, 1)] = rng.choices(words, k=rng.randint(0, 1))
+            y = y or x[:1]
+        a.append(b" ".join(x))
+        b.append(b" ".join(y) + rng.choice([b"", b"", b"!", b"?!"]))
+    near = linedup.edit_distances(a, b, s.edits) <= s.bound(np.minimum([*map(len, a)], [*map(len, b)]))
+    for k, (x, y) in enumerate(zip(a, b, strict=True)):
+        ends = np.cumsum([len(x), len(y)])
+        h, first, last = linedup.line_words(np.frombuffer(x + y, np.uint8), ends - [len(x), len(y)], ends)
+        most = int(s.word_bound(np.array([(last - first).min()]))[0])
+        u, v = h[first[0] : last[0]], h[first[1] : last[1]]
+        near[k] |= most > 0 and linedup.word_distance(u, v, most) <= most
+    assert 20 < near.sum() < 380
+    assert (linedup.within(a, b, s) == near).all()
+
+
 def test_word_distance():
     rng = random.Random(21)
     for _ in range(1500):
