@@ -353,12 +353,12 @@ class Encoder:
             self._pairs = {(u, v): r for r, (u, v, _) in enumerate(self.merges.rules)}
         return self._pairs.get((a, b))
 
-    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in a row, count for each text)."""
+    def encode(self, data: np.ndarray, off: np.ndarray, specials: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, count for each text); without specials their strings are plain text."""
         n_texts = len(off) - 1
         if not len(data):
             return np.zeros(0, np.int32), np.zeros(n_texts, np.int64)
-        special = self._special_spans(data, off)
+        special = self._special_spans(data, off) if specials else ()
         if len(special):
             # cut at the special token: each stretch is pre-tokenised as a text of its own
             cuts = np.unique(np.concatenate([off, special[:, 0], special[:, 1]]))
