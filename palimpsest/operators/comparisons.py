@@ -105,8 +105,7 @@ def compare_pdf(pairs: DataFrame, tools: Tools = Tools()) -> DataFrame:
 def page_heads(objects: DataFrame) -> DataFrame:
     """(key, page, signature, width, height, problems, n) of every page that was opened."""
     p = objects.where("page is not null").groupBy("key", "page")
-    signature = F.array_join(F.sort_array(F.collect_list("signature")), "|")
-    return p.agg(signature.alias("signature"), F.max("width").alias("width"), F.max("height").alias("height"), F.flatten(F.collect_set("unknown_ops")).alias("problems"), F.count("kind").alias("n"))
+    return p.agg(sequence.multiset("signature").alias("signature"), F.max("width").alias("width"), F.max("height").alias("height"), F.flatten(F.collect_set("unknown_ops")).alias("problems"), F.count("kind").alias("n"))
 
 
 def rastered(pairs: DataFrame, heads: DataFrame, tools: Tools) -> DataFrame:

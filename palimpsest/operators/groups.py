@@ -48,3 +48,31 @@ def by_group(rows: DataFrame, keys: list[str], order: list[str], kernel: Kernel,
             yield batch(out)
 
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def by_row(rows: DataFrame, keys: list[str], order: list[str], start: Callable[[], object], step: Callable[[object, tuple], list[tuple]], fields: str, rows_out: int = 8192) -> DataFrame:
+    """A fold over each group's sorted rows: ``step(state, row)`` gives rows of ``fields`` from the row without its keys.
+
+    The state is all that is held of a group, so its rows may be any number.
+    """
+    schema = rows.sparkSession.createDataFrame([], fields).schema
+    arrow = to_arrow_schema(schema)
+    names = rows.columns
+    at = [names.index(k) for k in keys]
+    rest = [i for i, n in enumerate(names) if n not in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, out = None, None, []
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                key = tuple(row[i] for i in at)
+                if state is None or key != now:
+                    now, state = key, start()
+                out += step(state, tuple(row[i] for i in rest))
+            if len(out) >= rows_out:
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(arrow)], schema=arrow)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(arrow)], schema=arrow)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

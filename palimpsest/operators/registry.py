@@ -1,19 +1,36 @@
-"""Comparison operators and their registry; kernels that fail give a row instead of ending the job."""
+"""Comparison operators and their registry; a pair that can't be compared is a row and never ends the others' run.
+
+An operator compares one pair at a time (``Entry.pair``, a function that runs in an Arrow kernel, where
+its exceptions become error rows) or all of them as one plan (``Entry.compare``). A plan
+that fails over some pair is run again on halves of its pairs until that pair stands alone.
+"""
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
+from pyspark.errors import ArithmeticException, ArrayIndexOutOfBoundsException, DateTimeException, IllegalArgumentException, NumberFormatException, PythonException, SparkNoSuchElementException, SparkRuntimeException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.mime import bare, operator_for
+from ..session import ensure_checkpoints
 from . import comparisons
-from .comparisons import CHILD
+from .comparisons import CHILD, failures
+
+#: What a row can do to a plan. A lost executor, a full disk or a missing table isn't among them: such errors end the run.
+ROW_ERRORS = (PythonException, SparkRuntimeException, ArithmeticException, ArrayIndexOutOfBoundsException, DateTimeException, IllegalArgumentException, NumberFormatException, SparkNoSuchElementException)
+#: The stage under which such a pair's failure is told, and the most characters of its reason.
+STAGE, REASON_CHARS = "plugin", 500
+PAIR = ["key", "base_content", "target_content", "base_name", "target_name", "mime"]
+
+Pair = Callable[[dict, dict], list[dict]]
 
 
 class DiffOperator(Protocol):
@@ -36,6 +53,13 @@ class Entry:
     version: int
     claims: Callable[[Column], Column]
     compare: Callable[[DataFrame], DataFrame] | None = None
+    pair: Pair | None = None
+
+    def run(self, pairs: DataFrame) -> DataFrame:
+        """Children and error rows (CHILD) of all the pairs."""
+        if self.pair is not None:
+            return pairwise(self.pair, pairs)
+        return isolated(self.compare, pairs)
 
 
 class Registry:
@@ -69,11 +93,69 @@ class Registry:
         """Each operator on its own pairs, as separate branches: costly ones run only where needed. Children rows (CHILD)."""
         # as many names as operators at most: what no pair asks for isn't planned
         asked = {r.plugin for r in pairs.select("plugin").distinct().collect()}
-        parts = [e.compare(pairs.where(F.col("plugin") == e.name)) for e in self.entries if e.compare and e.name in asked]
+        parts = [e.run(pairs.where(F.col("plugin") == e.name)) for e in self.entries if (e.compare or e.pair) and e.name in asked]
         none = pairs.sparkSession.createDataFrame([], CHILD)
         return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts, none)
 
 
+def reason_of(error: Exception) -> str:
+    """``Type: text`` of what a row did; of a worker's traceback its last line."""
+    text = str(error)
+    told = re.findall(r"^(?:[A-Za-z_][\w.]*(?:Error|Exception|Exit|Interrupt|Iteration|Warning))(?:: .*)?$", text, re.M) if isinstance(error, PythonException) else []
+    return (told[-1] if told else f"{type(error).__name__}: {text.splitlines()[0] if text else ''}")[:REASON_CHARS]
+
+
+def pairwise(compare: Pair, pairs: DataFrame) -> DataFrame:
+    """``compare(base, target)`` on dicts (content, name, mime) gives the children's fields; what it raises is the pair's error.
+
+    Nothing is shuffled, and a pair is all that the function sees.
+    """
+    schema = pairs.sparkSession.createDataFrame([], CHILD).schema
+    arrow = to_arrow_schema(schema)
+
+    def children(row: dict) -> list[dict]:
+        try:
+            made = compare(*({"content": bytes(row[f"{s}_content"] or b""), "name": row[f"{s}_name"], "mime": row["mime"]} for s in ("base", "target")))
+            if not isinstance(made, list) or not all(isinstance(c, dict) for c in made):
+                raise TypeError(f"comparison returned {type(made).__name__}, not a list of children")
+            rows = [{**c, "key": row["key"], "error": None, "stage": None} for c in made]
+            pa.RecordBatch.from_pylist(rows, schema=arrow)  # a field of another type is this pair's error as well
+            return rows
+        except Exception as e:  # noqa: BLE001  one bad pair must not end the others
+            return [{"key": row["key"], "error": f"{type(e).__name__}: {e}"[:REASON_CHARS], "stage": STAGE}]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield pa.RecordBatch.from_pylist(children(batch.slice(i, 1).to_pylist()[0]), schema=arrow)
+
+    return pairs.select(*PAIR).mapInArrow(run, schema)
+
+
+def isolated(compare: Callable[[DataFrame], DataFrame], pairs: DataFrame) -> DataFrame:
+    """compare(pairs), written to the checkpoint folder; pairs over which the plan fails are error rows.
+
+    A failed attempt is made again on either half of its pairs, dealt by a bit of the key's hash, so b bad pairs of n
+    cost about 2 b log2(n / b) more jobs. A plan that can't even be made fails for all of its pairs at once.
+    """
+    ensure_checkpoints(pairs.sparkSession)
+    bit = lambda k: F.shiftright(F.xxhash64("key"), k).bitwiseAND(1)
+
+    def attempt(part: DataFrame, depth: int) -> list[DataFrame]:
+        try:
+            plan = compare(part)
+        except Exception as e:  # noqa: BLE001
+            return [failures(part, STAGE, F.lit(reason_of(e)))]
+        try:
+            return [plan.checkpoint()]
+        except ROW_ERRORS as e:
+            if depth == 64 or part.select("key").distinct().limit(2).count() < 2:
+                return [failures(part, STAGE, F.lit(reason_of(e))).checkpoint()]
+            return [x for b in (0, 1) for x in attempt(part.where(bit(depth) == b), depth + 1)]
+
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), attempt(pairs, 0))
+
+
 def default_registry(text: bool = False, enabled: tuple[str, ...] = (), tools: comparisons.Tools = comparisons.Tools()) -> Registry:
     """PDF and 3D; plain text only where asked for. ``tools`` are the adapters of what a Python worker can't do by itself."""
     r = Registry(enabled)
@@ -82,19 +164,3 @@ def default_registry(text: bool = False, enabled: tuple[str, ...] = (), tools: c
     if text:
         r.register(Entry("passthrough-text", 1, lambda m: F.startswith(bare(m), F.lit("text/plain")), comparisons.compare_text))
     return r
-
-
-def guarded(kernel: Callable[[tuple, pd.DataFrame], pd.DataFrame], keys: list[str], columns: list[str]) -> Callable:
-    """A grouped kernel whose exceptions become one row with ``error`` set and the other columns null."""
-
-    @functools.wraps(kernel)
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        try:
-            out = kernel(key, pdf)
-            if not isinstance(out, pd.DataFrame):
-                raise TypeError(f"kernel returned {type(out).__name__}")
-            return out.assign(error=None)[[*keys, *columns, "error"]]
-        except Exception as e:  # noqa: BLE001  one bad unit must not end the others
-            return pd.DataFrame([[*key, *[None] * len(columns), f"{type(e).__name__}: {e}"[:500]]], columns=[*keys, *columns, "error"])
-
-    return run

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
+import itertools
 import math
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import centroid, cells, distance, shape_signature
 from ..schemas import ADDED, DELETED, MODIFIED, MOVE_TOLERANCE, NEARNESS, RELOCATE_DISTANCE, UNCHANGED, VOTE_GRID
+from ..session import ensure_checkpoints
 from .groups import by_group
 from .sequence import lcs, sides
 
@@ -41,16 +45,8 @@ def residual_nearest(old: DataFrame, new: DataFrame, keys: list[str], most: floa
     both = old.select(*keys, "signature", F.lit(0).alias("side"), "idx", "x", "y").unionByName(new.select(*keys, "signature", F.lit(1).alias("side"), "idx", "x", "y"))
 
     def kernel(key: tuple, g: dict[str, list]) -> list[tuple]:
-        n = g["side"].count(0)
-        x, y, out = np.array(g["x"][n:], float), np.array(g["y"][n:], float), []
-        free = np.ones(len(x), bool)
-        for i in range(n if len(x) else 0):
-            d = np.where(free, np.hypot(x - g["x"][i], y - g["y"][i]), np.inf)
-            k = int(d.argmin())
-            if d[k] < most:
-                free[k] = False
-                out.append((*key[:-1], g["idx"][i], g["idx"][n + k]))
-        return out
+        n, at = g["side"].count(0), np.array([g["x"], g["y"]], float).T
+        return [(*key[:-1], g["idx"][i], g["idx"][n + j]) for i, j in in_turn(at[:n], at[n:], most)]
 
     return by_group(both, [*keys, "signature"], ["side", "idx"], kernel, "old_idx int, new_idx int", keep=keys)
 
@@ -103,18 +99,16 @@ def page_pairs(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     def kernel(key: tuple, g: dict[str, list]) -> list[tuple]:
         n, sig, idx, dx, dy = g["side"].count(0), g["signature"], g["idx"], g["dx"][0], g["dy"][0]
         pairs, _ = lcs(sig[:n], sig[n:], None)
-        used_o, used_n = {i for i, _ in pairs}, {j for _, j in pairs}
-        free: dict[str, list[int]] = {}
-        for j in range(len(sig) - n):
-            if j not in used_n:
-                free.setdefault(sig[n + j], []).append(j)
-        for i in range(n):
-            here = free.get(sig[i]) if i not in used_o else None
-            if here:
-                d = [math.hypot(g["x"][n + j] - (g["x"][i] + dx), g["y"][n + j] - (g["y"][i] + dy)) for j in here]
-                k = min(range(len(d)), key=d.__getitem__)
-                if d[k] < RELOCATE_DISTANCE:
-                    pairs.append((i, here.pop(k)))
+        used = {i for i, _ in pairs}, {j for _, j in pairs}
+        free: dict[str, tuple[list[int], list[int]]] = {}
+        for k in range(len(sig)):
+            side = int(k >= n)
+            if k - side * n not in used[side]:
+                free.setdefault(sig[k], ([], []))[side].append(k)
+        for here, there in free.values():
+            if here and there:
+                place = lambda ks, x, y: np.array([(g["x"][k] + x, g["y"][k] + y) for k in ks])
+                pairs += [(here[i], there[j] - n) for i, j in in_turn(place(here, dx, dy), place(there, 0.0, 0.0), RELOCATE_DISTANCE)]
         return [(*key, idx[i], idx[n + j], dx, dy) for i, j in pairs]
 
     return by_group(both, keys, ["side", "idx"], kernel, "old_idx int, new_idx int, dx double, dy double")
@@ -137,88 +131,201 @@ def shaped(elements: DataFrame) -> DataFrame:
     return elements.withColumn("center", centroid("verts")).withColumn("shape", shape_signature("verts", "faces", F.col("center")))
 
 
-def closest_pairs(p: np.ndarray, q: np.ndarray, leaf: int = 64) -> list[tuple[int, int, float]]:
-    """One-to-one pairs (i, j, distance) of points, accepted by (distance, i, j).
-
-    Each point of p asks a tree over q for its closest free partner and waits in a heap under the
-    answer; if the partner is gone when its turn comes it asks again. Memory grows with the points, not with the pairs.
-    """
-    if not len(p) or not len(q):
-        return []
-    order, nodes = np.arange(len(q)), []
-
-    def grow(a: int, b: int) -> int:
-        """A box tree over q[order[a:b]]: (low, high, begin, end, children or None, free points)."""
-        some = q[order[a:b]]
+class FreePoints:
+    """A box tree over points from which the closest free one is asked for and taken; of equal distances the smaller number counts."""
+
+    def __init__(self, q: np.ndarray, leaf: int = 64):
+        self.q, self.leaf = q, leaf
+        self.order, self.nodes = np.arange(len(q)), []
+        self.free = np.ones(len(q), bool)
+        if len(q):
+            self._grow(0, len(q))
+        self.home = np.zeros(len(q), int)
+        for k, node in enumerate(self.nodes):
+            if node[4] is None:
+                self.order[node[2] : node[3]].sort()
+                self.home[self.order[node[2] : node[3]]] = k
+
+    def _grow(self, a: int, b: int) -> int:
+        """Over q[order[a:b]]: [low, high, begin, end, children or None, free points, parent, smallest number]."""
+        some = self.q[self.order[a:b]]
         low, high = some.min(0), some.max(0)
-        at = len(nodes)
-        nodes.append([low, high, a, b, None, b - a, -1])
-        if b - a > leaf and (high > low).any():
-            by = np.argsort(some[:, int((high - low).argmax())], kind="stable")
-            order[a:b] = order[a:b][by]
+        at = len(self.nodes)
+        self.nodes.append([low, high, a, b, None, b - a, -1, int(self.order[a:b].min())])
+        # equal points are parted by their numbers, so that a leaf is small whatever the points
+        if b - a > self.leaf:
+            if (high > low).any():
+                by = np.argsort(some[:, int((high - low).argmax())], kind="stable")
+                self.order[a:b] = self.order[a:b][by]
+            else:
+                self.order[a:b].sort()
             half = (a + b) // 2
-            nodes[at][4] = (grow(a, half), grow(half, b))
-            for c in nodes[at][4]:
-                nodes[c][6] = at
+            self.nodes[at][4] = (self._grow(a, half), self._grow(half, b))
+            for c in self.nodes[at][4]:
+                self.nodes[c][6] = at
         return at
 
-    grow(0, len(q))
-    home = np.zeros(len(q), int)
-    for k, node in enumerate(nodes):
-        if node[4] is None:
-            # of equal distances the smaller number counts
-            order[node[2] : node[3]].sort()
-            home[order[node[2] : node[3]]] = k
-    free = np.ones(len(q), bool)
-
-    def ask(x: np.ndarray) -> tuple[float, int]:
-        best, todo = (np.inf, -1), [(0.0, 0)]
+    def closest(self, x: np.ndarray, most: float = np.inf) -> tuple[float, int]:
+        """(distance, number) of the closest free point nearer than ``most``; (most, -1) without one."""
+        best, todo = (most, -1), [(0.0, -1, 0)] if self.nodes else []
+        nodes = self.nodes
         while todo:
-            least, k = heapq.heappop(todo)
-            if least > best[0]:
+            least, first, k = heapq.heappop(todo)
+            if (least, first) > best:
                 break
-            low, high, a, b, children, left, _ = nodes[k]
-            if not left:
-                continue
+            _, _, a, b, children, _, _, _ = nodes[k]
             if children is None:
-                here = order[a:b][free[order[a:b]]]
-                d = np.sqrt(((q[here] - x) ** 2).sum(1))
-                j = int(d.argmin())
-                best = min(best, (float(d[j]), int(here[j])))
+                here = self.order[a:b][self.free[self.order[a:b]]]
+                d = self._lengths(self.q[here] - x)
+                j = int(d.argmin()) if len(d) else -1
+                if j >= 0 and (d[j] < best[0] or (d[j], here[j]) < best):
+                    best = (float(d[j]), int(here[j]))
                 continue
             for c in children:
-                gap = np.maximum(0, np.maximum(nodes[c][0] - x, x - nodes[c][1]))
-                bound = float(np.sqrt((gap * gap).sum())) * (1 - 1e-12)
-                if nodes[c][5] and bound <= best[0]:
-                    heapq.heappush(todo, (bound, c))
+                low, high, _, _, _, left, _, first = nodes[c]
+                if left:
+                    gap = np.maximum(0, np.maximum(low - x, x - high))
+                    bound = float(self._lengths(gap[None])[0])
+                    if (low != high).any():
+                        bound *= 1 - 1e-12
+                    if (bound, first) < best:
+                        heapq.heappush(todo, (bound, first, c))
         return best
 
-    heap = [(d, i, j) for i, (d, j) in enumerate(map(ask, p))]
+    @staticmethod
+    def _lengths(gap: np.ndarray) -> np.ndarray:
+        return np.hypot(gap[:, 0], gap[:, 1]) if gap.shape[1] == 2 else np.sqrt((gap**2).sum(1))
+
+    def take(self, j: int) -> None:
+        self.free[j] = False
+        k = self.home[j]
+        while k >= 0:
+            self.nodes[k][5] -= 1
+            k = self.nodes[k][6]
+
+
+def closest_pairs(p: np.ndarray, q: np.ndarray, leaf: int = 64) -> list[tuple[int, int, float]]:
+    """One-to-one pairs (i, j, distance) of points, accepted by (distance, i, j).
+
+    Each point of p asks the tree over q for its closest free partner and waits in a heap under the
+    answer; if the partner is gone when its turn comes it asks again. Memory grows with the points, not with the pairs.
+    """
+    if not len(p) or not len(q):
+        return []
+    points = FreePoints(q, leaf)
+    heap = [(d, i, j) for i, (d, j) in enumerate(map(points.closest, p))]
     heapq.heapify(heap)
     out: list[tuple[int, int, float]] = []
     while heap and len(out) < min(len(p), len(q)):
         d, i, j = heapq.heappop(heap)
-        if not free[j]:
-            d, j = ask(p[i])
+        if not points.free[j]:
+            d, j = points.closest(p[i])
             heapq.heappush(heap, (d, i, j))
             continue
-        free[j] = False
-        k = home[j]
-        while k >= 0:
-            nodes[k][5] -= 1
-            k = nodes[k][6]
+        points.take(j)
         out.append((i, j, d))
     return out
 
 
-def nearest_first(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+def in_turn(p: np.ndarray, q: np.ndarray, most: float) -> list[tuple[int, int]]:
+    """Pairs (i, j): each point of p in order takes its closest free point of q nearer than ``most``."""
+    points, out = FreePoints(q), []
+    for i in range(len(p) if len(q) else 0):
+        _, j = points.closest(p[i], most)
+        if j >= 0:
+            points.take(j)
+            out.append((i, j))
+    return out
+
+
+#: Elements of one shape beyond which its pairs are looked for on many tasks first.
+MANY = 20_000
+
+
+def same_place(old: DataFrame, new: DataFrame, group: list[str]) -> DataFrame:
+    """(group, old_idx, new_idx): elements at equal centres, the first with the first. Distance zero comes before all others, so these pairs stand."""
+    at = [*group, "x", "y", "z"]
+    numbered = lambda d, s: d.withColumn("k", F.row_number().over(Window.partitionBy(*at).orderBy("idx"))).select(*at, "k", F.col("idx").alias(f"{s}_idx"))
+    return numbered(old, "old").join(numbered(new, "new"), [*at, "k"]).select(*group, "old_idx", "new_idx")
+
+
+def mutual_pairs(edges: DataFrame, group: list[str]) -> Iterator[DataFrame]:
+    """Rounds of (group, old_idx, new_idx, distance): of the candidates those that are the best (distance, old, new) of both their ends.
+
+    No other candidate of either end comes before such a pair, so it is one of the sequential order;
+    its ends' other candidates go, and the rest is asked again.
+    """
+    order = F.struct("distance", "old_idx", "new_idx")
+    while True:
+        best = {s: edges.groupBy(*group, f"{s}_idx").agg(F.min(order).alias(f"{s}_best")) for s in ("old", "new")}
+        both = edges.join(best["old"], [*group, "old_idx"]).join(best["new"], [*group, "new_idx"])
+        taken = both.where((F.col("old_best") == order) & (F.col("new_best") == order)).select(*group, "old_idx", "new_idx", "distance").checkpoint()
+        if taken.isEmpty():
+            return
+        yield taken
+        for s in ("old", "new"):
+            edges = edges.join(taken.select(*group, f"{s}_idx"), [*group, f"{s}_idx"], "left_anti")
+        edges = edges.checkpoint()
+
+
+def near_candidates(old: DataFrame, new: DataFrame, group: list[str], crowd: int = 4) -> DataFrame:
+    """(group, old_idx, new_idx, distance): all pairs no farther apart than the group's reach.
+
+    The reach is the largest of the box's width / 4^k at which the squares of the cells' counts sum to ``crowd`` times the
+    elements at most. A cell and its 26 neighbours then hold 13.5 times as many pairs at most: counts decide, and
+    pairs are never written out before they are known to be few. A group that is dense at every width has no candidates.
+    """
+    sides = old.withColumn("_side", F.lit(0)).unionByName(new.withColumn("_side", F.lit(1)))
+    box = sides.groupBy(*group).agg(*(f(c).alias(f"_{n}_{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))), F.count("*").alias("_n"))
+    wide = F.greatest(*(F.col(f"_hi_{c}") - F.col(f"_lo_{c}") for c in "xyz"))
+    tried = box.select(*group, wide.alias("_wide"), "_n").where("_wide > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(12)))).withColumn("_r", F.col("_wide") / F.pow(F.lit(4.0), "_k")).drop("_wide")
+    cell = lambda d: d.withColumns({f"_c{c}": F.floor(F.col(c) / F.col("_r")).cast("long") for c in "xyz"})
+    where = [*group, "_k", "_cx", "_cy", "_cz"]
+    counts = cell(sides.join(tried, group)).groupBy(*where, "_side").agg(F.count("*").alias("_m"), F.first("_n").alias("_n"))
+    few = counts.groupBy(*group, "_k").agg(F.sum(F.col("_m") * F.col("_m")).alias("_squares"), F.first("_n").alias("_n")).where(F.col("_squares") <= crowd * F.col("_n"))
+    chosen = tried.join(few.groupBy(*group).agg(F.min("_k").alias("_k")), [*group, "_k"]).select(*group, "_k", "_r")
+    placed = [cell(d.join(chosen, group)).withColumnsRenamed({"idx": f"{s}_idx", **{c: f"_{s}_{c}" for c in "xyz"}}) for s, d in (("old", old), ("new", new))]
+    around = F.explode(F.array(*[F.struct(*(F.lit(v).alias(f"d{c}") for c, v in zip("xyz", at, strict=True))) for at in itertools.product((-1, 0, 1), repeat=3)]))
+    beside = placed[0].withColumn("_a", around).withColumns({f"_c{c}": F.col(f"_c{c}") + F.col(f"_a.d{c}") for c in "xyz"}).drop("_a")
+    gap = {c: F.col(f"_old_{c}") - F.col(f"_new_{c}") for c in "xyz"}
+    square = gap["x"] * gap["x"] + gap["y"] * gap["y"] + gap["z"] * gap["z"]
+    met = beside.join(placed[1].drop("_r"), where).withColumn("distance", F.sqrt(square))
+    # within the reach by more than a cell's bound can be rounded
+    return met.where(F.col("distance") <= F.col("_r") * (1 - 1e-9)).select(*group, "old_idx", "new_idx", "distance")
+
+
+def nearest_first(old: DataFrame, new: DataFrame, keys: list[str], many: int = MANY) -> DataFrame:
     """Elements with (keys, shape, idx, center) paired one to one, closest pairs first: (keys, old_idx, new_idx, distance).
 
     Pairs compete only within one shape, so accepting by (distance, old, new) inside each
-    (keys, shape) group gives the same pairs as one list over everything.
+    (keys, shape) group gives the same pairs as one list over everything. Shapes with more than ``many`` elements
+    are taken on by joins first, whatever their tasks: elements in the same place, then mutual bests within
+    a short reach, round by round. What they leave, far fewer as a rule, goes through the kernel as smaller shapes do.
     """
-    pick = lambda d, s: d.select(*keys, "shape", F.lit(s).alias("side"), "idx", F.col("center.x").alias("x"), F.col("center.y").alias("y"), F.col("center.z").alias("z"))
-    both = pick(old, 0).unionByName(pick(new, 1))
+    group = [*keys, "shape"]
+    pick = lambda d: d.select(*group, F.col("idx").cast("int").alias("idx"), *(F.col(f"center.{c}").cast("double").alias(c) for c in "xyz"))
+    old, new = pick(old), pick(new)
+    sizes = old.select(*group).unionByName(new.select(*group)).groupBy(*group).agg(F.count("*").alias("n"))
+    large = sizes.where(F.col("n") > many).select(*group)
+    found: list[DataFrame] = []
+    if not large.isEmpty():
+        ensure_checkpoints(old.sparkSession)
+        large = large.checkpoint()
+        hot = [d.join(large, group, "left_semi").checkpoint() for d in (old, new)]
+        rest = [d.join(large, group, "left_anti") for d in (old, new)]
+
+        def without(sides: list[DataFrame], pairs: DataFrame) -> list[DataFrame]:
+            return [d.join(pairs.select(*group, F.col(f"{s}_idx").alias("idx")), [*group, "idx"], "left_anti").checkpoint() for s, d in zip(("old", "new"), sides, strict=True)]
+
+        found.append(same_place(*hot, group).withColumn("distance", F.lit(0.0)).checkpoint())
+        hot = without(hot, found[0])
+        rounds = list(mutual_pairs(near_candidates(*hot, group).checkpoint(), group))
+        if rounds:
+            taken = functools.reduce(DataFrame.unionByName, rounds)
+            found.append(taken)
+            hot = without(hot, taken)
+        old, new = (a.unionByName(b) for a, b in zip(rest, hot, strict=True))
+    both = old.withColumn("side", F.lit(0)).unionByName(new.withColumn("side", F.lit(1)))
 
     def kernel(key: tuple, g: dict[str, list]) -> list[tuple]:
         n = g["side"].count(0)
@@ -226,7 +333,10 @@ def nearest_first(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
         idx = g["idx"]
         return [(*key[:-1], idx[i], idx[n + j], d) for i, j, d in closest_pairs(place[:n], place[n:])]
 
-    return by_group(both, [*keys, "shape"], ["side", "idx"], kernel, "old_idx int, new_idx int, distance double", keep=keys)
+    pairs = by_group(both, group, ["side", "idx"], kernel, "old_idx int, new_idx int, distance double", keep=keys)
+    for f in found:
+        pairs = pairs.unionByName(f.select(*keys, "old_idx", "new_idx", "distance"))
+    return pairs
 
 
 def compare_shapes(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -16,6 +16,14 @@ def ordered(versions: DataFrame, by: list, uid: str = "file_uid", version: str =
     return versions.withColumn("ord", (F.row_number().over(w) - 1).cast("int"))
 
 
+def natural(name: Column | str) -> Column:
+    """A name to order by in which v9 comes before v10: each run of digits without its leading zeros, after its length."""
+    parts = F.regexp_extract_all(name if isinstance(name, Column) else F.col(name), F.lit(r"(\d+|\D+)"), F.lit(1))
+    digits = lambda p: F.regexp_replace(p, "^0+(?=\\d)", "")
+    # a length of its own is as long as five digits allow
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lpad(F.length(digits(p)).cast("string"), 5, "0"), digits(p))).otherwise(p)), "")
+
+
 def default_pairs(versions: DataFrame) -> DataFrame:
     """Every version with the one just before it; oldest versions have a null base."""
     w = Window.partitionBy("file_uid").orderBy("ord")

@@ -605,19 +605,9 @@ def invalidation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return access.invalidated(decisions(spark, sf_dir), events).select("d")
 
 
-# --- listings -------------------------------------------------------------------
-
-
-@query("SELECT c_custkey, n_name || '/' || c_mktsegment AS place FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment <> 'BUILDING'")
-def child_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A flat listing joined to its folders; the own output's folder is skipped."""
-    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
-    return c.where("c_mktsegment <> 'BUILDING'").join(n, c["c_nationkey"] == n["n_nationkey"]).select("c_custkey", F.concat_ws("/", "n_name", "c_mktsegment").alias("place"))
-
-
 def _filled() -> None:
     """The second half of the catalogue adds itself to the first as it is imported."""
-    from . import reading  # noqa: F401
+    from . import faults, reading  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

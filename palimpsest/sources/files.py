@@ -12,16 +12,16 @@ LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
 def read_versions(spark: SparkSession, root: str) -> DataFrame:
-    """Files laid out as <root>/<file_uid>/<version>/<name>, newest version first by its name.
+    """Files laid out as <root>/<file_uid>/<version>/<name>, newest version first by its name, numbers in it by their value.
 
     The content column is read only where a plan asks for it.
     """
-    from ..operators.versions import ordered
+    from ..operators.versions import natural, ordered
 
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     parts = F.split("path", "/")
     v = f.select(F.element_at(parts, -3).alias("file_uid"), F.element_at(parts, -2).alias("version"), F.element_at(parts, -1).alias("name"), F.lit("").alias("mime"), "content")
-    return ordered(v, [F.desc("version")]).select("file_uid", "version", "ord", "name", "mime", "content")
+    return ordered(v, [F.desc(natural("version")), F.desc("version")]).select("file_uid", "version", "ord", "name", "mime", "content")
 
 
 def tree(spark: SparkSession, entries: DataFrame, root: str, most_depth: int = MOST_TREE_DEPTH) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from ..functions.mime import directory, stored
 from ..schemas import ELEMENT
 from .kernels import parsed
 
@@ -61,10 +62,18 @@ def properties(found: dict[str, tuple[str, list]]) -> dict[str, dict[str, str]]:
     return out
 
 
+def unzipped(data: bytes) -> bytes:
+    """The first model of a container, the data itself if it is none."""
+    held = directory(data) if data.startswith(b"PK\3\4") else {}
+    models = [name for name in held if name.lower().endswith((".ifc", ".step", ".stp"))]
+    return stored(data, held[models[0]]) if models else data
+
+
 def parser(tessellate: Callable[[bytes], dict] | None) -> Callable[[bytes], list[dict]]:
     skipped = {x.upper() for x in NOT_BUILT}
 
     def parse(data: bytes) -> list[dict]:
+        data = unzipped(data)
         if not data.lstrip().startswith(b"ISO-10303-21"):
             return [{"problem": "open-failed:NotStep"}]
         found = instances(data.decode("latin-1"))

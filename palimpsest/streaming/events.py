@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections import OrderedDict
+from collections.abc import Callable
 
-import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import store
+from ..operators.groups import by_row
 from ..operators.registry import Registry
 from ..operators.run import run
-from ..schemas import EVENT, GOVERNANCE_EVENTS, HANDLED_EVENTS, MOST_PENDING, PERMISSION_SECONDS
+from ..schemas import DEDUPE_EVENTS, EVENT, GOVERNANCE_EVENTS, HANDLED_EVENTS, MOST_PENDING
+from . import state
 
 
 def decoded(payloads: DataFrame, column: str = "payload") -> DataFrame:
@@ -46,6 +48,25 @@ def first_of_each(events: DataFrame, order: list, key: str = "event_id") -> Data
     return events.withColumn("_k", F.when(has, F.row_number().over(w)).otherwise(1)).where("_k = 1").drop("_k")
 
 
+def first_within(events: DataFrame, order: list[str], most: int = DEDUPE_EVENTS, shards: int | Column = 1) -> DataFrame:
+    """The batch twin of ``state.seen_within``: events whose id isn't among the last ``most`` new ones before them, by ``order`` in each shard."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema)
+    shard = F.pmod(F.xxhash64(F.coalesce("event_id", F.lit(""))), F.lit(shards)) if isinstance(shards, int) else shards
+    dealt = events.withColumn("_shard", shard)
+    at = events.columns.index("event_id")
+
+    def step(seen: OrderedDict, row: tuple) -> list[tuple]:
+        if row[at]:
+            if row[at] in seen:
+                return []
+            seen[row[at]] = None
+            if len(seen) > most:
+                seen.popitem(last=False)
+        return [row]
+
+    return by_row(dealt, ["_shard"], order, OrderedDict, step, fields)
+
+
 def deduplicated(stream: DataFrame, ts: str = "ts", delay: str = "10 minutes") -> DataFrame:
     """Time-bounded: an id is remembered for the watermark's delay. NTZ times are taken as UTC."""
     return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).dropDuplicatesWithinWatermark(["event_id"])
@@ -63,57 +84,58 @@ def admitted(jobs: DataFrame, keys: list[str], running: DataFrame | None = None,
     return one.join(taken, keys, "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
 
 
-def by_batch(work: Callable[[DataFrame], DataFrame], results: store.ResultStore, retry_path: str | None = None) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: pairs already committed are skipped, so replaying a batch changes nothing.
+RETRY = "file_uid string, target string, base string, detail string, at timestamp"
 
-    ``work`` gives children rows with ``error``; pairs with an error aren't committed but go to ``retry_path``,
-    where the sweep finds them. An id counts as seen only when its pair is committed.
-    """
-
-    def run(batch: DataFrame, _: int) -> None:
-        keyed = store.keyed(batch)
-        todo = store.pending(keyed, results.served(keyed))
-        children = work(todo).persist()
-        try:
-            bad = children.where("error is not null").select("key").distinct()
-            good = todo.dropDuplicates(["key"]).join(bad, "key", "left_anti")
-            status = F.lit("ready")
-            failure = F.lit(None).cast("struct<reason:string,stage:string,tiers_attempted:array<string>>")
-            results.commit(good.withColumn("status", status).withColumn("failure", failure).withColumn("mode", F.lit("vector")), children.where("error is null"))
-            if retry_path:
-                todo.join(bad, "key").write.mode("append").parquet(retry_path)
-        finally:
-            children.unpersist()
-
-    return run
 
+def consumer(all_versions: Callable[[], DataFrame], results: store.ResultStore, registry: Registry, retry: str | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function for routed events (``watched``): results of deleted files go, comparisons run.
 
-def consumer(all_versions: Callable[[], DataFrame], results: store.ResultStore, registry: Registry, voids: str | None = None) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function for routed events: comparisons run, results of deleted files go, governance events are written to ``voids``.
-
-    Every step can be repeated: what is committed is cached, what is dropped stays so.
+    A file's comparisons count only after its last deletion in the batch. What could not be attempted is put
+    aside in ``retry`` (see ``retried``); a pair that can't be compared is a failed manifest. Every step can be
+    repeated: what is committed is cached, what is dropped stays so.
     """
 
     def act(batch: DataFrame, _: int) -> None:
         batch.persist()
         try:
-            files = batch.where("action = 'delete'").select("file_uid")
+            last = batch.where("action = 'delete'").groupBy("file_uid").agg(F.max("ts").alias("gone"), F.count_if(F.col("ts").isNull()).alias("untimed"))
+            files = last.select("file_uid")
             if not files.isEmpty():
                 results.drop_files(files)
-            wanted = batch.where("action = 'compare'").select("file_uid", F.coalesce("version", F.lit("")).alias("target"), F.lit("").alias("base")).distinct()
+            after = F.col("gone").isNull() | (F.col("ts") > F.col("gone")) | F.col("ts").isNull()
+            wanted = batch.where("action = 'compare'").join(last, "file_uid", "left").where(after & (F.coalesce("untimed", F.lit(0)) == 0))
+            wanted = wanted.select("file_uid", F.coalesce("version", F.lit("")).alias("target"), F.lit("").alias("base")).distinct()
             if not wanted.isEmpty():
-                run(wanted, all_versions(), results, registry)
-            if voids:
-                batch.where("action = 'invalidate'").select("type", "tenant", "file_uid", "member", F.current_timestamp().alias("at")).write.mode("append").parquet(voids)
+                report = run(wanted, all_versions(), results, registry)
+                if retry:
+                    told = report.where("outcome = 'error'").select("file_uid", F.coalesce("target", F.lit("")).alias("target"), F.coalesce("base", F.lit("")).alias("base"), "detail", F.current_timestamp().alias("at"))
+                    told.write.mode("append").parquet(retry)
         finally:
             batch.unpersist()
 
     return act
 
 
-def retried(spark: SparkSession, path: str) -> DataFrame:
-    """The pairs that batches have put aside, each once, for the sweep."""
-    return spark.read.parquet(path).dropDuplicates(["key"])
+def retried(spark: SparkSession, path: str, results: store.ResultStore) -> DataFrame:
+    """The requests that batches have put aside, each once, without those that have a result since."""
+    try:
+        aside = spark.read.schema(RETRY).parquet(path)
+    except AnalysisException as e:  # nothing was put aside yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], RETRY).select("file_uid", "target", "base")
+    done = results.manifests().select("file_uid", F.col("target_version").alias("target"))
+    return aside.select("file_uid", "target", "base").distinct().join(done, ["file_uid", "target"], "left_anti")
+
+
+def watched(stream: DataFrame, most: int = DEDUPE_EVENTS, shards: int = 1) -> DataFrame:
+    """Events as a consumer acts on them: routed, ignored ones left out, each id of an update or deletion once among the last ``most``.
+
+    Governance events and events without an id always pass and take no room.
+    """
+    acts = routed(stream).where("action <> 'ignore'")
+    counted = F.when(F.col("action").isin("compare", "delete"), F.col("event_id"))
+    return state.seen_within(acts, most, shards, ("ts",), counted)
 
 
 def start(stream: DataFrame, run: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -122,45 +144,6 @@ def start(stream: DataFrame, run: Callable[[DataFrame, int], None], checkpoint:
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime="5 seconds")).start()
 
 
-CACHE = "tenant string, user string, file_uid string, allowed boolean, expires_at double"
-
-
-def decision_cache(stream: DataFrame, ttl_seconds: int = PERMISSION_SECONDS) -> DataFrame:
-    """Streamed checks and voids by (tenant, user, file_uid): the answer each request gets.
-
-    Rows (tenant, user, file_uid, at double, kind, allowed): ``check`` brings a decision (null: it
-    failed, deny and don't remember), ``ask`` wants one, ``void`` forgets it. The expiry is kept in the state
-    and compared explicitly, so the query ends when its input does.
-    """
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        allowed, expires = state.get if state.exists else (False, 0.0)
-        out = []
-        for row in pd.concat(list(frames)).sort_values("at", kind="stable").itertuples():
-            if row.kind == "void":
-                expires = 0.0
-            elif row.kind == "check":
-                known = row.allowed is not None and not pd.isna(row.allowed)
-                allowed, expires = (bool(row.allowed), row.at + ttl_seconds) if known and ttl_seconds > 0 else (False, 0.0)
-                out.append((*key, bool(row.allowed) if known else False, expires))
-            else:
-                fresh = row.at < expires
-                out.append((*key, allowed if fresh else None, expires))
-        if expires:
-            state.update((allowed, float(expires)))
-            state.setTimeoutTimestamp(max(int(expires * 1000) + 1000, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=["tenant", "user", "file_uid", "allowed", "expires_at"])
-
-    # a second later than the rows say: a watermark of zero, where it begins, drops nothing from zero on
-    timed = stream.withColumn("_time", F.timestamp_seconds(F.col("at") + 1)).withWatermark("_time", f"{max(1, ttl_seconds)} seconds")
-    return timed.groupBy("tenant", "user", "file_uid").applyInPandasWithState(step, CACHE, "allowed boolean, expires_at double", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def metrics_text(samples: list[tuple[str, str, str, float, dict[str, str]]]) -> str:
     """(name, help, kind, value, labels) samples in the text format that scrapers read."""
     out, told = [], set()

@@ -151,12 +151,7 @@ def test_svg_page(spark):
     assert 'state="added"' not in old and changes.count("<path") == 2 and 'd="M0,0 L1.5,2"' in s and "fill" in s
 
 
-def test_guarded_kernel_and_parser_report_errors(spark):
-    import pandas as pd
-
-    run = registry.guarded(lambda key, pdf: pdf.missing, ["k"], ["v"])
-    d = spark.createDataFrame([("a", 1)], "k string, x int").groupBy("k").applyInPandas(run, "k string, v string, error string")
-    assert d.first().error.startswith("AttributeError") and isinstance(pd.DataFrame(), pd.DataFrame)
+def test_parsers_report_errors(spark):
     f = spark.createDataFrame([("a", bytearray(b"x")), ("b", None)], "k string, content binary")
 
     def bad(raw):
@@ -216,39 +211,11 @@ def test_confidence(spark):
     assert (c(2, 2, 3, 0), c(1, 2, 2, 0), c(2, 2, 2, 1), c(0, 0, 5, 3)) == (1.0, 0.5, 0.5, 1.0)
 
 
-def test_event_stream_is_idempotent(spark, tmp_path):
-    src, out = tmp_path / "in", store.ResultStore(spark, str(tmp_path / "out"))
-    src.mkdir()
-    (src / "1.json").write_text("\n".join(json.dumps({"type": "file.updated", "event_id": e, "tenant": "", "file_uid": u, "version": "v2"}) for e, u in (("1", "f"), ("1", "f"), ("2", "bad"), ("3", ""))))
-    work = lambda todo: todo.select("file_uid", "key", F.lit("page").alias("kind"), F.lit(0).alias("idx"), F.lit("svg").alias("ext"), F.lit("m").alias("mime"), F.lit("vector").alias("mode"), F.encode(F.lit("x"), "UTF-8").alias("data"), F.when(F.col("file_uid") == "bad", "broken").alias("error"))
-    run = ev.by_batch(work, out, str(tmp_path / "retry"))
-
-    def pairs(batch, n):
-        b = ev.first_of_each(ev.routed(batch).where("action = 'compare'"), ["event_id"])
-        run(b.select("file_uid", F.lit("v1").alias("base"), F.col("version").alias("target"), F.lit("pdf").alias("plugin"), F.lit(1).alias("plugin_version")), n)
-
-    for k in range(2):
-        q = ev.start(ev.read_events(spark, str(src)), pairs, str(tmp_path / f"c{k}"))
-        assert q.awaitTermination(120)
-        assert out.served().count() == 1 and out.children().count() == 1
-    assert {r.file_uid for r in spark.read.parquet(str(tmp_path / "retry")).collect()} == {"bad"}
-
-
 def test_event_decoding(spark):
     d = ev.decoded(spark.createDataFrame([("{bad",), ('{"type":"acl.changed"}',)], "payload string"))
     assert [r.action for r in ev.routed(d).collect()] == ["ignore", "invalidate"] and EVENT.startswith("type")
 
 
-def test_decision_cache_stream(spark, tmp_path):
-    rows = [("t", "u", "f", 0.0, "check", True), ("t", "u", "f", 10.0, "ask", None), ("t", "u", "f", 400.0, "ask", None), ("t", "u", "g", 0.0, "check", None), ("t", "u", "g", 1.0, "ask", None)]
-    schema = "tenant string, user string, file_uid string, at double, kind string, allowed boolean"
-    spark.createDataFrame(rows, schema).coalesce(1).write.json(str(tmp_path / "in"))
-    q = ev.decision_cache(spark.readStream.schema(schema).json(str(tmp_path / "in"))).writeStream.format("memory").queryName("cache").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    assert q.awaitTermination(120)
-    got = Counter((r.file_uid, r.allowed) for r in spark.sql("SELECT * FROM cache").collect())
-    assert got == {("f", True): 2, ("f", None): 1, ("g", False): 1, ("g", None): 1}
-
-
 def test_lines_follow_splitlines(spark):
     texts = ["", "a", "a\n", "a\nb\n", "a\r\nb\x0bc d", "\n\n"]
     d = spark.createDataFrame([(t, t.encode()) for t in texts], "t string, c binary")

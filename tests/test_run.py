@@ -100,19 +100,30 @@ def test_superseded_results_go_and_other_pairs_stay(spark, tmp_path):
     assert [r.plugin_version for r in s.served().collect()] == [2] and s.served().first().key != old and s.names().count() == 2
 
 
-def test_the_stream_compares_deletes_and_voids(spark, tmp_path):
-    src = tmp_path / "in"
+def test_the_stream_compares_deletes_and_retries(spark, tmp_path):
+    src, aside = tmp_path / "in", str(tmp_path / "aside")
     src.mkdir()
-    v, s = versions_of(spark), store.ResultStore(spark, str(tmp_path / "out"))
-    work = ev.consumer(lambda: v, s, registry.default_registry(text=True), str(tmp_path / "voids"))
-    first = [{"type": "file.updated", "event_id": "1", "file_uid": u, "version": "v2"} for u in ("text", "model")]
-    later = [{"type": "file.deleted", "event_id": "2", "file_uid": "text"}, {"type": "acl.changed", "event_id": "3", "file_uid": "model", "member": "m"}]
-    for k, events in enumerate((first, later)):
+    v, s, reg = versions_of(spark), store.ResultStore(spark, str(tmp_path / "out")), registry.default_registry(text=True)
+    work = ev.consumer(lambda: v, s, reg, aside)
+    event = lambda kind, i, uid, at, version="v2": {"type": kind, "event_id": i, "file_uid": uid, "version": version, "ts": f"2026-01-01T00:00:{at:02d}"}
+    up, down = "file.updated", "file.deleted"
+    batches = [
+        # an id once, whatever it is about; a file of which nothing is known is put aside
+        [event(up, "1", "text", 1), event(up, "2", "model", 2), event(up, "2", "drawing", 3), event(up, "3", "nobody", 4)],
+        # updated and then deleted; deleted and then updated again
+        [event(up, "4", "drawing", 5), event(down, "5", "drawing", 6), event(down, "6", "text", 7), event(up, "7", "text", 8), event(up, "1", "model", 9)],
+        [event(down, "8", "model", 10)],
+    ]
+    left = [{"text", "model"}, {"text", "model"}, {"text"}]
+    for k, (events, want) in enumerate(zip(batches, left, strict=True)):
         (src / f"{k}.json").write_text("\n".join(map(json.dumps, events)))
-        q = ev.start(ev.routed(ev.read_events(spark, str(src))), work, str(tmp_path / "c"))
+        q = ev.start(ev.watched(ev.read_events(spark, str(src))), work, str(tmp_path / "c"))
         assert q.awaitTermination(300)
-        assert {r.file_uid for r in s.served().collect()} == ({"text", "model"} if not k else {"model"})
-    assert [(r.type, r.file_uid, r.member) for r in spark.read.parquet(str(tmp_path / "voids")).collect()] == [("acl.changed", "model", "m")]
+        assert {r.file_uid for r in s.served().collect()} == want, k
+    assert [(r.file_uid, r.target) for r in ev.retried(spark, aside, s).collect()] == [("nobody", "v2")]
+    known = v.union(spark.createDataFrame([("nobody", f"v{2 - k}", k, "n.txt", "text/plain", bytearray(b"x%d" % k)) for k in range(2)], VERSIONS))
+    assert [r.outcome for r in run.run(ev.retried(spark, aside, s), known, s, reg).collect()] == ["computed"]
+    assert ev.retried(spark, aside, s).count() == 0 and ev.retried(spark, str(tmp_path / "never"), s).count() == 0
 
 
 def test_room_is_told(spark):
