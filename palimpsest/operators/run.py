@@ -71,7 +71,7 @@ def run(requests: DataFrame, all_versions: DataFrame, results: store.ResultStore
     made, children = computed(todo, all_versions, registry)
     made = made.checkpoint()
     # what is written again replaces: also under ``force`` a pair is never without a result
-    results.commit(made, children)
+    results.commit(made, children, again=force or retry_failed)
     results.drop_keys(store.superseded(made.select("file_uid", "base", "target", "plugin", "plugin_version")))
     a = asked.join(cached.withColumn("cached", F.lit(True)), "key", "left").join(sized, "key", "left").join(made.select("key", F.col("status").alias("made"), F.col("failure.reason").alias("reason")), "key", "left")
     state = {

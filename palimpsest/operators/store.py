@@ -6,6 +6,7 @@ children; a reader that finds some child missing treats it as pending.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,74 +137,116 @@ def child_references(m: DataFrame, present: DataFrame) -> DataFrame:
     return r.join(present.select("file_uid", "name", "uid"), ["file_uid", "name"], "left")
 
 
+def bucket_of(key: Column | str) -> Column:
+    """The folder of a key, by its first two digits. Keys are hashes, so 256 folders fill alike."""
+    return F.concat(F.lit("k"), F.substring(key, 1, 2))
+
+
 class ResultStore:
     """Children and manifests as Parquet folders of one place, only ever appended to; the manifest is written last.
 
-    What is written again replaces what was there under the same name, and what is dropped is
-    named in a third folder with the time of it: no step rewrites a table, so a crash leaves
-    the state before or after it. ``compacted`` gives what is left, for a copy to a new place.
+    Rows lie in folders by the first digits of their key, and questions about given keys read those folders only. What is
+    written again replaces what was there under the same name, and what is dropped is named in a third table with the
+    time of it: no step rewrites a table, so a crash leaves the state before or after it. ``compact`` writes what stands
+    to a new generation and names that last; readers go by the newest generation that is named. There is one writer at a time.
     """
 
     CHILDREN = "file_uid string, key string, kind string, idx int, ext string, mime string, mode string, name string, data binary"
-    AT, DROPPED = "at timestamp", "file_uid string, name string"
+    AT, DROPPED, GENERATIONS = "at timestamp", "file_uid string, key string, name string", "generation long, at timestamp"
+    #: Files whose names are pushed into a scan as a list; more of them are met by a join.
+    FEW = 256
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _read(self, name: str, schema: str) -> DataFrame:
+    def _parquet(self, path: str, schema: str) -> DataFrame:
         try:
-            return self.spark.read.schema(f"{schema}, {self.AT}").parquet(f"{self.path}/{name}")
-        except Exception as e:  # noqa: BLE001  an empty place is an empty table
+            return self.spark.read.schema(schema).parquet(path)
+        except AnalysisException as e:  # an empty place is an empty table
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            return self.spark.createDataFrame([], f"{schema}, {self.AT}")
+            return self.spark.createDataFrame([], schema)
+
+    def generation(self) -> int:
+        """The newest generation that is whole; 0 before the first compaction. A row for each compaction is all that is read."""
+        return self._parquet(f"{self.path}/generations", self.GENERATIONS).agg(F.max("generation")).first()[0] or 0
+
+    def _read(self, name: str, schema: str, buckets: list[str] | None = None) -> DataFrame:
+        rows = self._parquet(f"{self.path}/{name}/{self.generation()}", f"{schema}, {self.AT}, bucket string")
+        return rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
 
-    def _append(self, rows: DataFrame, name: str) -> None:
-        # when a row counts from is settled as it is written, children before their manifests
-        rows.withColumn("at", F.current_timestamp()).write.mode("append").parquet(f"{self.path}/{name}")
+    def _append(self, rows: DataFrame, name: str, generation: int | None = None) -> None:
+        # when a row counts from is settled as it is written, children before their manifests; a bucket is as many files as its size asks for
+        timed = rows if "at" in rows.columns else rows.withColumn("at", F.current_timestamp())
+        there = self.generation() if generation is None else generation
+        timed.withColumn("bucket", bucket_of("key")).hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/{name}/{there}")
 
-    def _standing(self, rows: DataFrame, name: Column, keys: DataFrame | None) -> DataFrame:
+    @staticmethod
+    def _buckets(keys: DataFrame | None) -> list[str] | None:
+        """The folders of some keys, 256 at most."""
+        return None if keys is None else sorted(r.b for r in keys.select(bucket_of("key").alias("b")).distinct().where("b is not null").collect())
+
+    def _standing(self, rows: DataFrame, buckets: list[str] | None, keys: DataFrame | None = None) -> DataFrame:
         """The last row of each (file_uid, name) that wasn't dropped since, of the given keys only if there are any."""
-        rows = rows.withColumn("_name", name)
-        gone = self._read("dropped", self.DROPPED).groupBy("file_uid", F.col("name").alias("_name")).agg(F.max("at").alias("_gone"))
+        gone = self._read("dropped", self.DROPPED, buckets).groupBy("file_uid", "name").agg(F.max("at").alias("_gone"))
         if keys is not None:
             rows = rows.join(keys.select("key").distinct(), "key", "left_semi")
-        last = rows.groupBy("file_uid", "_name").agg(F.max("at").alias("at"))
-        last = last.join(gone, ["file_uid", "_name"], "left").where(F.col("_gone").isNull() | (F.col("_gone") < F.col("at")))
-        return rows.join(last.select("file_uid", "_name", "at"), ["file_uid", "_name", "at"], "left_semi").dropDuplicates(["file_uid", "_name"]).drop("_name", "at")
+        last = rows.groupBy("file_uid", "name").agg(F.max("at").alias("at")).join(gone, ["file_uid", "name"], "left").where(F.col("_gone").isNull() | (F.col("_gone") < F.col("at")))
+        return rows.join(last.select("file_uid", "name", "at"), ["file_uid", "name", "at"], "left_semi").dropDuplicates(["file_uid", "name"])
+
+    def _tables(self, buckets: list[str] | None) -> tuple[DataFrame, DataFrame]:
+        """Children and manifests as they were written, with names."""
+        m = self._read("manifests", MANIFEST, buckets)
+        return self._read("children", self.CHILDREN, buckets), m.withColumn("name", F.concat(F.lit("diff."), "key", F.lit(".manifest.json")))
 
     def manifests(self, keys: DataFrame | None = None) -> DataFrame:
-        return self._standing(self._read("manifests", MANIFEST), F.concat(F.lit("diff."), "key", F.lit(".manifest.json")), keys)
+        buckets = self._buckets(keys)
+        return self._standing(self._tables(buckets)[1], buckets, keys).drop("name", "at", "bucket")
 
     def children(self, keys: DataFrame | None = None) -> DataFrame:
-        return self._standing(self._read("children", self.CHILDREN), F.col("name"), keys)
+        buckets = self._buckets(keys)
+        return self._standing(self._tables(buckets)[0], buckets, keys).drop("at", "bucket")
 
-    def commit(self, results: DataFrame, children: DataFrame) -> None:
+    def commit(self, results: DataFrame, children: DataFrame, again: bool = False) -> None:
+        """Children whose names are there aren't written again, unless ``again``; then the manifests."""
         named = children.withColumn("name", child_name("key", "kind", "idx", "ext"))
         names = [f.split()[0] for f in self.CHILDREN.split(", ")]
+        if not again:
+            there = self.children(results.select("key")).select("file_uid", "name")
+            named = named.join(there, ["file_uid", "name"], "left_anti")
         self._append(named.select(*names), "children")
         self._append(manifests(results, children), "manifests")
 
     def served(self, keys: DataFrame | None = None) -> DataFrame:
-        """Complete manifests; with ``keys``, of those only, so that a batch reads its own part of the store."""
+        """Complete manifests; with ``keys``, of those only: a batch reads the folders of its own keys."""
         return complete(self.manifests(keys), self.children(keys).select("file_uid", "name"))
 
-    def names(self) -> DataFrame:
-        """(file_uid, name) of all children and manifests."""
-        m = self.manifests().select("file_uid", F.concat(F.lit("diff."), "key", F.lit(".manifest.json")).alias("name"))
-        return self.children().select("file_uid", "name").union(m)
+    def names(self, keys: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
+        """(file_uid, name) of all children and manifests, of some keys' folders or some files only."""
+        buckets = self._buckets(keys)
+        both = [t.select("file_uid", "key", "name", "at") for t in self._tables(buckets)]
+        if files is not None:
+            some = [r.file_uid for r in files.select("file_uid").distinct().limit(self.FEW + 1).collect()]
+            pick = (lambda t: t.where(F.col("file_uid").isin(some))) if len(some) <= self.FEW else (lambda t: t.join(files.select("file_uid").distinct(), "file_uid", "left_semi"))
+            both = [pick(t) for t in both]
+        return self._standing(both[0].union(both[1]), buckets).select("file_uid", "name")
 
     def drop(self, doomed: DataFrame) -> None:
         """From now on (file_uid, name) rows aren't there."""
-        self._append(doomed.select("file_uid", "name").distinct(), "dropped")
+        self._append(doomed.select("file_uid", key_of("name").alias("key"), "name").where("key is not null").distinct(), "dropped")
 
     def drop_keys(self, doomed: DataFrame) -> None:
         """Drops all that stands under the given (file_uid, key)s."""
-        self.drop(prune_dropping(self.names(), doomed))
+        self.drop(prune_dropping(self.names(keys=doomed), doomed))
 
     def drop_files(self, files: DataFrame) -> None:
         """Drops all results of the given files."""
-        self.drop(self.names().where(is_own("name")).join(files.select("file_uid").distinct(), "file_uid", "left_semi"))
-
-    def compacted(self) -> tuple[DataFrame, DataFrame]:
-        return self.children(), self.manifests()
+        self.drop(self.names(files=files).where(is_own("name")))
+
+    def compact(self) -> None:
+        """What stands becomes a generation of its own, the times of its rows kept; it is named when it is whole."""
+        made = self.spark.range(1).select(F.unix_micros(F.current_timestamp())).first()[0]
+        for table, name in zip(self._tables(None), ("children", "manifests"), strict=True):
+            standing = self._standing(table, None)
+            self._append(standing.drop("bucket") if name == "children" else standing.drop("bucket", "name"), name, made)
+        self.spark.createDataFrame([(made,)], "generation long").withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{self.path}/generations")

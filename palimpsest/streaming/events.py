@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from collections import OrderedDict
+from collections import Counter, OrderedDict
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..operators import store
 from ..operators.groups import by_row
 from ..operators.registry import Registry
 from ..operators.run import run
-from ..schemas import DEDUPE_EVENTS, EVENT, GOVERNANCE_EVENTS, HANDLED_EVENTS, MOST_PENDING
+from ..schemas import DEDUPE_EVENTS, EVENT, GOVERNANCE_EVENTS, HANDLED_EVENTS, MOST_PENDING, OUTCOMES
 from . import state
 
 
@@ -87,15 +87,16 @@ def admitted(jobs: DataFrame, keys: list[str], running: DataFrame | None = None,
 RETRY = "file_uid string, target string, base string, detail string, at timestamp"
 
 
-def consumer(all_versions: Callable[[], DataFrame], results: store.ResultStore, registry: Registry, retry: str | None = None) -> Callable[[DataFrame, int], None]:
+def consumer(all_versions: Callable[[], DataFrame], results: store.ResultStore, registry: Registry, retry: str | None = None, log: str | None = None) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function for routed events (``watched``): results of deleted files go, comparisons run.
 
     A file's comparisons count only after its last deletion in the batch. What could not be attempted is put
     aside in ``retry`` (see ``retried``); a pair that can't be compared is a failed manifest. Every step can be
-    repeated: what is committed is cached, what is dropped stays so.
+    repeated: what is committed is cached, what is dropped stays so. ``log`` keeps every request's answer, a folder for
+    each batch that a repeated batch writes anew (see ``outcomes``).
     """
 
-    def act(batch: DataFrame, _: int) -> None:
+    def act(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
             last = batch.where("action = 'delete'").groupBy("file_uid").agg(F.max("ts").alias("gone"), F.count_if(F.col("ts").isNull()).alias("untimed"))
@@ -107,6 +108,8 @@ def consumer(all_versions: Callable[[], DataFrame], results: store.ResultStore,
             wanted = wanted.select("file_uid", F.coalesce("version", F.lit("")).alias("target"), F.lit("").alias("base")).distinct()
             if not wanted.isEmpty():
                 report = run(wanted, all_versions(), results, registry)
+                if log:
+                    report.withColumn("at", F.current_timestamp()).write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
                 if retry:
                     told = report.where("outcome = 'error'").select("file_uid", F.coalesce("target", F.lit("")).alias("target"), F.coalesce("base", F.lit("")).alias("base"), "detail", F.current_timestamp().alias("at"))
                     told.write.mode("append").parquet(retry)
@@ -144,7 +147,10 @@ def start(stream: DataFrame, run: Callable[[DataFrame, int], None], checkpoint:
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime="5 seconds")).start()
 
 
-def metrics_text(samples: list[tuple[str, str, str, float, dict[str, str]]]) -> str:
+Sample = tuple[str, str, str, float, dict[str, str]]
+
+
+def metrics_text(samples: list[Sample]) -> str:
     """(name, help, kind, value, labels) samples in the text format that scrapers read."""
     out, told = [], set()
     for name, text, kind, value, labels in samples:
@@ -157,7 +163,65 @@ def metrics_text(samples: list[tuple[str, str, str, float, dict[str, str]]]) ->
     return "\n".join(out) + "\n"
 
 
-def progress_samples(query: StreamingQuery) -> list[tuple[str, str, str, float, dict[str, str]]]:
+LOG = "file_uid string, base string, target string, plugin string, plugin_version int, key string, outcome string, detail string, at timestamp, batch long"
+
+
+def outcomes(spark: SparkSession, log: str) -> DataFrame:
+    """The answers of all batches so far; nothing if there was none."""
+    try:
+        return spark.read.schema(LOG).parquet(log)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], LOG)
+
+
+def last_outcomes(answered: DataFrame) -> DataFrame:
+    """(file_uid, target, base, outcome, at): how each request was answered last."""
+    return answered.groupBy("file_uid", "target", "base").agg(F.max_by("outcome", F.struct("at", "batch")).alias("outcome"), F.max("at").alias("at"))
+
+
+def outcome_counts(answered: DataFrame) -> DataFrame:
+    """(outcome, n) for each of the outcomes there are, none left out."""
+    every = answered.sparkSession.createDataFrame([(o,) for o in OUTCOMES], "outcome string")
+    return every.join(answered.groupBy("outcome").agg(F.count("*").alias("n")), "outcome", "left").select("outcome", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def outcome_samples(answered: DataFrame, aside: DataFrame | None = None) -> list[Sample]:
+    """What a scraper is told: answers by outcome, and how many requests wait to be tried again."""
+    out = [("diff_outcomes_total", "Answers by outcome", "counter", float(r.n), {"outcome": r.outcome}) for r in sorted(outcome_counts(answered).collect())]
+    return out if aside is None else [*out, ("diff_pending", "Requests put aside", "gauge", float(aside.count()), {})]
+
+
+class Progress(StreamingQueryListener):
+    """Rows, batches and the end of every query of a session, as samples; add it by ``spark.streams.addListener``."""
+
+    def __init__(self) -> None:
+        self.rows, self.batches, self.running, self.failed = Counter(), Counter(), {}, Counter()
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self.running[str(event.id)] = event.name or str(event.id)
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        name = p.name or str(p.id)
+        self.rows[name] += p.numInputRows
+        self.batches[name] += p.numInputRows > 0
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        name = self.running.pop(str(event.id), str(event.id))
+        self.failed[name] += event.exception is not None
+
+    def samples(self) -> list[Sample]:
+        told = (("stream_rows_total", "Rows read", self.rows), ("stream_batches_total", "Batches with rows", self.batches), ("stream_failures_total", "Ends by an error", self.failed))
+        out = [(name, text, "counter", float(n), {"query": q}) for name, text, counts in told for q, n in sorted(counts.items())]
+        return [*out, ("streams_active", "Queries that run", "gauge", float(len(self.running)), {})]
+
+
+def progress_samples(query: StreamingQuery) -> list[Sample]:
     p = query.lastProgress or {}
     labels = {"query": query.name or str(query.id)}
     return [("stream_rows", "Rows of the last batch", "gauge", float(p.get("numInputRows", 0)), labels), ("stream_active", "Whether the query runs", "gauge", float(query.isActive), labels)]
