@@ -55,10 +55,14 @@ def computed(todo: DataFrame, all_versions: DataFrame, registry: Registry) -> tu
     return results, children.join(results.where(F.col("status") == READY).select("key"), "key", "left_semi")
 
 
-def run(requests: DataFrame, all_versions: DataFrame, results: store.ResultStore, registry: Registry, force: bool = False, most_bytes: int = MOST_SOURCE_BYTES, retry_failed: bool = False) -> DataFrame:
-    """One row (REPORT) for each request (file_uid, target, base): what it was answered with. Commits what it computes."""
+def run(requests: DataFrame, all_versions: DataFrame, results: store.ResultStore, registry: Registry, force: bool = False, most_bytes: int = MOST_SOURCE_BYTES, retry_failed: bool = False, heads: DataFrame | None = None) -> DataFrame:
+    """One row (REPORT) for each request (file_uid, target, base): what it was answered with. Commits what it computes.
+
+    ``heads`` is the same table of versions with the first bytes for content (``sources.ranges.read_heads``): types are
+    told from it, so that files whose result is there are never read.
+    """
     ensure_checkpoints(requests.sparkSession)
-    asked = dispatched(requests, all_versions, registry).checkpoint()
+    asked = dispatched(requests, all_versions if heads is None else heads, registry).checkpoint()
     keyed = asked.where("key is not null").select("key", "file_uid", "base", "target", "plugin", "plugin_version", "mime").dropDuplicates(["key"])
     have = results.served(keyed).select("key", "status")
     if retry_failed:
