@@ -212,10 +212,15 @@ class Model:
         return sums / np.maximum(size, 1)[:, None]
 
 
+#: Parts in which a language's stretches are compared before they meet.
+SALTS = 64
+
+
 def training_sample(docs: DataFrame, s: Settings) -> DataFrame:
     """At most per_language stretches (lang, h, piece) for each language, lowest hash first.
 
-    Each task keeps its own lowest first, so what meets at a language is bounded by the number of tasks.
+    Each task keeps its own lowest first, then each of ``SALTS`` parts of a language, so what meets at a language is no more
+    than that many times ``per_language``, however many tasks there are.
     """
 
     def run(batches):
@@ -234,8 +239,10 @@ def training_sample(docs: DataFrame, s: Settings) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["lang", "h", "piece"])
 
     some = docs.select("doc_id", "text", "lang").mapInArrow(run, "lang string, h long, piece binary")
-    w = Window.partitionBy("lang").orderBy("h", "piece")
-    return some.withColumn("k", F.row_number().over(w)).where(F.col("k") <= s.per_language).drop("k")
+    for parts in (["lang", F.pmod(F.xxhash64("h", "piece"), F.lit(SALTS))], ["lang"]):
+        w = Window.partitionBy(*parts).orderBy("h", "piece")
+        some = some.withColumn("k", F.row_number().over(w)).where(F.col("k") <= s.per_language).drop("k")
+    return some
 
 
 def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:

@@ -241,3 +241,32 @@ def test_wide_groups_and_chunks_agree(monkeypatch):
         monkeypatch.setattr(align, "EXPANDED", at_once)
         k, w = al.links(*args)
         assert (k == keys).all() and (w == weight).all()
+
+
+# Earlier operators: long texts, the queries' own columns -----------------------------
+
+
+def test_many_repeated_lines_of_one_text(spark):
+    import time
+
+    from palimpsest.llm import linedup
+
+    lines = [f"a line of some length, number {i % 500}" for i in range(60_000)]
+    d = spark.createDataFrame([(1, "\n".join(lines)), (2, None), (3, "alone here")], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r.text for r in linedup.deduplicated(d).collect()}
+    kept = got[1].split("\n")
+    assert got[3] == "alone here" and got[2] is None and len(kept) == len(set(kept)) <= 500 and set(kept) <= set(lines)
+    assert time.time() - began < 200
+
+
+def test_language_samples_are_the_lowest_of_each_language(spark):
+    from palimpsest.llm import langid
+
+    s = langid.Settings(per_language=40)
+    rng = random.Random(6)
+    rows = [(i, words(rng, 12), "de" if i % 5 else "fr") for i in range(700)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    got = sorted((r.lang, r.h, bytes(r.piece)) for r in langid.training_sample(d, s).collect())
+    every = sorted((r.lang, r.h, bytes(r.piece)) for r in langid.training_sample(d, langid.Settings(per_language=10**6)).collect())
+    assert got == [r for k in ("de", "fr") for r in [x for x in every if x[0] == k][:40]] and len(every) > 700
