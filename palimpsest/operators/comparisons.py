@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import svg
 from ..functions.mime import format_for
-from ..schemas import MASK_THRESHOLD, STATES, TIER_STABLE, UNAVAILABLE, VECTOR, XKT
+from ..schemas import MASK_THRESHOLD, MOST_TEXT_LINES, STATES, TIER_STABLE, UNAVAILABLE, VECTOR, XKT
 from ..sources import gltf, pdf, step
 from ..sources.files import lines_of
 from ..sources.kernels import parsed
@@ -58,13 +58,14 @@ def sides(pairs: DataFrame, read: Callable[[DataFrame], DataFrame]) -> tuple[Dat
 
 
 def compare_text(pairs: DataFrame) -> DataFrame:
-    """Lines of both sides as one drawing."""
+    """Lines of both sides as one drawing; where a side has more lines than are compared, the child's stage says so."""
     old, new = (pairs.select("key", F.posexplode(lines_of(F.col(f"{s}_content"))).alias("idx", "line")) for s in ("base", "target"))
     drawn = svg.text_pages(sequence.line_states(old, new, ["key"]), ["key"])
     # two texts without a line are an empty drawing
-    drawn = pairs.select("key").join(drawn, "key", "left")
+    cut = functools.reduce(lambda a, b: a | b, (F.size(lines_of(F.col(f"{s}_content"), None)) > MOST_TEXT_LINES for s in ("base", "target")))
+    drawn = pairs.select("key", F.when(cut, f"only the first {MOST_TEXT_LINES} lines of each version are compared").alias("note")).join(drawn, "key", "left")
     empty = svg.placeholder_page(F.lit(800), F.lit(30))
-    return drawn.select(*child("page", F.lit(0), "svg", "image/svg+xml", F.lit(VECTOR), F.encode(F.coalesce("svg", empty), "UTF-8")))
+    return drawn.select(*child("page", F.lit(0), "svg", "image/svg+xml", F.lit(VECTOR), F.encode(F.coalesce("svg", empty), "UTF-8"), F.col("note"))).withColumn("stage", F.col("note")).drop("note")
 
 
 def compare_pdf(pairs: DataFrame, tools: Tools = Tools()) -> DataFrame:

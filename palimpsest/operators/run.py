@@ -43,14 +43,15 @@ def computed(todo: DataFrame, all_versions: DataFrame, registry: Registry) -> tu
     rows = registry.compare(pairs).checkpoint()
     children = rows.where("error is null").join(todo.select("key", "file_uid"), "key")
     wrong = rows.where("error is not null").groupBy("key").agg(F.min(F.struct("error", "stage")).alias("wrong"))
+    notes = rows.where("error is null and stage is not null").groupBy("key").agg(F.min("stage").alias("note"))
     made = overall(children, ["key"])
-    r = todo.join(made.select("key", "status", "mode"), "key", "left").join(wrong, "key", "left")
+    r = todo.join(made.select("key", "status", "mode"), "key", "left").join(wrong, "key", "left").join(notes, "key", "left")
     shown = F.col("status") == READY
     reason = F.coalesce("wrong.error", F.when(F.col("status") == FAILED, F.lit("no page could be rendered at any tier")), F.lit("nothing to compare"))
     stage = F.coalesce("wrong.stage", F.when(F.col("status") == FAILED, F.lit("render")), F.lit("diff"))
     tiers = F.when(F.col("plugin") == "3d", F.array(F.lit(XKT))).otherwise(F.array(F.lit("vector"), F.lit(RASTER)))
     failure = F.when(~F.coalesce(shown, F.lit(False)), F.struct(reason.alias("reason"), stage.alias("stage"), tiers.alias("tiers_attempted"))).cast(FAILURE)
-    results = r.select("key", "file_uid", "base", "target", "plugin", "plugin_version", F.when(F.coalesce(shown, F.lit(False)), READY).otherwise(FAILED).alias("status"), F.coalesce("mode", F.lit(RASTER)).alias("mode"), failure.alias("failure"))
+    results = r.select("key", "file_uid", "base", "target", "plugin", "plugin_version", F.when(F.coalesce(shown, F.lit(False)), READY).otherwise(FAILED).alias("status"), F.coalesce("mode", F.lit(RASTER)).alias("mode"), failure.alias("failure"), "note")
     # what failed as a whole keeps no children
     return results, children.join(results.where(F.col("status") == READY).select("key"), "key", "left_semi")
 
@@ -77,7 +78,7 @@ def run(requests: DataFrame, all_versions: DataFrame, results: store.ResultStore
     # what is written again replaces: also under ``force`` a pair is never without a result
     results.commit(made, children, again=force or retry_failed)
     results.drop_keys(store.superseded(made.select("file_uid", "base", "target", "plugin", "plugin_version")))
-    a = asked.join(cached.withColumn("cached", F.lit(True)), "key", "left").join(sized, "key", "left").join(made.select("key", F.col("status").alias("made"), F.col("failure.reason").alias("reason")), "key", "left")
+    a = asked.join(cached.withColumn("cached", F.lit(True)), "key", "left").join(sized, "key", "left").join(made.select("key", F.col("status").alias("made"), F.coalesce("failure.reason", "note").alias("reason")), "key", "left")
     state = {
         "error": ~F.col("verdict").isin("ok", "no_predecessor") | (F.col("key").isNotNull() & F.coalesce("cached", F.lit(False)).eqNullSafe(False) & F.col("too_large").isNull()),
         "no_predecessor": F.col("verdict") == "no_predecessor", "unsupported": F.col("plugin").isNull(), "cached": col("cached"), "too_large": col("too_large"), "failed": F.col("made") == FAILED,

@@ -45,6 +45,23 @@ DOC_LINES = """l AS (SELECT doc_id AS u, CAST(unnest(range(len(x))) AS INTEGER)
 e AS (SELECT u, CAST(idx * 2 + c AS INTEGER) AS idx, sig FROM l, (SELECT unnest([1, 2]) AS c) WHERE c <= CASE WHEN idx % 7 = 6 THEN 0 WHEN idx % 11 = 10 THEN 2 ELSE 1 END),"""
 LCS_PAIRS = f"WITH RECURSIVE {DOC_LINES}{lcs('l', 'e', 'a')}\nSELECT u AS doc_id, old_idx, new_idx, FALSE AS lcs_refused FROM ap"
 
+#: Longest common stretches, recursively: a run of equal lines along one diagonal is cut to the range in hand.
+LINE_STATES = f"""WITH RECURSIVE {DOC_LINES}
+a AS (SELECT u, sig, row_number() OVER (PARTITION BY u ORDER BY idx) - 1 AS i FROM l), b AS (SELECT u, sig, row_number() OVER (PARTITION BY u ORDER BY idx) - 1 AS j FROM e),
+n AS (SELECT coalesce(x.u, y.u) AS u, coalesce(x.n, 0) AS na, coalesce(y.n, 0) AS nb FROM (SELECT u, count(*) AS n FROM a GROUP BY u) x FULL JOIN (SELECT u, count(*) AS n FROM b GROUP BY u) y ON x.u = y.u),
+m AS (SELECT a.u, i, j, i - row_number() OVER (PARTITION BY a.u, i - j ORDER BY i) AS g FROM a JOIN b ON a.u = b.u AND a.sig = b.sig),
+s AS (SELECT u, min(i) AS i0, min(j) AS j0, count(*) AS k FROM m GROUP BY u, i - j, g),
+r AS (SELECT u, CAST(0 AS BIGINT) AS i1, na AS i2, CAST(0 AS BIGINT) AS j1, nb AS j2, FALSE AS block FROM n UNION ALL
+  SELECT u, t.i1, t.i2, t.j1, t.j2, t.block FROM (SELECT u, unnest([{{'i1': i1, 'i2': x.i, 'j1': j1, 'j2': x.j, 'block': FALSE}}, {{'i1': x.i, 'i2': x.i + x.k, 'j1': x.j, 'j2': x.j + x.k, 'block': TRUE}}, {{'i1': x.i + x.k, 'i2': i2, 'j1': x.j + x.k, 'j2': j2, 'block': FALSE}}]) AS t
+    FROM (SELECT r.u, i1, i2, j1, j2, list({{'k': least(i0 + k, i2, i0 + j2 - j0) - greatest(i0, i1, i0 + j1 - j0), 'i': greatest(i0, i1, i0 + j1 - j0), 'j': greatest(i0, i1, i0 + j1 - j0) - i0 + j0}}
+        ORDER BY greatest(i0, i1, i0 + j1 - j0) - least(i0 + k, i2, i0 + j2 - j0), greatest(i0, i1, i0 + j1 - j0), greatest(i0, i1, i0 + j1 - j0) - i0 + j0)[1] AS x
+      FROM r JOIN s ON r.u = s.u AND NOT block AND least(i0 + k, i2, i0 + j2 - j0) > greatest(i0, i1, i0 + j1 - j0) GROUP BY r.u, i1, i2, j1, j2))),
+c AS (SELECT u, i1, i2, j1, j2 FROM r WHERE block UNION ALL SELECT u, na, na, nb, nb FROM n),
+g AS (SELECT u, i2 - i1 AS k, i1 - lag(i2, 1, 0) OVER w AS gone, j1 - lag(j2, 1, 0) OVER w AS come FROM c WINDOW w AS (PARTITION BY u ORDER BY i1, i2)),
+o AS (SELECT u, unnest([{{'layer': 'diff-old', 'state': 'unchanged', 'n': k}}, {{'layer': 'diff-new', 'state': 'unchanged', 'n': k}}, {{'layer': 'diff-old', 'state': 'deleted', 'n': gone}}, {{'layer': 'diff-new', 'state': 'added', 'n': come}},
+  {{'layer': 'diff-changes', 'state': CASE WHEN gone > 0 AND come > 0 THEN 'modified' WHEN gone > 0 THEN 'deleted' ELSE 'added' END, 'n': gone + come}}]) AS t FROM g)
+SELECT u AS doc_id, t.layer AS layer, t.state AS state, CAST(sum(t.n) AS BIGINT) AS n FROM o WHERE t.n > 0 GROUP BY ALL"""
+
 PAGE_PAIRING = f"""WITH RECURSIVE o AS (SELECT conv_id AS u, CAST(turn AS INTEGER) AS idx, md5(text) AS sig FROM conversations),
 n AS (SELECT u, idx, CASE WHEN idx % 5 = 2 THEN md5(sig) ELSE sig END AS sig FROM o WHERE (u + idx) % 7 <> 3),{lcs('o', 'n', 'a')},
 ro AS (SELECT u, idx, row_number() OVER (PARTITION BY u ORDER BY idx) AS k FROM o WHERE NOT EXISTS (SELECT 1 FROM ap WHERE ap.u = o.u AND ap.old_idx = o.idx)),

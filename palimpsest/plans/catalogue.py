@@ -3,8 +3,7 @@
 The tables hold no versions of anything, so two sides are derived from one table by a rule
 that both engines apply: the base lacks rows whose key is divisible by 17, the target those
 by 19; a measure grows by 1 where 11 divides the key and an attribute becomes X where 13 does.
-Order-dependent alignments are recursive queries there (``alignment_sql``); the recursive
-matching of text lines alone has no SQL and is tested against brute force.
+Order-dependent alignments are recursive queries there (``alignment_sql``).
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import keys, mime, svg
 from ..operators import access, keyed, score, sequence, spatial, store, versions
 from ..schemas import ADDED, DELETED, MODIFIED, UNCHANGED
-from ..sources.files import lines_of
+from ..sources.files import lines_of, placed
 from ..streaming import events as ev
 from . import alignment_sql as align
 
@@ -334,7 +333,7 @@ def lcs_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.align(*doc_lines(spark, sf_dir), ["doc_id"], signature="line")
 
 
-@query()
+@query(align.LINE_STATES)
 def text_line_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.line_states(*doc_lines(spark, sf_dir), ["doc_id"]).groupBy("doc_id", "layer", "state").agg(F.count("*").alias("n"))
 
@@ -605,6 +604,17 @@ def invalidation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return access.invalidated(decisions(spark, sf_dir), events).select("d")
 
 
+# --- listings -------------------------------------------------------------------
+
+
+@query("SELECT c_custkey, n_name || '/' || c_mktsegment AS place FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment <> 'BUILDING'")
+def child_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A flat listing joined to its folders; the own output's folder is skipped."""
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    entries = c.select(F.col("c_custkey").alias("uid"), F.col("c_nationkey").alias("folder"), F.col("c_mktsegment").alias("kind"))
+    return placed(entries, n.select(F.col("n_nationkey").alias("uid"), F.col("n_name").alias("name")), ("BUILDING",)).withColumnRenamed("uid", "c_custkey")
+
+
 def _filled() -> None:
     """The second half of the catalogue adds itself to the first as it is imported."""
     from . import faults, reading  # noqa: F401

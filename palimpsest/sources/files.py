@@ -43,6 +43,12 @@ def tree(spark: SparkSession, entries: DataFrame, root: str, most_depth: int = M
     return found.where("not is_folder").select("uid", "name", "depth")
 
 
+def placed(entries: DataFrame, folders: DataFrame, skipped: tuple[str, ...] = ()) -> DataFrame:
+    """(uid, place): entries (uid, folder, kind) as ``folder name/kind``; folders (uid, name) of a flat listing. Entries of a skipped kind are left out."""
+    named = folders.select(F.col("uid").alias("folder"), F.col("name").alias("_name"))
+    return entries.where(~F.col("kind").isin(*skipped)).join(named, "folder").select("uid", F.concat_ws("/", "_name", "kind").alias("place"))
+
+
 def lines_of(content: Column, most: int | None = MOST_TEXT_LINES) -> Column:
     """array<string>: UTF-8 with replacement characters, parted as splitlines does, a last empty line left out."""
     text = F.decode(content, "UTF-8") if not isinstance(content, str) else F.col(content)

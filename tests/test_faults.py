@@ -69,6 +69,15 @@ def test_a_failing_plan_is_halved(spark, tmp_path):
     assert {o for o, _ in got.values()} == {"failed"} and all("missing" in d for _, d in got.values())
 
 
+def test_lines_that_are_not_compared_are_told(spark, tmp_path):
+    text = lambda n, last: "\n".join([*map(str, range(n)), last]).encode()
+    rows = [(u, f"v{2 - k}", k, "t.txt", "text/plain", bytearray(text(n, str(k)))) for u, n in (("long", 2400), ("short", 3)) for k in range(2)]
+    s = store.ResultStore(spark, str(tmp_path))
+    asked = spark.createDataFrame([(u, "", "") for u in ("long", "short")], "file_uid string, target string, base string")
+    got = {r.file_uid: (r.outcome, r.detail) for r in run.run(asked, spark.createDataFrame(rows, VERSIONS), s, registry.default_registry(text=True)).collect()}
+    assert got == {"long": ("computed", "only the first 2000 lines of each version are compared"), "short": ("computed", "")}
+
+
 def test_python_kernels_of_a_plan_name_their_error(spark):
     pairs = spark.createDataFrame([(f"k{i}", i) for i in range(9)], "key string, n int")
 
