@@ -8,9 +8,11 @@ longer than the window is therefore encoded in windows: tokens that end that far
 before the window's end are stable and are emitted, the rest is carried over.
 Short pieces are encoded many at a time with array operations, each round
 merging the lowest-ranked pair of every piece. Memory is bounded by the window,
-the slice of text in hand and a memo of limited size.
+the slice of text in hand and a memo of limited size; a text longer than a slice is a
+slice of its own and lies in memory whole.
 
-Null texts count as empty. Texts that hold the special token's string give its id,
+Null texts count as empty; repeated rows give repeated results, null doc_ids are kept as they
+are, and an empty table gives no rows. Texts that hold the special token's string give its id,
 as the public library does by default.
 """
 

@@ -7,7 +7,15 @@ are learned here, in numpy, by backpropagation through time with Adam.
 
 Learning takes a bounded sample: at most ``per_language`` stretches of ``train_bytes``
 bytes for each language (``per_document`` of a document), spread by a hash over all
-labelled documents.
+labelled documents. The sample grows with the number of languages that the labels name.
+
+Defined cases: null texts and texts without a letter are ``und`` with score 0; equal texts are
+predicted alike, and repeated rows give a row each; of languages with the same probability the
+first by name is told; null and repeated doc_ids are rows like any other (``held_out`` of a null
+doc_id is null: such a row is predicted and teaches nothing where a query learns by it); a text of
+any length is read whole, a segment of each stretch at a time, but lies in memory while it is; an
+empty table gives no rows, one without two languages a model that says ``und``; other columns are
+ignored or kept as asked.
 """
 
 from __future__ import annotations

@@ -9,8 +9,10 @@ gap is under ``min_piece``.
 
 Each partition packs its own rows in one pass with a bounded buffer: there is no shuffle,
 at most the last sequence of a partition is short, and a rerun task makes the same
-sequences. Null texts count as empty (their end id alone); repeated rows are packed once
-each; other columns are ignored.
+sequences. Null texts count as empty (their end id alone); repeated rows, also those of one
+doc_id, are packed once each; a very long text is tokenised whole and cut into full sequences;
+of examples that fit equally well the first is taken; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
