@@ -72,6 +72,8 @@ def text_slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) ->
             j = min(n, max(j, i + 1))
             yield data[off[i] : off[j]], (off[i : j + 1] - off[i]).astype(np.int64), null[i:j], batch.slice(i, j - i)
             i = j
+    # a worker lives on for other operators' tasks: what Arrow holds for none of its batches goes back
+    pa.default_memory_pool().release_unused()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
