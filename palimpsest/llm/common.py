@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,11 +51,20 @@ def numbered(docs: DataFrame, order: str = "doc_id") -> DataFrame:
     return spread.select(F.monotonically_increasing_id().alias("k"), "row").checkpoint()
 
 
+def give_back() -> None:
+    """Freed memory that this worker's allocators still hold goes back to the system: it lives on for other operators' tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.RecordBatch]]:
     """(bytes uint8, offsets int64, null mask, rows) of the batches' ``text``, in runs of about ``limit`` bytes.
 
     A single longer text is a run of its own; null texts are empty and marked.
     """
+    give_back()
     for batch in batches:
         col = batch.column(batch.schema.get_field_index("text")).cast(pa.large_string())
         n = len(col)
@@ -72,8 +82,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) ->
             j = min(n, max(j, i + 1))
             yield data[off[i] : off[j]], (off[i : j + 1] - off[i]).astype(np.int64), null[i:j], batch.slice(i, j - i)
             i = j
-    # a worker lives on for other operators' tasks: what Arrow holds for none of its batches goes back
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

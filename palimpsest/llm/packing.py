@@ -28,6 +28,10 @@ from .bpe import encoder
 from .common import text_slices
 
 
+#: Bytes of text that are tokenised at a time; the arrays of it are some dozen times as large.
+SLICE = 1 << 19
+
+
 @dataclass(frozen=True)
 class Limits:
     tokens: int = 1024
@@ -155,7 +159,7 @@ def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), end_id
                 if not left[key]:
                     del ids_of[key], doc_of[key], left[key]
 
-        for data, off, _, batch in text_slices(batches):
+        for data, off, _, batch in text_slices(batches, SLICE):
             ids, count = e.encode(data, off)
             end = np.cumsum(count)
             for doc, i, j in zip(batch.column("doc_id").to_pylist(), (end - count).tolist(), end.tolist(), strict=True):
