@@ -806,4 +806,4 @@ def test_every_query_is_registered():
     import __spark_entry__ as e
 
     q = e.queries()
-    assert {int(m[1]) for n in q if (m := re.match(r"op(\d+)_", n))} == set(range(1, 11)) and "pipeline" in q
+    assert {int(m[1]) for n in q if (m := re.match(r"op(\d+)_", n))} == set(range(1, 14)) and "pipeline" in q
