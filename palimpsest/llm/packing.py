@@ -23,9 +23,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from . import chat
 from .bpe import encoder
-from .common import text_slices
+from .common import give_back, shuffle_parts, text_slices
 
 
 #: Bytes of text that are tokenised at a time; the arrays of it are some dozen times as large.
@@ -180,16 +182,17 @@ def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), end_id
 def pack_examples(examples: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Instruction data: rows (example_id, ids array<int>, loss array<boolean>) to the same pieces, with ids and mask.
 
-    Null or empty ids give no piece; a null mask bears loss everywhere.
+    ``example_id`` may be of any type. Null or empty ids give no piece; a null mask bears loss everywhere.
     """
-    fields = "example_id long, start long, length long, sequence_id long, offset long, loss_tokens long, ids array<int>, loss array<boolean>"
+    fields = f"example_id {examples.schema['example_id'].dataType.simpleString()}, start long, length long, sequence_id long, offset long, loss_tokens long, ids array<int>, loss array<boolean>"
 
     def run(batches):
         from pyspark import TaskContext
 
         packer, held, n = Packer(limits, TaskContext.get().partitionId() << 36), {}, 0
         names = [x.split()[0] for x in fields.split(", ")]
-        kinds = [pa.int64()] * 6 + [pa.list_(pa.int32()), pa.list_(pa.bool_())]
+        kinds = [pa.int64()] * 5 + [pa.list_(pa.int32()), pa.list_(pa.bool_())]
+        id_type = pa.int64()
 
         def emit(pieces):
             rows = []
@@ -201,9 +204,10 @@ def pack_examples(examples: DataFrame, limits: Limits = Limits()) -> DataFrame:
                 if left == length:
                     del held[key]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [id_type, *kinds], strict=True)], names)
 
         for batch in batches:
+            id_type = batch.schema.field("example_id").type
             for x, ids, loss in zip(*(batch.column(c).to_pylist() for c in ("example_id", "ids", "loss")), strict=True):
                 if not ids:
                     continue
@@ -216,3 +220,92 @@ def pack_examples(examples: DataFrame, limits: Limits = Limits()) -> DataFrame:
         yield from emit(packer.pack(True))
 
     return examples.select("example_id", "ids", "loss").mapInArrow(run, fields)
+
+
+def turn_examples(rows: DataFrame, path: str, limits: Limits = Limits(), loss_role: str = chat.ASSISTANT) -> DataFrame:
+    """Conversations as examples: (example_id struct<conv_id, turn, n_turns>, ids, loss).
+
+    Rows (conv_id, turn, role, text) go across the cluster in ranges of (conv_id, turn), so a conversation that
+    holds a third of all rows is many tasks. In each range consecutive turns of a conversation make an example as
+    long as it keeps within the limits on tokens and loss-bearing ones; a turn that exceeds them by itself is an example of its own,
+    which packing cuts. A turn's mark, body and end are tokenised apart (``chat.write_turn``), so the mask falls
+    between tokens: it covers the bodies of ``loss_role``. Strings of special tokens are plain text.
+
+    Null roles and texts are empty; null conversations are one conversation, null turns come first; rows of
+    one turn are in the order of their hash, repeated ones each count; an empty table gives no rows; other columns are ignored.
+    """
+    clean = [F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")]
+    m = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), *clean).withColumn("read", F.monotonically_increasing_id())
+    keys = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.xxhash64("role", "text"), F.col("read")]
+    spread = m.repartitionByRange(max(2, shuffle_parts(rows.sparkSession)), *keys).sortWithinPartitions(*keys)
+    fields = "example_id struct<conv_id: bigint, turn: bigint, n_turns: bigint>, ids array<int>, loss array<boolean>"
+    key_type = pa.struct([("conv_id", pa.int64()), ("turn", pa.int64()), ("n_turns", pa.int64())])
+
+    def encoded(batches):
+        """(conv_id, turn, ids, mask) of each row, in order."""
+        e = encoder(path, native=True)
+        for batch in batches:
+            held, size = [], 0
+            for row in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn", "role", "text")), strict=True):
+                held.append(row)
+                size += len(row[3])
+                if size >= SLICE:
+                    yield from tokens(e, held)
+                    held, size = [], 0
+            if held:
+                yield from tokens(e, held)
+
+    def tokens(e, held):
+        parts = []
+        for _, _, role, text in held:
+            turn, i, j = chat.write_turn(role, text)
+            parts += [turn[:i].encode(), turn[i:j].encode(), turn[j:].encode()]
+        off = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+        ids, count = e.encode(np.frombuffer(b"".join(parts), np.uint8), off, specials=False)
+        count = count.reshape(-1, 3)
+        end = np.cumsum(count.sum(1))
+        for (conv, turn, role, _), (head, body, tail), stop in zip(held, count.tolist(), end.tolist(), strict=True):
+            mask = np.zeros(head + body + tail, bool)
+            mask[head : head + body] = role == loss_role
+            yield conv, turn, ids[stop - len(mask) : stop], mask
+
+    def run(batches):
+        give_back()
+        first, parts, n_ids, n_loss, rows = None, [], 0, 0, []
+
+        def close():
+            rows.append(({"conv_id": first[0], "turn": first[1], "n_turns": len(parts)}, np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])))
+
+        def flush():
+            cols = zip(*rows, strict=True)
+            kinds = (key_type, pa.list_(pa.int32()), pa.list_(pa.bool_()))
+            out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["example_id", "ids", "loss"])
+            rows.clear()
+            return out
+
+        for conv, turn, ids, mask in encoded(batches):
+            loss = int(mask.sum())
+            if first is not None and (conv != first[0] or n_ids + len(ids) > limits.tokens or n_loss + loss > limits.loss_tokens):
+                close()
+                first, parts, n_ids, n_loss = None, [], 0, 0
+                if sum(len(r[1]) for r in rows) >= SLICE:
+                    yield flush()
+            first = first or (conv, turn)
+            parts.append((ids, mask))
+            n_ids, n_loss = n_ids + len(ids), n_loss + loss
+        if parts:
+            close()
+        if rows:
+            yield flush()
+        give_back()
+
+    return spread.mapInArrow(run, fields)
+
+
+def pack_turns(rows: DataFrame, path: str, limits: Limits = Limits(), loss_role: str = chat.ASSISTANT) -> DataFrame:
+    """Conversations packed under all three limits: the pieces of ``pack_examples`` of the examples of ``turn_examples``.
+
+    (conv_id, turn, n_turns, start, length, sequence_id, offset, loss_tokens, ids, loss); conv_id and turn are
+    of the example's first row. Examples go on to packing in the partitions they were made in: one shuffle in all.
+    """
+    return pack_examples(turn_examples(rows, path, limits, loss_role), limits).select("example_id.*", "start", "length", "sequence_id", "offset", "loss_tokens", "ids", "loss")

@@ -54,6 +54,16 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
+#: Limits for training on replies: at most 8 segments, and 768 of 1,024 tokens under the loss.
+REPLIES = packing.Limits(tokens=1024, segments=8, loss_tokens=768)
+
+
+def packed_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 7 on instruction data: every conversation's turns, packed with the replies' mask."""
+    out = packing.pack_turns(table(spark, sf_dir, "conversations"), vocabulary(), REPLIES)
+    return out.withColumns({"ids": F.sha2(F.array_join("ids", ","), 256), "loss": F.sha2(F.array_join(F.transform("loss", lambda x: x.cast("int")), ""), 256)}).withColumnsRenamed({"ids": "ids_sha256", "loss": "loss_sha256"})
+
+
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -86,7 +96,7 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"packed_replies": packed_replies}
 
 
 def oracle_sql() -> dict[str, str]:
