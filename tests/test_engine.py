@@ -161,6 +161,13 @@ def test_parsers_report_errors(spark):
     assert gltf.elements(f, ["k"]).where("problem = 'unreadable-gltf'").count() == 2
 
 
+def test_files_of_one_task_are_parsed_in_many(spark):
+    f = spark.range(64).coalesce(1).select(F.col("id").alias("k"), F.encode(F.col("id").cast("string"), "UTF-8").alias("content"))
+    got = parsed(f, ["k"], "content", lambda c: [{"n": int(c), "x": {"a": "b"}}, {"n": 1.0}], "n int, x map<string,string>").select("*", F.spark_partition_id().alias("task")).collect()
+    assert len({r.task for r in got}) > 1
+    assert sorted((r.k, r.n, str(r.x)) for r in got) == sorted(x for k in range(64) for x in ((k, k, "{'a': 'b'}"), (k, 1, "None")))
+
+
 def test_registry(spark):
     d = spark.createDataFrame([("application/pdf; x=1",), ("model/step",), ("text/plain",), ("image/png",)], "m string")
     names = lambda r: [x[0] for x in d.select(r.dispatch(F.col("m"))).collect()]
