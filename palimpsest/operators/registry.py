@@ -2,14 +2,16 @@
 
 An operator compares one pair at a time (``Entry.pair``, a function that runs in an Arrow kernel, where
 its exceptions become error rows) or all of them as one plan (``Entry.compare``). A plan
-that fails over some pair is run again on halves of its pairs until that pair stands alone.
+that fails over some pair is run again on slices of its pairs until that pair stands alone.
 """
 
 from __future__ import annotations
 
 import functools
 import re
+import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -18,6 +20,7 @@ from pyspark.errors import ArithmeticException, ArrayIndexOutOfBoundsException,
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.mime import bare, operator_for
 from ..session import ensure_checkpoints
@@ -28,6 +31,8 @@ from .comparisons import CHILD, failures
 ROW_ERRORS = (PythonException, SparkRuntimeException, ArithmeticException, ArrayIndexOutOfBoundsException, DateTimeException, IllegalArgumentException, NumberFormatException, SparkNoSuchElementException)
 #: The stage under which such a pair's failure is told, and the most characters of its reason.
 STAGE, REASON_CHARS = "plugin", 500
+#: Of a plan that failed: pairs of a slice, parts that a failing range of slices is cut into, attempts at a time, the most keys of an error that are tried alone, the most parts of a union.
+SLICE, CUT, AT_ONCE, MOST_TOLD, MOST_BRANCHES = 512, 16, 8, 4, 64
 PAIR = ["key", "base_content", "target_content", "base_name", "target_name", "mime"]
 
 Pair = Callable[[dict, dict], list[dict]]
@@ -135,25 +140,81 @@ def pairwise(compare: Pair, pairs: DataFrame) -> DataFrame:
 def isolated(compare: Callable[[DataFrame], DataFrame], pairs: DataFrame) -> DataFrame:
     """compare(pairs), written to the checkpoint folder; pairs over which the plan fails are error rows.
 
-    A failed attempt is made again on either half of its pairs, dealt by a bit of the key's hash, so b bad pairs of n
-    cost about 2 b log2(n / b) more jobs. A plan that can't even be made fails for all of its pairs at once.
+    After a failure the pairs are written in slices of about ``SLICE``, each in a folder of its own, so that an attempt
+    reads no more than it tries. What fails is cut into ``CUT`` ranges of slices, then into slices; within a slice the
+    pairs whose keys the error tells are tried alone and the others again, and where it tells none, either half. Attempts
+    run ``AT_ONCE`` at a time and are as many as slices and failing pairs together. A plan that can't even be made fails
+    for all of its pairs at once.
     """
-    ensure_checkpoints(pairs.sparkSession)
-    bit = lambda k: F.shiftright(F.xxhash64("key"), k).bitwiseAND(1)
-
-    def attempt(part: DataFrame, depth: int) -> list[DataFrame]:
+    spark = pairs.sparkSession
+    ensure_checkpoints(spark)
+    try:
+        plan = compare(pairs)
+    except Exception as e:  # noqa: BLE001
+        return failures(pairs, STAGE, F.lit(reason_of(e)))
+    try:
+        return plan.checkpoint()
+    except ROW_ERRORS:
+        n = max(1, -(-pairs.count() // SLICE))
+    folder = f"{spark.sparkContext.getCheckpointDir()}/slices-{uuid.uuid4().hex}"
+    dealt = pairs.withColumn("_slice", F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")).repartition(min(n, int(spark.conf.get("spark.sql.shuffle.partitions"))), "_slice")
+    dealt.write.partitionBy("_slice").parquet(folder)
+    slices = spark.read.schema(dealt.schema).parquet(folder)
+    made: list[DataFrame] = []
+    failed: list[tuple] = []
+
+    def attempt(first: int, end: int, keys: list | None = None) -> list[tuple]:
+        """What is to be tried after this part."""
+        part = slices.where(F.col("_slice").between(first, end - 1)).drop("_slice")
+        part = part if keys is None else part.where(F.col("key").isin(keys))
         try:
             plan = compare(part)
         except Exception as e:  # noqa: BLE001
-            return [failures(part, STAGE, F.lit(reason_of(e)))]
+            made.append(failures(part, STAGE, F.lit(reason_of(e))).checkpoint())
+            return []
         try:
-            return [plan.checkpoint()]
+            made.append(plan.checkpoint())
+            return []
         except ROW_ERRORS as e:
-            if depth == 64 or part.select("key").distinct().limit(2).count() < 2:
-                return [failures(part, STAGE, F.lit(reason_of(e))).checkpoint()]
-            return [x for b in (0, 1) for x in attempt(part.where(bit(depth) == b), depth + 1)]
-
-    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), attempt(pairs, 0))
+            error = e
+        if end - first > 1:
+            step = -(-(end - first) // CUT)
+            return [(i, min(i + step, end)) for i in range(first, end, step)]
+        # the keys of one slice
+        keys = [r.key for r in part.select("key").distinct().collect()] if keys is None else keys
+        if len(keys) < 2:
+            failed.extend((k, reason_of(error)) for k in keys)
+            return []
+        text = str(error)
+        told = [k for k in keys if str(k) in text]
+        alone = [[k] for k in told] if len(told) <= MOST_TOLD else []
+        cut = [*alone, [k for k in keys if k not in told]] if alone else [keys[: len(keys) // 2], keys[len(keys) // 2 :]]
+        return [(first, end, k) for k in cut if k]
+
+    pool = ThreadPoolExecutor(AT_ONCE)
+    try:
+        waiting = {pool.submit(attempt, 0, n)} if n == 1 else {pool.submit(attempt, *p) for p in [(i, min(i + -(-n // CUT), n)) for i in range(0, n, -(-n // CUT))]}
+        while waiting:
+            done, waiting = wait(waiting, return_when=FIRST_COMPLETED)
+            waiting |= {pool.submit(attempt, *p) for d in done for p in d.result()}
+    finally:
+        pool.shutdown(cancel_futures=True)
+    if failed:
+        told = spark.createDataFrame(failed, StructType([pairs.schema["key"], StructField("error", StringType())]))
+        made.append(failures(told, STAGE, F.col("error")).checkpoint())
+    return together(made, f"{folder}-made")
+
+
+def together(parts: list[DataFrame], folder: str) -> DataFrame:
+    """The union of any number of written parts: many are written again as few, so that no plan has thousands of branches."""
+    union = lambda some: functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), some)
+    if len(parts) <= MOST_BRANCHES:
+        return union(parts)
+    # read as files: unions of checkpoints of unions aren't planned right
+    starts = range(0, len(parts), MOST_BRANCHES)
+    for i in starts:
+        union(parts[i : i + MOST_BRANCHES]).write.parquet(f"{folder}/{i}")
+    return parts[0].sparkSession.read.schema(union([parts[0], parts[-1]]).schema).parquet(*(f"{folder}/{i}" for i in starts))
 
 
 def default_registry(text: bool = False, enabled: tuple[str, ...] = (), tools: comparisons.Tools = comparisons.Tools()) -> Registry:

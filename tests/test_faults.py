@@ -69,6 +69,26 @@ def test_a_failing_plan_is_halved(spark, tmp_path):
     assert {o for o, _ in got.values()} == {"failed"} and all("missing" in d for _, d in got.values())
 
 
+@pytest.mark.parametrize("told", [True, False])
+def test_attempts_grow_with_slices_and_failing_pairs(spark, monkeypatch, told):
+    monkeypatch.setattr(registry, "SLICE", 16)
+    monkeypatch.setattr(registry, "MOST_BRANCHES", 8)
+    made = []
+
+    def compare(pairs):
+        made.append(1)
+        data = F.when(F.col("n") % 25 == 3, F.raise_error(F.concat(F.lit("no "), F.col("key") if told else F.lit("more")))).otherwise("")
+        return pairs.select(*child("page", F.lit(0), "svg", "m", F.lit("vector"), F.encode(data.cast("string"), "UTF-8")))
+
+    pairs = spark.range(200).select(F.format_string("key-%05d", "id").alias("key"), F.col("id").alias("n"))
+    rows = registry.isolated(compare, pairs).collect()
+    assert sorted(r.key for r in rows) == [f"key-{i:05d}" for i in range(200)]
+    bad = {r.key: r.error for r in rows if r.error}
+    assert set(bad) == {f"key-{i:05d}" for i in range(3, 200, 25)} and all(e.startswith("SparkRuntimeException: [USER_RAISED_EXCEPTION] no ") and (not told or k in e) for k, e in bad.items())
+    # halves of everything took more than 40
+    assert not told or len(made) <= 1 + 13 + 2 * 8
+
+
 def test_lines_that_are_not_compared_are_told(spark, tmp_path):
     text = lambda n, last: "\n".join([*map(str, range(n)), last]).encode()
     rows = [(u, f"v{2 - k}", k, "t.txt", "text/plain", bytearray(text(n, str(k)))) for u, n in (("long", 2400), ("short", 3)) for k in range(2)]
