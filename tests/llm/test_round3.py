@@ -270,3 +270,14 @@ def test_language_samples_are_the_lowest_of_each_language(spark):
     got = sorted((r.lang, r.h, bytes(r.piece)) for r in langid.training_sample(d, s).collect())
     every = sorted((r.lang, r.h, bytes(r.piece)) for r in langid.training_sample(d, langid.Settings(per_language=10**6)).collect())
     assert got == [r for k in ("de", "fr") for r in [x for x in every if x[0] == k][:40]] and len(every) > 700
+
+
+def test_entries_of_lines_are_packed_in_small_chunks(spark, monkeypatch):
+    from palimpsest.llm import linedup
+
+    # packing holds a chunk about six times, in every worker of an executor
+    assert 6 * linedup.CHUNK * linedup.KEY.itemsize <= 64 << 20
+    d = spark.createDataFrame([(i, "\n".join(f"a line of the text number {(i * k) % 30} and more of it" for k in range(9))) for i in range(60)], "doc_id long, text string").coalesce(1)
+    want = sorted(map(tuple, linedup.deduplicated(d).collect()))
+    monkeypatch.setattr(linedup, "CHUNK", 50)
+    assert sorted(map(tuple, linedup.deduplicated(d).collect())) == want and len(want) < 60
