@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import keys, mime, svg
 from palimpsest.operators import access, keyed, models, registry, score, sequence, spatial, store, versions
 from palimpsest.schemas import ELEMENT, EVENT, PAGE_OBJECT
-from palimpsest.sources import files, gltf
+from palimpsest.sources import files, gltf, pdf
 from palimpsest.sources.kernels import parsed
 from palimpsest.streaming import events as ev
 
@@ -168,6 +168,12 @@ def test_files_of_one_task_are_parsed_in_many(spark):
     assert sorted((r.k, r.n, str(r.x)) for r in got) == sorted(x for k in range(64) for x in ((k, k, "{'a': 'b'}"), (k, 1, "None")))
 
 
+def test_pdf_files_of_one_task_are_read_in_many(spark):
+    f = spark.range(64).coalesce(1).select(F.col("id").alias("k"), F.encode(F.lit("plain"), "UTF-8").alias("content"))
+    got = pdf.objects(f, ["k"]).select("k", "problem", F.spark_partition_id().alias("task")).collect()
+    assert len({r.task for r in got}) > 1 and sorted((r.k, r.problem) for r in got) == [(k, "open-failed") for k in range(64)]
+
+
 def test_registry(spark):
     d = spark.createDataFrame([("application/pdf; x=1",), ("model/step",), ("text/plain",), ("image/png",)], "m string")
     names = lambda r: [x[0] for x in d.select(r.dispatch(F.col("m"))).collect()]
