@@ -174,6 +174,12 @@ def test_pdf_files_of_one_task_are_read_in_many(spark):
     assert len({r.task for r in got}) > 1 and sorted((r.k, r.problem) for r in got) == [(k, "open-failed") for k in range(64)]
 
 
+def test_scenes_of_one_task_are_read_in_many(spark):
+    f = spark.range(64).coalesce(1).select(F.col("id").alias("k"), F.encode(F.lit("{}"), "UTF-8").alias("content"))
+    got = gltf.elements(f, ["k"]).select("k", "problem", F.spark_partition_id().alias("task")).collect()
+    assert len({r.task for r in got}) > 1 and sorted((r.k, r.problem) for r in got) == [(k, "unreadable-gltf") for k in range(64)]
+
+
 def test_registry(spark):
     d = spark.createDataFrame([("application/pdf; x=1",), ("model/step",), ("text/plain",), ("image/png",)], "m string")
     names = lambda r: [x[0] for x in d.select(r.dispatch(F.col("m"))).collect()]
