@@ -61,9 +61,10 @@ class Entry:
     pair: Pair | None = None
 
     def run(self, pairs: DataFrame) -> DataFrame:
-        """Children and error rows (CHILD) of all the pairs."""
+        """Children and error rows (CHILD) of all the pairs, written to the checkpoint folder."""
         if self.pair is not None:
-            return pairwise(self.pair, pairs)
+            ensure_checkpoints(pairs.sparkSession)
+            return pairwise(self.pair, pairs).checkpoint()
         return isolated(self.compare, pairs)
 
 
@@ -95,7 +96,7 @@ class Registry:
         return out
 
     def compare(self, pairs: DataFrame) -> DataFrame:
-        """Each operator on its own pairs, as separate branches: costly ones run only where needed. Children rows (CHILD)."""
+        """Each operator on its own pairs, as separate branches: costly ones run only where needed. Children rows (CHILD), written once."""
         # as many names as operators at most: what no pair asks for isn't planned
         asked = {r.plugin for r in pairs.select("plugin").distinct().collect()}
         parts = [e.run(pairs.where(F.col("plugin") == e.name)) for e in self.entries if (e.compare or e.pair) and e.name in asked]

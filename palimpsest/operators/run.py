@@ -26,7 +26,9 @@ def dispatched(requests: DataFrame, all_versions: DataFrame, registry: Registry)
     """Requests with their pair, type, operator and key; contents aren't read beyond the bytes that tell a type."""
     r = versions.resolve(requests, all_versions).distinct()
     ok = r.where("verdict = 'ok'").select("file_uid", "base", "target")
-    sides = versions.contents(ok, all_versions, prefix=True)
+    # bytes that nobody asks travel nowhere
+    asked = F.when(F.coalesce("mime", F.lit("")) == "", F.col("content"))
+    sides = versions.contents(ok, all_versions.withColumn("content", asked), prefix=True)
     told = F.coalesce(F.nullif("target_mime", F.lit("")), detect("target_content", "target_name"))
     typed = sides.select("file_uid", "base", "target", told.alias("mime"))
     typed = typed.withColumn("plugin", registry.dispatch(F.col("mime")))
@@ -39,8 +41,8 @@ def computed(todo: DataFrame, all_versions: DataFrame, registry: Registry) -> tu
     ensure_checkpoints(todo.sparkSession)
     todo = todo.checkpoint()  # a few columns, met four times below
     pairs = versions.contents(todo, all_versions)
-    # written once: the comparison is the costly part, and is read for the results and for the children
-    rows = registry.compare(pairs).checkpoint()
+    # the comparison is the costly part: the registry has written it, and it is read for the results and for the children
+    rows = registry.compare(pairs)
     children = rows.where("error is null").join(todo.select("key", "file_uid"), "key")
     wrong = rows.where("error is not null").groupBy("key").agg(F.min(F.struct("error", "stage")).alias("wrong"))
     notes = rows.where("error is null and stage is not null").groupBy("key").agg(F.min("stage").alias("note"))

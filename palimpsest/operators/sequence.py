@@ -223,7 +223,11 @@ def line_states(old: DataFrame, new: DataFrame, keys: list[str], idx: str = "idx
 
     Its blocks come from the longest matching stretch, recursively, which isn't the alignment above.
     """
-    both = sides(old, new, keys, idx, F.col(line).alias("line"))
+    return line_states_of(sides(old, new, keys, idx, F.col(line).alias("line")), keys)
+
+
+def line_states_of(both: DataFrame, keys: list[str]) -> DataFrame:
+    """``line_states`` of one table of both sides: keys, side 0/1, idx and line."""
 
     def kernel(key: tuple, g: dict[str, list]) -> list[tuple]:
         n = g["side"].count(0)

@@ -51,8 +51,9 @@ def placed(entries: DataFrame, folders: DataFrame, skipped: tuple[str, ...] = ()
 
 def lines_of(content: Column, most: int | None = MOST_TEXT_LINES) -> Column:
     """array<string>: UTF-8 with replacement characters, parted as splitlines does, a last empty line left out."""
-    text = F.decode(content, "UTF-8") if not isinstance(content, str) else F.col(content)
-    parts = F.split(text, LINE_BREAK)
-    cut = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
-    cut = F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(cut)
-    return cut if most is None else F.slice(cut, 1, most)
+    own = F.col(content) if isinstance(content, str) else content
+    text = own if isinstance(content, str) else F.decode(own, "UTF-8")
+    # the parts have a name of their own: an expression that stands in four places is worked out as often
+    cut = F.transform(F.array(F.split(text, LINE_BREAK)), lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p))
+    lines = F.when(F.length(own) == 0, F.array().cast("array<string>")).otherwise(F.element_at(cut, 1))
+    return lines if most is None else F.slice(lines, 1, most)

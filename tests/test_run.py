@@ -159,3 +159,26 @@ def test_alignment_beyond_the_table_is_the_same(monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(sequence, "MOST_LCS_CELLS", 10)
             assert sequence.lcs(a, b, None) == whole
+
+
+def test_a_texts_lines_are_made_once_for_each_use(spark):
+    from palimpsest.operators.comparisons import compare_text
+
+    rows = [("a", "x\r\ny\n", "x\nz"), ("b", "", ""), ("c", "\n" * 2001, "q")]
+    pairs = spark.createDataFrame([(k, o.encode(), n.encode(), "a.txt", "a.txt", "text/plain") for k, o, n in rows], "key string, base_content binary, target_content binary, base_name string, target_name string, mime string")
+    drawn = compare_text(pairs)
+    plan = drawn._jdf.queryExecution().optimizedPlan().toString()
+    # two sides, for the lines and for the note; 16 before
+    assert plan.count("split(") <= 4
+    got = {r.key: (bytes(r.data).decode().count("<text "), r.stage) for r in drawn.collect()}
+    assert got["a"] == (2 + 2 + 2, None) and got["b"] == (0, None) and got["c"][0] == 2000 + 1 + 2001 and "2000" in got["c"][1]
+
+
+def test_what_is_compared_is_written_once(spark):
+    from palimpsest.operators.registry import Entry, Registry
+
+    reg = Registry()
+    reg.register(Entry("one", 1, lambda m: F.lit(True), pair=lambda a, b: [{"kind": "page", "idx": 0, "ext": "svg", "mime": "m", "mode": "vector", "data": b"x"}]))
+    pairs = spark.createDataFrame([("k", b"a", b"b", "n", "n", "text/plain", "one")], "key string, base_content binary, target_content binary, base_name string, target_name string, mime string, plugin string")
+    plan = reg.compare(pairs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan
