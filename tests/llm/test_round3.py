@@ -281,3 +281,43 @@ def test_entries_of_lines_are_packed_in_small_chunks(spark, monkeypatch):
     want = sorted(map(tuple, linedup.deduplicated(d).collect()))
     monkeypatch.setattr(linedup, "CHUNK", 50)
     assert sorted(map(tuple, linedup.deduplicated(d).collect())) == want and len(want) < 60
+
+
+def test_lines_hash_their_bytes_once(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from palimpsest.llm import common, linedup
+
+    words = " ".join(f"w{i}" for i in range(200))
+    batch = pa.RecordBatch.from_arrays([pa.array([f"{words}\nshort line of some words here\n\n x", None, words])], ["text"])
+    sizes, real = [], common.Rolling.prefix
+    monkeypatch.setattr(common.Rolling, "prefix", lambda self, data: sizes.append(len(data)) or real(self, data))
+    made = [linedup.entries(data, begin, end, linedup.WHOLE, prefix) for data, prefix, begin, end, _ in linedup._distinct(iter([batch]), linedup.WHOLE)]
+    assert len(sizes) == 1 and sum(map(len, made)) > 50
+    # where words end, against the blanks
+    data = np.frombuffer("a bc\t\n\u3042\u3044x y\n".encode(), np.uint8)
+    begin, end = np.array([0, 6]), np.array([5, len(data) - 1])
+    h, first, last = linedup.line_words(data, begin, end, real(linedup._W, data))
+    alone = [linedup.line_words(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]))[0][0] for w in ("a", "bc", "\u3042", "\u3044", "x", "y")]
+    assert h.tolist() == alone and first.tolist() == [0, 2] and last.tolist() == [2, 6]
+
+
+def test_kernels_take_few_rows_and_give_back(monkeypatch):
+    import pyarrow as pa
+
+    from palimpsest.llm import common
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600))], ["x"])
+    assert [b.num_rows for b in common.few_rows(iter([batch, batch.slice(0, 3)]))] == [256, 256, 88, 3]
+    told = []
+
+    def kernel(batches):
+        try:
+            yield from batches
+        finally:
+            told.append("returned")
+
+    monkeypatch.setattr(common, "give_back", lambda: told.append("given back"))
+    assert len(list(common.given_back(kernel)(iter([batch, batch])))) == 2
+    assert told == ["returned", "given back"]
