@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import given_back, text_slices
 
 UNDETERMINED = "und"
 
@@ -297,7 +297,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, names:
             score = np.where(none, 0.0, np.clip(pr[np.arange(len(best)), best], 0, 1))
             yield pa.RecordBatch.from_arrays([*(rows.column(f.name) for f in fields), pa.array(pred.tolist(), pa.string()), pa.array(score)], [f.name for f in out.fields])
 
-    return docs.select(*dict.fromkeys([*(f.name for f in fields), "text"])).mapInArrow(run, out)
+    return docs.select(*dict.fromkeys([*(f.name for f in fields), "text"])).mapInArrow(given_back(run), out)
 
 
 def held_out(column: str = "doc_id", mod: int = 4, rest: int = 2):

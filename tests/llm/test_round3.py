@@ -303,6 +303,22 @@ def test_lines_hash_their_bytes_once(monkeypatch):
     assert h.tolist() == alone and first.tolist() == [0, 2] and last.tolist() == [2, 6]
 
 
+def test_contexts_are_packed_a_few_at_a_time(spark, monkeypatch):
+    import random
+
+    from palimpsest.llm import windows
+
+    rng = random.Random(5)
+    gram = "".join(rng.choices("abcdef ", k=60))
+    texts = ["".join(rng.choices("abcdef ", k=80)) + gram + "".join(rng.choices("abcdef ", k=rng.randrange(90))) for _ in range(40)]
+    texts += [t[10:] + "!" for t in texts[:15]]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    want = sorted(map(tuple, windows.removal_digests(d).collect()))
+    assert sum(r[2] > 0 for r in want) >= 15
+    monkeypatch.setattr(windows, "CONTEXT_BYTES", 1)
+    assert sorted(map(tuple, windows.removal_digests(d).collect())) == want
+
+
 def test_kernels_take_few_rows_and_give_back(monkeypatch):
     import pyarrow as pa
 
