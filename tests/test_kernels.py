@@ -200,6 +200,19 @@ def test_gltf_nodes_come_last_child_first_and_once():
     assert [(e["local_id"], e["verts"]) for e in gltf.parse(json.dumps(doc).encode())] == [("node-3", [0, 0, 0]), ("node-2", [0, 0, 0]), ("node-1", [1, 0, 0])]
 
 
+def test_deep_scenes_need_memory_in_proportion():
+    import tracemalloc
+
+    n = 3000
+    chain = {"nodes": [{"translation": [1, 0, 0], "children": [i + 1]} for i in range(n - 1)] + [{}], "scenes": [{"nodes": [0]}]}
+    tracemalloc.start()
+    placed = gltf.world_matrices(chain)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(i, m[0, 3]) for i, m in placed] == [(i, min(i + 1.0, n - 1)) for i in range(n)]
+    assert peak < 10_000_000  # 38 MB where each node held its whole way from the root
+
+
 def test_zip_containers():
     import io
     import zipfile
