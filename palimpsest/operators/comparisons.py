@@ -57,15 +57,19 @@ def sides(pairs: DataFrame, read: Callable[[DataFrame], DataFrame]) -> tuple[Dat
     return tuple(read(pairs.select("key", F.col(f"{s}_content").alias("content"))) for s in ("base", "target"))
 
 
-def compare_text(pairs: DataFrame) -> DataFrame:
-    """Lines of both sides as one drawing; where a side has more lines than are compared, the child's stage says so."""
+def compare_text(pairs: DataFrame, most: int | None = MOST_TEXT_LINES) -> DataFrame:
+    """Lines of both sides as one drawing; with ``most`` only so many of each side, and the child's stage says so where there are more."""
     # both sides in one pass over the pairs
-    texts = F.array(*(F.struct(F.lit(k).alias("side"), lines_of(F.col(f"{s}_content")).alias("lines")) for k, s in enumerate(("base", "target"))))
+    texts = F.array(*(F.struct(F.lit(k).alias("side"), lines_of(F.col(f"{s}_content"), most).alias("lines")) for k, s in enumerate(("base", "target"))))
     both = pairs.select("key", F.inline(texts)).select("key", "side", F.posexplode("lines").alias("idx", "line"))
     drawn = svg.text_pages(sequence.line_states_of(both, ["key"]), ["key"])
-    # two texts without a line are an empty drawing; a text has no more lines than bytes, so most needn't be parted again
-    cut = functools.reduce(lambda a, b: a | b, ((F.length(f"{s}_content") > MOST_TEXT_LINES) & (F.size(lines_of(F.col(f"{s}_content"), None)) > MOST_TEXT_LINES) for s in ("base", "target")))
-    drawn = pairs.select("key", F.when(cut, f"only the first {MOST_TEXT_LINES} lines of each version are compared").alias("note")).join(drawn, "key", "left")
+    note = F.lit(None).cast("string")
+    if most is not None:
+        # a text has no more lines than bytes, so most needn't be parted again
+        cut = functools.reduce(lambda a, b: a | b, ((F.length(f"{s}_content") > most) & (F.size(lines_of(F.col(f"{s}_content"), None)) > most) for s in ("base", "target")))
+        note = F.when(cut, f"only the first {most} lines of each version are compared")
+    drawn = pairs.select("key", note.alias("note")).join(drawn, "key", "left")
+    # two texts without a line are an empty drawing
     empty = svg.placeholder_page(F.lit(800), F.lit(30))
     return drawn.select(*child("page", F.lit(0), "svg", "image/svg+xml", F.lit(VECTOR), F.encode(F.coalesce("svg", empty), "UTF-8"), F.col("note"))).withColumn("stage", F.col("note")).drop("note")
 

@@ -23,6 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.mime import bare, operator_for
+from ..schemas import MOST_TEXT_LINES
 from ..session import ensure_checkpoints
 from . import comparisons
 from .comparisons import CHILD, failures
@@ -218,11 +219,11 @@ def together(parts: list[DataFrame], folder: str) -> DataFrame:
     return parts[0].sparkSession.read.schema(union([parts[0], parts[-1]]).schema).parquet(*(f"{folder}/{i}" for i in starts))
 
 
-def default_registry(text: bool = False, enabled: tuple[str, ...] = (), tools: comparisons.Tools = comparisons.Tools()) -> Registry:
-    """PDF and 3D; plain text only where asked for. ``tools`` are the adapters of what a Python worker can't do by itself."""
+def default_registry(text: bool = False, enabled: tuple[str, ...] = (), tools: comparisons.Tools = comparisons.Tools(), most_lines: int | None = MOST_TEXT_LINES) -> Registry:
+    """PDF and 3D; plain text only where asked for, whole with ``most_lines`` None. ``tools`` are the adapters of what a Python worker can't do by itself."""
     r = Registry(enabled)
     r.register(Entry("pdf", 1, lambda m: bare(m) == "application/pdf", lambda p: comparisons.compare_pdf(p, tools)))
     r.register(Entry("3d", 1, lambda m: operator_for(m) == "3d", lambda p: comparisons.compare_models(p, tools)))
     if text:
-        r.register(Entry("passthrough-text", 1, lambda m: F.startswith(bare(m), F.lit("text/plain")), comparisons.compare_text))
+        r.register(Entry("passthrough-text", 1, lambda m: F.startswith(bare(m), F.lit("text/plain")), lambda p: comparisons.compare_text(p, most_lines)))
     return r

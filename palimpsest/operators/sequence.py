@@ -10,6 +10,8 @@ the root of one of them, an eighth of a byte for each cell.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -146,19 +148,50 @@ class Stretches:
                 best = (i + 1 - size, self.first[at] + 1 - size, size)
         return best
 
+    def named(self, a: list, most: int) -> list[int]:
+        """For each place of ``a`` where ``most`` more elements are: a number that equal stretches of that length share, -1 for one that isn't in the sequence."""
+        out, at, size = [], 0, 0
+        for i, s in enumerate(a):
+            while at and s not in self.next[at]:
+                at = self.link[at]
+                size = self.size[at]
+            if s in self.next[at]:
+                at, size = self.next[at][s], size + 1
+            while at and self.size[self.link[at]] >= most:
+                at = self.link[at]
+            size = min(size, most)
+            if i + 1 >= most:
+                out.append(at if size == most else -1)
+        return out
+
 
 def matching_blocks(a: list, b: list) -> list[tuple[int, int, int]]:
-    """(i, j, length): the longest common stretch, and so on left and right of it, in order; touching ones are one."""
+    """(i, j, length): the longest common stretch, and so on left and right of it, in order; touching ones are one.
+
+    What is right of a longest stretch has none longer, so all of one length are found in one walk; what lies between
+    them has shorter ones only, so nothing is walked more often than there are lengths.
+    """
     found, todo = [], [(0, len(a), 0, len(b))]
     while todo:
         i1, i2, j1, j2 = todo.pop()
         if i1 >= i2 or j1 >= j2:
             continue
-        i, j, size = Stretches(b[j1:j2]).longest(a[i1:i2])
-        if size:
-            i, j = i + i1, j + j1
-            found.append((i, j, size))
-            todo += [(i1, i, j1, j), (i + size, i2, j + size, j2)]
+        known = Stretches(b[j1:j2])
+        size = known.longest(a[i1:i2])[2]
+        if not size:
+            continue
+        places: dict[int, list[int]] = {}
+        for j, s in enumerate(known.named(b[j1:j2], size), j1):
+            places.setdefault(s, []).append(j)
+        i, j = i1, j1
+        for x, s in enumerate(known.named(a[i1:i2], size), i1):
+            at = places.get(s, ()) if x >= i else ()
+            k = bisect_left(at, j)
+            if k < len(at):
+                found.append((x, at[k], size))
+                todo.append((i, x, j, at[k]))
+                i, j = x + size, at[k] + size
+        todo.append((i, i2, j, j2))
     out: list[tuple[int, int, int]] = []
     for i, j, size in sorted(found):
         if out and out[-1][0] + out[-1][2] == i and out[-1][1] + out[-1][2] == j:

@@ -153,9 +153,9 @@ def run_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""SELECT CAST(doc_id AS VARCHAR) AS file_uid, {FILE_KEY} AS key, 'ready' AS status, 'vector' AS mode, 'diff.' || {FILE_KEY} || '.page.000.svg' AS names, 'vector' AS modes FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 5 <> 0""")
 def run_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second half: what is compared and what would be committed for it, as manifests."""
+    """The second half: what is compared and what would be committed for it, as manifests. Texts are compared whole."""
     v = document_files(spark, sf_dir)
-    reg = registry.default_registry(text=True)
+    reg = registry.default_registry(text=True, most_lines=None)
     todo = run.dispatched(asked(spark, sf_dir), v, reg).where("key is not null").select("key", "file_uid", "base", "target", "plugin", "plugin_version", "mime")
     results, children = run.computed(todo, v, reg)
     m = store.manifests(results, children)

@@ -182,3 +182,34 @@ def test_what_is_compared_is_written_once(spark):
     pairs = spark.createDataFrame([("k", b"a", b"b", "n", "n", "text/plain", "one")], "key string, base_content binary, target_content binary, base_name string, target_name string, mime string, plugin string")
     plan = reg.compare(pairs)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan
+
+
+def test_run_results_compares_whole_texts(spark, tmp_path, monkeypatch):
+    from palimpsest.plans import reading
+
+    spark.createDataFrame([(1, "\n".join(map(str, range(2500)))), (2, "a")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    seen, manifests = {}, store.manifests
+
+    def kept(results, children):
+        seen.update({r.file_uid: (bytes(r.data).decode().count("<text "), r.note) for r in children.join(results.select("key", "note"), "key").collect()})
+        return manifests(results, children)
+
+    monkeypatch.setattr(store, "manifests", kept)
+    assert reading.run_results(spark, str(tmp_path)).count() == 2
+    # the older version's lines, the newer one's, and the one that came; before 2000 + 2000 and none
+    assert seen == {"1": (2500 + 2501 + 1, None), "2": (1 + 2 + 1, None)}
+
+
+def test_blocks_of_one_length_are_found_in_one_walk(monkeypatch):
+    made = []
+
+    class Counted(sequence.Stretches):
+        def __init__(self, b):
+            made.append(len(b))
+            super().__init__(b)
+
+    monkeypatch.setattr(sequence, "Stretches", Counted)
+    a, b = [str(i) for i in range(600)], [str(i) if i % 3 else f"x{i}" for i in range(600)]
+    assert sequence.matching_blocks(a, b) == [(i, i, 2) for i in range(1, 600, 3)]
+    # an automaton of the rest for each block before: 60,000 lines and more
+    assert sum(made) <= 3 * 600
