@@ -337,3 +337,35 @@ def test_kernels_take_few_rows_and_give_back(monkeypatch):
     monkeypatch.setattr(common, "give_back", lambda: told.append("given back"))
     assert len(list(common.given_back(kernel)(iter([batch, batch])))) == 2
     assert told == ["returned", "given back"]
+
+
+def test_a_large_cluster_is_dealt_by_cells(spark):
+    from palimpsest.llm import linedup
+
+    rng, s = random.Random(31), linedup.Settings(block=16, least=1, full=24, share=32)
+    lines = sorted({" ".join(rng.choices(["ab", "cde", "fghi", "k"], k=rng.randint(4, 120))) for _ in range(3000)})
+    cells = linedup.cells([x.encode() for x in lines], s).to_pylist()
+    assert max(map(len, cells)) <= 4
+    members = spark.createDataFrame([(1, len(lines), i, x.encode(), c) for i, (x, c) in enumerate(zip(lines, cells, strict=True))], "root long, size long, node long, line binary, cells array<long>")
+    # a copy of each line for each block of 16 of the cluster before, which is 187
+    assert linedup.dealt(members, s).count() < 12 * len(lines)
+
+
+@pytest.mark.parametrize("block", [3, 10_000])
+def test_cells_find_what_one_block_finds(spark, block):
+    from palimpsest.llm import linedup
+
+    rng = random.Random(37)
+    lines = [" ".join(rng.choices(["ab", "cde", "fghi", "k"], k=rng.choice([5, 9, 10, 11, 33, 64, 65, 66, 99]))) for _ in range(60)]
+    lines = sorted({*lines, *(x + "y" for x in lines), *(x.replace("k", "a longer word", 1) for x in lines), *(x.replace("cde", "k", 2) for x in lines)})
+    raw = [x.encode() for x in lines]
+    node = [int(linedup._A.of(linedup._A.prefix(np.frombuffer(x, np.uint8)), np.array([0]), np.array([len(x)])).view(np.int64)[0]) for x in raw]
+    clusters = spark.createDataFrame([(n, 1, len(lines)) for n in node], "node long, root long, size long")
+    s = linedup.Settings(block=block, least=1, full=24, share=32)
+    docs = spark.createDataFrame([("\n".join(lines),)], "text string")
+    got: dict = {}
+    for r in linedup.verified(docs, clusters, s).where("b is null").collect():
+        got[r.a] = got.get(r.a, 0) + r.links
+    i, j = linedup.near_lines(raw, np.zeros(len(raw), int), None, s)
+    links = np.bincount(np.r_[i, j], minlength=len(raw))
+    assert got == {n: k for n, k in zip(node, links.tolist(), strict=True) if k} and len(got) > 60
