@@ -165,10 +165,11 @@ def isolated(compare: Callable[[DataFrame], DataFrame], pairs: DataFrame) -> Dat
     made: list[DataFrame] = []
     failed: list[tuple] = []
 
-    def attempt(first: int, end: int, keys: list | None = None) -> list[tuple]:
-        """What is to be tried after this part."""
-        part = slices.where(F.col("_slice").between(first, end - 1)).drop("_slice")
-        part = part if keys is None else part.where(F.col("key").isin(keys))
+    def attempt(first: int, end: int, keys: list | None = None, without: tuple = (), only: bool = False) -> list[tuple]:
+        """What is to be tried after this part: ``keys`` are a slice's that are still to be tried, ``without`` those that aren't, ``only`` says which of both tells them."""
+        part = slices.where(F.col("_slice") == first if end - first == 1 else F.col("_slice").between(first, end - 1)).drop("_slice")
+        # a few keys are left out by name: hundreds that stay would cost more than the attempt
+        part = part.where(F.col("key").isin(keys)) if only else part.where(~F.col("key").isin(*without)) if without else part
         try:
             plan = compare(part)
         except Exception as e:  # noqa: BLE001
@@ -183,15 +184,16 @@ def isolated(compare: Callable[[DataFrame], DataFrame], pairs: DataFrame) -> Dat
             step = -(-(end - first) // CUT)
             return [(i, min(i + step, end)) for i in range(first, end, step)]
         # the keys of one slice
-        keys = [r.key for r in part.select("key").distinct().collect()] if keys is None else keys
+        keys = [*dict.fromkeys(r.key for r in part.select("key").collect())] if keys is None else keys
         if len(keys) < 2:
             failed.extend((k, reason_of(error)) for k in keys)
             return []
         text = str(error)
         told = [k for k in keys if str(k) in text]
-        alone = [[k] for k in told] if len(told) <= MOST_TOLD else []
-        cut = [*alone, [k for k in keys if k not in told]] if alone else [keys[: len(keys) // 2], keys[len(keys) // 2 :]]
-        return [(first, end, k) for k in cut if k]
+        if 0 < len(told) <= MOST_TOLD:
+            left = [k for k in keys if k not in told]
+            return [*((first, end, [k], (), True) for k in told), *([(first, end, left, (*without, *told), only)] if left else [])]
+        return [(first, end, k, (), True) for k in (keys[: len(keys) // 2], keys[len(keys) // 2 :])]
 
     pool = ThreadPoolExecutor(AT_ONCE)
     try:

@@ -89,6 +89,25 @@ def test_attempts_grow_with_slices_and_failing_pairs(spark, monkeypatch, told):
     assert not told or len(made) <= 1 + 13 + 2 * 8
 
 
+def test_keys_that_failed_are_left_out_by_name(spark, monkeypatch):
+    monkeypatch.setattr(registry, "SLICE", 64)
+    named = []
+
+    def compare(pairs):
+        named.append(pairs._jdf.queryExecution().analyzed().toString().count("key-0"))
+        data = F.when(F.col("n") % 25 == 3, F.raise_error(F.concat(F.lit("no "), F.col("key")))).otherwise("")
+        return pairs.select(*child("page", F.lit(0), "svg", "m", F.lit("vector"), F.encode(data.cast("string"), "UTF-8")))
+
+    # a key of several rows, and slices without any
+    pairs = spark.range(120).select(F.format_string("key-%05d", "id").alias("key"), F.col("id").alias("n"))
+    rows = registry.isolated(compare, pairs.union(pairs.where("n = 5 or n = 28"))).collect()
+    assert {r.key for r in rows if r.error} == {f"key-{i:05d}" for i in range(3, 120, 25)} and sum(r.error is None for r in rows) == 116
+    # all the others of a slice were named before, some dozens
+    assert max(named) <= 5
+    same = spark.range(300).select(F.lit("key-0").alias("key"), F.col("id").alias("n"))
+    assert [(r.key, r.error is None) for r in registry.isolated(compare, same).collect()] == [("key-0", False)]
+
+
 def test_lines_that_are_not_compared_are_told(spark, tmp_path):
     text = lambda n, last: "\n".join([*map(str, range(n)), last]).encode()
     rows = [(u, f"v{2 - k}", k, "t.txt", "text/plain", bytearray(text(n, str(k)))) for u, n in (("long", 2400), ("short", 3)) for k in range(2)]
