@@ -246,7 +246,8 @@ def links(prints: DataFrame, s: Settings = Settings()) -> DataFrame:
             finer = F.create_map(*[x for m, ms in step.items() for x in (F.lit(signed(m)), F.array(*[F.lit(signed(k)) for k in ms]))])
             rows = keyed(rows.select("fp", F.explode(finer[F.col("mask")]).alias("mask")).distinct())
         sizes = rows.groupBy("mask", "value").agg(F.count("*").alias("n")).where("n > 1").checkpoint()
-        shared = rows.join(sizes, ["mask", "value"])
+        # written before it is dealt: straight from this join, groups reached the kernel in pieces and lost links
+        shared = rows.join(sizes, ["mask", "value"]).checkpoint()
         pairs = compared(shared.where(F.col("n") <= s.most), s)
         found = pairs if found is None else found.union(pairs)
         if sizes.where(F.col("n") > s.most).isEmpty():

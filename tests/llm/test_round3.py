@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.llm import align, fim, simhash
 from palimpsest.llm.queries import vocabulary
@@ -369,3 +370,10 @@ def test_cells_find_what_one_block_finds(spark, block):
     i, j = linedup.near_lines(raw, np.zeros(len(raw), int), None, s)
     links = np.bincount(np.r_[i, j], minlength=len(raw))
     assert got == {n: k for n, k in zip(node, links.tolist(), strict=True) if k} and len(got) > 60
+
+
+def test_groups_are_written_before_they_are_dealt(spark):
+    prints = spark.range(200).select((F.col("id") * 3).alias("fp")).checkpoint()
+    plan = simhash.links(prints)._jdf.queryExecution().optimizedPlan().toString()
+    # dealt straight from the join of keys with their sizes, groups came in pieces
+    assert "MapInArrow" in plan and "Join" not in plan
